@@ -1,3 +1,4 @@
 """Imports every catalog module so its queries register."""
 
 from flowlens.plans import catalog_core  # noqa: F401
+from flowlens.plans import catalog_ops  # noqa: F401
