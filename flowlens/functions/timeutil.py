@@ -69,6 +69,15 @@ def pct(num: Column, den: Column, scale: int = 2) -> Column:
     return F.round(F.lit(100.0) * num.cast("double") / F.nullif(den.cast("double"), F.lit(0.0)), scale)
 
 
+def div_half_up(num: Column, den: Column) -> Column:
+    """round(num / den) half-up for non-negative integers, in exact integer arithmetic.
+
+    Used where a ratio is reported at a fixed scale and ties (x.xx5) must round
+    the same way in every engine; floating-point rounding does not guarantee it.
+    """
+    return F.call_function("div", num.cast("bigint") * 2 + den.cast("bigint"), den.cast("bigint") * 2)
+
+
 def safe_ratio(num: Column, den: Column) -> Column:
     return num.cast("double") / F.nullif(den.cast("double"), F.lit(0.0))
 

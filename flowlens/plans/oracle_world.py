@@ -226,7 +226,8 @@ SELECT interchange_id AS shipment_id, partner AS partner_id, 'CAR-' || CAST(k %
   CASE WHEN o_orderstatus = 'F' THEN 'Delivered' WHEN o_orderstatus = 'O' THEN 'In Transit' ELSE 'Booked' END AS shipment_status,
   o_orderdate AS shipment_date,
   o_orderdate + to_days(CAST(3 + k % 5 AS INTEGER)) AS promised_delivery_date,
-  CASE WHEN o_orderstatus = 'F' THEN o_orderdate + to_days(CAST(2 + k % 8 AS INTEGER)) END AS actual_delivery_date
+  CASE WHEN o_orderstatus = 'F' THEN o_orderdate + to_days(CAST(2 + k % 8 AS INTEGER)) END AS actual_delivery_date,
+  CAST(o_totalprice AS DECIMAL(18,2)) AS shipment_value
 FROM base WHERE t0 <= {AS_OF}""")
 
 _cte("trading_partner_master", [], """
@@ -264,9 +265,9 @@ SELECT 'ANO-' || CAST(k AS VARCHAR) AS anomaly_id, interchange_id AS shipment_id
   CAST(k % 50 AS DECIMAL(14,2)) AS actual_value, CAST(40 AS DECIMAL(14,2)) AS expected_value,
   CAST((CAST(k % 50 AS DECIMAL(14,2)) - 40) * 100 / 40 AS DECIMAL(8,2)) AS deviation_percent
 FROM (SELECT *, t0 + to_hours(CAST(k % 72 AS BIGINT)) AS detected,
-        CASE k % 8 WHEN 0 THEN 'Missing 990' WHEN 1 THEN 'Late 214' WHEN 2 THEN 'Duplicate 204'
-             WHEN 3 THEN 'Missing 210' WHEN 4 THEN 'Ack timeout' WHEN 5 THEN 'Value mismatch'
-             WHEN 6 THEN 'Late delivery' ELSE 'Rejected 204' END AS atype
+        CASE k % 8 WHEN 0 THEN 'MISSING_990' WHEN 1 THEN 'LATE_214' WHEN 2 THEN 'DUPLICATE_204'
+             WHEN 3 THEN 'MISSING_214' WHEN 4 THEN 'MISSING_997' WHEN 5 THEN 'VALUE_MISMATCH'
+             WHEN 6 THEN 'LATE_DELIVERY' ELSE 'REJECTED_204' END AS atype
       FROM base WHERE k % 15 = 0)
 WHERE detected <= {AS_OF}""")
 

@@ -33,8 +33,8 @@ REJECTED_REASONS = ["validation_error", "bad_input_file", None]
 SLA_HOURS = [4, 8, 24]
 TIERS = ["Strategic", "Preferred", "Standard"]
 TRANSPORT_MODES = ["TL", "LTL", "IM", "AIR"]
-ANOMALY_TYPES = ["Missing 990", "Late 214", "Duplicate 204", "Missing 210",
-                 "Ack timeout", "Value mismatch", "Late delivery", "Rejected 204"]
+ANOMALY_TYPES = ["MISSING_990", "LATE_214", "DUPLICATE_204", "MISSING_214",
+                 "MISSING_997", "VALUE_MISMATCH", "LATE_DELIVERY", "REJECTED_204"]
 SEVERITIES = ["Critical", "High", "Medium", "Low"]
 ANOMALY_STATES = ["Open", "Investigating", "Resolved"]
 ROOT_CAUSES = ["Partner system", "Mapping", "Network", "Carrier"]
@@ -406,7 +406,8 @@ def shipment_header(spark: SparkSession, sf_dir: str, as_of=FIXTURE_AS_OF) -> Da
          .otherwise("Booked").alias("shipment_status"),
         F.col("o_orderdate").alias("shipment_date"),
         add_days(F.col("o_orderdate"), (3 + k % 5).cast("int")).alias("promised_delivery_date"),
-        F.when(closed, add_days(F.col("o_orderdate"), (2 + k % 8).cast("int"))).alias("actual_delivery_date"))
+        F.when(closed, add_days(F.col("o_orderdate"), (2 + k % 8).cast("int"))).alias("actual_delivery_date"),
+        F.col("o_totalprice").cast("decimal(18,2)").alias("shipment_value"))
 
 
 def trading_partner_master(spark: SparkSession, sf_dir: str) -> DataFrame:
