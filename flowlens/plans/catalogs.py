@@ -3,3 +3,4 @@
 from flowlens.plans import catalog_core  # noqa: F401
 from flowlens.plans import catalog_ops  # noqa: F401
 from flowlens.plans import catalog_analytics  # noqa: F401
+from flowlens.plans import catalog_shapes  # noqa: F401
