@@ -15,6 +15,7 @@ other join is left to AQE, because customer/supplier grow with the data.
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -489,22 +490,40 @@ def anomaly_registry(spark: SparkSession, sf_dir: str, as_of=FIXTURE_AS_OF) -> D
 
 @dataclass
 class World:
-    """All contract tables for one driver directory, as lazy DataFrames."""
+    """All contract tables for one driver directory.
+
+    With ``materialize=True`` (the default) the large derived tables are
+    written once to the shared checkpoint folder and read back (see
+    ``flowlens.sources.store``); otherwise every call rebuilds them lazily.
+    """
     spark: SparkSession
     sf_dir: str
     as_of: str = FIXTURE_AS_OF
+    materialize: bool = True
+
+    def _key(self) -> str:
+        from flowlens.sources.store import input_key
+        here = os.path.abspath(__file__)
+        return input_key(self.sf_dir, self.as_of, [here, os.path.join(os.path.dirname(here), "driver.py")])
+
+    def _table(self, name: str, build, order_col: str | None) -> DataFrame:
+        if not self.materialize:
+            return build()
+        from flowlens.sources.store import stored
+        return stored(self.spark, self._key(), name, build, order_col)
 
     def events(self) -> DataFrame:
-        return txn_events(self.spark, self.sf_dir, self.as_of)
+        return self._table("txn_events", lambda: txn_events(self.spark, self.sf_dir, self.as_of), "event_time")
 
     def acks(self) -> DataFrame:
-        return ack_events(self.spark, self.sf_dir, self.as_of)
+        return self._table("acks", lambda: ack_events(self.spark, self.sf_dir, self.as_of), "event_time")
 
     def events_with_acks(self) -> DataFrame:
         return self.events().unionByName(self.acks())
 
     def files(self) -> DataFrame:
-        return txn_files(self.spark, self.sf_dir, self.as_of)
+        return self._table("txn_files", lambda: txn_files(self.spark, self.sf_dir, self.as_of, self.events()),
+                           "received_at")
 
     def feeds(self) -> DataFrame:
         return expected_feeds(self.events(), self.as_of)
@@ -534,19 +553,22 @@ class World:
         return doc_type_catalog(self.spark)
 
     def feed_events(self) -> DataFrame:
-        return feed_events(self.spark, self.sf_dir)
+        return self._table("feed_events", lambda: feed_events(self.spark, self.sf_dir), "event_time")
 
     def api(self) -> DataFrame:
-        return api_transactions(self.spark, self.sf_dir)
+        return self._table("api_transactions", lambda: api_transactions(self.spark, self.sf_dir), "request_ts")
 
     def header(self) -> DataFrame:
-        return shipment_header(self.spark, self.sf_dir, self.as_of)
+        return self._table("shipment_header", lambda: shipment_header(self.spark, self.sf_dir, self.as_of),
+                           "shipment_date")
 
     def partners(self) -> DataFrame:
         return trading_partner_master(self.spark, self.sf_dir)
 
     def edi_tx(self) -> DataFrame:
-        return edi_transactions(self.events(), self.acks())
+        return self._table("edi_transactions", lambda: edi_transactions(self.events(), self.acks()),
+                           "transaction_timestamp")
 
     def anomalies(self) -> DataFrame:
-        return anomaly_registry(self.spark, self.sf_dir, self.as_of)
+        return self._table("anomaly_registry", lambda: anomaly_registry(self.spark, self.sf_dir, self.as_of),
+                           "detected_timestamp")
