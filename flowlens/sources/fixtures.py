@@ -504,7 +504,9 @@ class World:
     def _key(self) -> str:
         from flowlens.sources.store import input_key
         here = os.path.abspath(__file__)
-        return input_key(self.sf_dir, self.as_of, [here, os.path.join(os.path.dirname(here), "driver.py")])
+        pkg = os.path.dirname(os.path.dirname(here))
+        return input_key(self.sf_dir, self.as_of, [here, os.path.join(pkg, "sources", "driver.py"),
+                                                   os.path.join(pkg, "functions", "timeutil.py")])
 
     def _table(self, name: str, build, order_col: str | None) -> DataFrame:
         if not self.materialize:

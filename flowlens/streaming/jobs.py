@@ -13,6 +13,7 @@ from the last committed micro-batch.
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -169,10 +170,15 @@ def file_upsert_batch(table_path: str):
 
 
 def run_available_now(df: DataFrame, name: str, sink: str = "memory", output_mode: str = "append",
-                      foreach_batch=None, path: str | None = None):
-    """Run a streaming DataFrame over everything available and stop (tests, backfills)."""
+                      foreach_batch=None, path: str | None = None, resume: bool = False):
+    """Run a streaming DataFrame over everything available and stop (tests, backfills).
+
+    ``resume=True`` keeps a stable checkpoint per ``name`` (continue where the
+    last run stopped); otherwise the run gets its own checkpoint folder.
+    """
     spark = df.sparkSession
-    w = (df.writeStream.outputMode(output_mode).option("checkpointLocation", checkpoint_for(spark, name))
+    ckpt = checkpoint_for(spark, name if resume else f"{name}-{uuid.uuid4().hex[:12]}")
+    w = (df.writeStream.outputMode(output_mode).option("checkpointLocation", ckpt)
            .trigger(availableNow=True))
     if foreach_batch is not None:
         q = w.foreachBatch(foreach_batch).start()
