@@ -232,7 +232,7 @@ def anomaly_kpis_daily(anom: DataFrame) -> DataFrame:
     st, sv = F.col("anomaly_status"), F.col("severity")
     return anom.groupBy(F.to_date("detected_timestamp").alias("metric_date")).agg(
         F.count(F.lit(1)).alias("total_anomalies"), F.count_if(st == "Open").alias("open_anomalies"),
-        F.count_if(st == "Investigating").alias("in_progress_anomalies"),
+        F.count_if(st == "In Progress").alias("in_progress_anomalies"),
         F.count_if(st == "Resolved").alias("resolved_anomalies"),
         F.count_if(sv == "Critical").alias("critical_anomalies"), F.count_if(sv == "High").alias("high_anomalies"),
         F.count_if(sv == "Medium").alias("medium_anomalies"), F.count_if(sv == "Low").alias("low_anomalies"),
@@ -445,3 +445,16 @@ def status_distribution(hdr: DataFrame, partners: DataFrame) -> DataFrame:
 def root_cause(anom: DataFrame) -> DataFrame:
     """Anomaly counts by type x severity x partner."""
     return anom.groupBy("anomaly_type", "severity", "partner_id").agg(F.count(F.lit(1)).alias("anomaly_count"))
+
+
+OPEN_STATES = ("Open", "In Progress")
+
+
+def exception_kpis(anom: DataFrame, open_states=OPEN_STATES) -> DataFrame:
+    """Distinct-anomaly KPIs -- all, open critical, open status-aging."""
+    is_open = F.col("anomaly_status").isin(*open_states)
+    aid = F.col("anomaly_id")
+    return anom.agg(
+        F.count_distinct(aid).alias("exceptions"),
+        F.count_distinct(F.when(is_open & (F.col("severity") == "Critical"), aid)).alias("critical_exceptions"),
+        F.count_distinct(F.when(is_open & (F.col("anomaly_type") == "STATUS_AGING"), aid)).alias("aging_exceptions"))

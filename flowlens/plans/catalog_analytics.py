@@ -433,7 +433,7 @@ def t7_flow_completeness(spark, sf_dir):
 @register("t8_anomaly_kpis_daily", sql(["anomaly_registry"], """
 SELECT CAST(detected_timestamp AS DATE) AS metric_date, count(*) AS total_anomalies,
   count(*) FILTER (WHERE anomaly_status = 'Open') AS open_anomalies,
-  count(*) FILTER (WHERE anomaly_status = 'Investigating') AS in_progress_anomalies,
+  count(*) FILTER (WHERE anomaly_status = 'In Progress') AS in_progress_anomalies,
   count(*) FILTER (WHERE anomaly_status = 'Resolved') AS resolved_anomalies,
   count(*) FILTER (WHERE severity = 'Critical') AS critical_anomalies, count(*) FILTER (WHERE severity = 'High') AS high_anomalies,
   count(*) FILTER (WHERE severity = 'Medium') AS medium_anomalies, count(*) FILTER (WHERE severity = 'Low') AS low_anomalies,

@@ -5,3 +5,4 @@ from flowlens.plans import catalog_ops  # noqa: F401
 from flowlens.plans import catalog_analytics  # noqa: F401
 from flowlens.plans import catalog_shapes  # noqa: F401
 from flowlens.plans import catalog_derive  # noqa: F401
+from flowlens.plans import catalog_more  # noqa: F401

@@ -256,7 +256,7 @@ SELECT 'ANO-' || CAST(k AS VARCHAR) AS anomaly_id, interchange_id AS shipment_id
   CASE k % 4 WHEN 0 THEN '204' WHEN 1 THEN '990' WHEN 2 THEN '214' ELSE '210' END AS transaction_type,
   atype AS anomaly_type,
   CASE k % 4 WHEN 0 THEN 'Critical' WHEN 1 THEN 'High' WHEN 2 THEN 'Medium' ELSE 'Low' END AS severity,
-  CASE k % 3 WHEN 0 THEN 'Open' WHEN 1 THEN 'Investigating' ELSE 'Resolved' END AS anomaly_status,
+  CASE k % 3 WHEN 0 THEN 'Open' WHEN 1 THEN 'In Progress' ELSE 'Resolved' END AS anomaly_status,
   CASE WHEN o_orderstatus = 'F' THEN 'Delivered' WHEN o_orderstatus = 'O' THEN 'In Transit' ELSE 'Booked' END AS current_status,
   CASE (k // 15) % 4 WHEN 0 THEN 'Partner system' WHEN 1 THEN 'Mapping' WHEN 2 THEN 'Network' ELSE 'Carrier' END AS root_cause_category,
   'Review ' || atype AS recommended_action,
@@ -266,7 +266,7 @@ SELECT 'ANO-' || CAST(k AS VARCHAR) AS anomaly_id, interchange_id AS shipment_id
   CAST((CAST(k % 50 AS DECIMAL(14,2)) - 40) * 100 / 40 AS DECIMAL(8,2)) AS deviation_percent
 FROM (SELECT *, t0 + to_hours(CAST(k % 72 AS BIGINT)) AS detected,
         CASE k % 8 WHEN 0 THEN 'MISSING_990' WHEN 1 THEN 'LATE_214' WHEN 2 THEN 'DUPLICATE_204'
-             WHEN 3 THEN 'MISSING_214' WHEN 4 THEN 'MISSING_997' WHEN 5 THEN 'VALUE_MISMATCH'
+             WHEN 3 THEN 'MISSING_214' WHEN 4 THEN 'MISSING_997' WHEN 5 THEN 'STATUS_AGING'
              WHEN 6 THEN 'LATE_DELIVERY' ELSE 'REJECTED_204' END AS atype
       FROM base WHERE k % 15 = 0)
 WHERE detected <= {AS_OF}""")

@@ -35,9 +35,9 @@ SLA_HOURS = [4, 8, 24]
 TIERS = ["Strategic", "Preferred", "Standard"]
 TRANSPORT_MODES = ["TL", "LTL", "IM", "AIR"]
 ANOMALY_TYPES = ["MISSING_990", "LATE_214", "DUPLICATE_204", "MISSING_214",
-                 "MISSING_997", "VALUE_MISMATCH", "LATE_DELIVERY", "REJECTED_204"]
+                 "MISSING_997", "STATUS_AGING", "LATE_DELIVERY", "REJECTED_204"]
 SEVERITIES = ["Critical", "High", "Medium", "Low"]
-ANOMALY_STATES = ["Open", "Investigating", "Resolved"]
+ANOMALY_STATES = ["Open", "In Progress", "Resolved"]
 ROOT_CAUSES = ["Partner system", "Mapping", "Network", "Carrier"]
 PIPELINE_STATES = ["running", "running", "idle", "running", "stopped", "running", "idle"]
 HEARTBEAT_INTERVALS = [300, 900, 3600, 86400]
