@@ -63,17 +63,18 @@ def mark_duplicates(ev: DataFrame, keys=("partner", "doc_type", "control_number"
 
 
 def reconcile(ev: DataFrame, ru: DataFrame, ship: DataFrame) -> DataFrame:
-    """Reconciliation checks as rows (check, lhs, rhs, ok).
+    """Reconciliation checks as rows (check_name, lhs, rhs, ok).
 
-    Three one-row aggregates (one scan each of events, rollup and orders)
-    are joined on a constant key and unpivoted with ``stack``.
+    One aggregate over the events; the rollup and order totals join it as
+    scalar subqueries (no join), and ``stack`` unpivots the checks.
     """
     d = F.col("doc_type")
-    e = ev.agg(F.count(F.lit(1)).alias("events"),
-               *[F.count_if(d == t).alias(f"n{t}") for t in ("204", "990", "214", "210")])
-    r = ru.agg(F.sum("txn_count").cast("bigint").alias("rollup_txns"))
-    s = ship.agg(F.count(F.lit(1)).alias("orders"), F.count_if(F.col("has_invoice")).alias("invoiced"))
-    one = e.withColumn("_k", F.lit(1)).join(r.withColumn("_k", F.lit(1)), "_k").join(s.withColumn("_k", F.lit(1)), "_k")
+    rollup_txns = ru.select(F.sum("txn_count").cast("bigint")).scalar()
+    orders = ship.select(F.count(F.lit(1))).scalar()
+    invoiced = ship.select(F.count_if(F.col("has_invoice"))).scalar()
+    one = ev.agg(F.count(F.lit(1)).alias("events"),
+                 *[F.count_if(d == t).alias(f"n{t}") for t in ("204", "990", "214", "210")]).select(
+        "*", rollup_txns.alias("rollup_txns"), orders.alias("orders"), invoiced.alias("invoiced"))
     checks = [
         ("rollup txn_count = event rows", "rollup_txns", "events"),
         ("204 count = orders", "n204", "orders"),

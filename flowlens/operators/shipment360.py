@@ -346,8 +346,8 @@ def control_tower_kpis(hdr, tx, anom, partners, as_of=None) -> DataFrame:
                 F.sum("critical_anomalies").cast("bigint").alias("critical_anomalies"),
                 F.sum("high_anomalies").cast("bigint").alias("high_anomalies"),
                 F.round(F.avg("health_score"), 2).alias("avg_partner_health_score"))
-    # Two one-row aggregates: a join on a constant key, not a cross join.
-    return tot.withColumn("_k", F.lit(1)).join(sla.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    # The SLA percentage joins the one-row totals as a scalar subquery.
+    return tot.withColumn("sla_compliance_pct", sla.scalar())
 
 
 def control_tower_daily(hdr, tx, partners, as_of=None) -> DataFrame:
