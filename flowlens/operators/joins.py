@@ -55,15 +55,18 @@ def first_at_or_after(left: DataFrame, right: DataFrame, keys: list[str], left_t
                       F.lit(1).alias("_side"), _slice(F.col(right_ts), slice_unit).alias("_s")))
     lx = left.select("*", F.col(left_ts).alias("_t"), F.lit(None).cast(r.schema["_r"].dataType).alias("_r"),
                      F.lit(0).alias("_side"), _slice(F.col(left_ts), slice_unit).alias("_s"))
-    u = lx.unionByName(r, allowMissingColumns=True)
+    # One shuffle on (keys, slice) feeds both the in-slice window and the
+    # per-slice summary (the second use reads the same shuffle output).
+    u = lx.unionByName(r, allowMissingColumns=True).repartition(*keys, "_s")
     w_in = (Window.partitionBy(*keys, "_s").orderBy(F.col("_t").desc(), F.col("_side").desc())
                   .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    matched = u.withColumn("_in", F.min("_r").over(w_in)).filter(F.col("_side") == 0)
-    # Earliest right time in any strictly later slice, per (keys, slice).
-    slices = (r.groupBy(*keys, "_s").agg(F.min("_r").alias("_smin"))
-               .unionByName(lx.filter(nonnull).select(*keys, "_s").distinct()
-                              .withColumn("_smin", F.lit(None).cast(r.schema["_r"].dataType)))
-               .groupBy(*keys, "_s").agg(F.min("_smin").alias("_smin")))
+    windowed = u.withColumn("_in", F.min("_r").over(w_in))
+    matched = windowed.filter(F.col("_side") == 0)
+    # Earliest right time in any strictly later slice, per (keys, slice): a
+    # small table (keys x slices), windowed per key.  Aggregating the windowed
+    # frame keeps the (keys, slice) partitioning, so both branches read the
+    # same shuffle.
+    slices = windowed.groupBy(*keys, "_s").agg(F.min("_r").alias("_smin"))
     w_after = (Window.partitionBy(*keys).orderBy(F.col("_s").desc())
                      .rowsBetween(Window.unboundedPreceding, -1))
     later = slices.withColumn("_after", F.min("_smin").over(w_after)).select(*keys, "_s", "_after")

@@ -40,8 +40,7 @@ def a2_refresh_rollup(spark, sf_dir):
 
 
 def _ru(spark, sf_dir):
-    w = W(spark, sf_dir)
-    return ro.hourly_rollup(w.events(), w.as_of)
+    return W(spark, sf_dir).rollup()
 
 
 @register("a32_flow_kpis", sql(EV, """

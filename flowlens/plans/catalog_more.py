@@ -39,8 +39,7 @@ def a41_exception_kpis(spark, sf_dir):
 
 @register("src4_edi_rollup", sql(EV, "SELECT * FROM txn_rollup_hourly WHERE protocol = 'edi'", RU))
 def src4_edi_rollup(spark, sf_dir):
-    w = W(spark, sf_dir)
-    return ro.rollup_for(ro.hourly_rollup(w.events(), w.as_of), "edi")
+    return ro.rollup_for(W(spark, sf_dir).rollup(), "edi")
 
 
 @register("st1_windowed_rollup", sql(EV, """

@@ -503,10 +503,10 @@ class World:
 
     def _key(self) -> str:
         from flowlens.sources.store import input_key
-        here = os.path.abspath(__file__)
-        pkg = os.path.dirname(os.path.dirname(here))
-        return input_key(self.sf_dir, self.as_of, [here, os.path.join(pkg, "sources", "driver.py"),
-                                                   os.path.join(pkg, "functions", "timeutil.py")])
+        # Any change to the package's code invalidates the stored tables.
+        pkg = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        code = sorted(os.path.join(d, f) for d, _, fs in os.walk(pkg) for f in fs if f.endswith(".py"))
+        return input_key(self.sf_dir, self.as_of, code)
 
     def _table(self, name: str, build, order_col: str | None) -> DataFrame:
         if not self.materialize:
@@ -517,6 +517,11 @@ class World:
     def events(self) -> DataFrame:
         return self._table("txn_events", lambda: txn_events(self.spark, self.sf_dir, self.as_of), "event_time")
 
+    def rollup(self) -> DataFrame:
+        """The stored hourly rollup (A1 at ``as_of``), as the dashboards read it."""
+        from flowlens.operators.rollup import hourly_rollup
+        return self._table("txn_rollup_hourly", lambda: hourly_rollup(self.events(), self.as_of), "bucket")
+
     def acks(self) -> DataFrame:
         return self._table("acks", lambda: ack_events(self.spark, self.sf_dir, self.as_of), "event_time")
 
