@@ -37,9 +37,39 @@ def as_of_col(as_of: str | _dt.datetime | Column | None) -> Column:
     return ts_lit(as_of)
 
 
+def trunc_ntz(unit: str, ts: Column) -> Column:
+    """``date_trunc`` that stays TIMESTAMP_NTZ and ignores the session time zone.
+
+    Spark's ``date_trunc`` returns a zoned TIMESTAMP, so an NTZ value would go
+    through the session zone (and its DST gaps); building the truncated value
+    from its own fields keeps wall-clock semantics everywhere.
+    """
+    unit = unit.lower()
+    y, mo = F.year(ts), F.month(ts)
+    d = F.lit(1) if unit in ("month", "year") else F.dayofmonth(ts)
+    if unit == "year":
+        mo = F.lit(1)
+    h = F.hour(ts) if unit == "hour" else F.lit(0)
+    mi = F.minute(ts) if unit == "minute" else F.lit(0)
+    if unit not in ("minute", "hour", "day", "month", "year"):
+        raise ValueError(f"unsupported unit {unit}")
+    return F.make_timestamp_ntz(y, mo, d, h, mi, F.lit(0))
+
+
+def _micros_of_day(ts: Column) -> Column:
+    whole = (F.hour(ts) * 3600 + F.minute(ts) * 60).cast("bigint") * 1_000_000
+    return whole + (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("bigint")
+
+
 def micros_between(start: Column, end: Column) -> Column:
-    """``extract(epoch from end - start) * 1e6`` as BIGINT (works on NTZ)."""
-    return F.timestamp_diff("MICROSECOND", start, end)
+    """``extract(epoch from end - start) * 1e6`` as BIGINT for TIMESTAMP_NTZ.
+
+    Built from calendar days and time-of-day fields, so it never passes
+    through the session time zone (``timestamp_diff`` does, and shifts
+    wall-clock times that fall in a DST gap).
+    """
+    days = F.datediff(F.to_date(end), F.to_date(start)).cast("bigint")
+    return days * F.lit(86_400_000_000) + _micros_of_day(end) - _micros_of_day(start)
 
 
 def minutes_between(start: Column, end: Column) -> Column:

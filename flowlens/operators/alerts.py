@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.functions.timeutil import as_of_col
+from flowlens.functions.timeutil import as_of_col, trunc_ntz
 from flowlens.operators import files as fi
 from flowlens.operators import monitors as mo
 from flowlens.operators import sla
@@ -21,7 +21,7 @@ def _count(df: DataFrame, name: str) -> DataFrame:
 
 def rejected_last_hour(ru: DataFrame, as_of=None) -> DataFrame:
     """AL4: rejected messages in buckets from the last full hour on."""
-    since = F.timestamp_add("HOUR", F.lit(-1), F.date_trunc("hour", as_of_col(as_of)).cast("timestamp_ntz"))
+    since = F.timestamp_add("HOUR", F.lit(-1), trunc_ntz("hour", as_of_col(as_of)))
     return (ru.filter(F.col("bucket") >= since)
               .agg(F.coalesce(F.sum("rejected_count"), F.lit(0)).cast("bigint").alias("value"))
               .select(F.lit("Rejected message").alias("alert"), "value"))

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowlens.functions.timeutil import trunc_ntz
 FEED_KEYS = ["environment", "partner", "doc_type"]
 BASE_DAYS = 21
 CUR_DAYS = 7
@@ -29,7 +30,7 @@ def feed_daily(ru: DataFrame) -> DataFrame:
 def asof_day(ru: DataFrame) -> Column:
     """The last complete day of the rollup, as a scalar-subquery Column."""
     last_bucket = ru.select(F.max("bucket")).scalar()
-    complete = ru.filter(F.col("bucket") < F.date_trunc("day", last_bucket).cast("timestamp_ntz"))
+    complete = ru.filter(F.col("bucket") < trunc_ntz("day", last_bucket))
     return complete.select(F.max(F.to_date("bucket"))).scalar()
 
 

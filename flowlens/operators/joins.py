@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowlens.functions.timeutil import trunc_ntz
 BROADCAST_ROW_LIMIT = 1_000_000
 
 
@@ -36,7 +37,7 @@ def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> Dat
 
 
 def _slice(ts: Column, unit: str) -> Column:
-    return F.date_trunc(unit, ts)
+    return trunc_ntz(unit, ts)
 
 
 def first_at_or_after(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str,

@@ -10,13 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.functions.timeutil import as_of_col, breached, pct
+from flowlens.functions.timeutil import as_of_col, breached, pct, trunc_ntz
 
 ROLLUP_DIMS = ["environment", "lob", "partner", "channel", "protocol", "direction", "doc_type", "status"]
 
 
 def _bucket(col: str = "event_time") -> Column:
-    return F.date_trunc("hour", F.col(col)).cast("timestamp_ntz")
+    return trunc_ntz("hour", F.col(col))
 
 
 def hourly_rollup(ev: DataFrame, as_of=None) -> DataFrame:
@@ -33,7 +33,7 @@ def hourly_rollup(ev: DataFrame, as_of=None) -> DataFrame:
 
 
 def refresh_cutoff(as_of=None, hours: int = 2) -> Column:
-    return F.timestamp_add("HOUR", F.lit(-hours), F.date_trunc("hour", as_of_col(as_of)).cast("timestamp_ntz"))
+    return F.timestamp_add("HOUR", F.lit(-hours), trunc_ntz("hour", as_of_col(as_of)))
 
 
 def refresh_rollup(ev: DataFrame, ru: DataFrame, as_of=None, hours: int = 2) -> DataFrame:
@@ -82,7 +82,7 @@ def breaches(ru: DataFrame, by: str) -> DataFrame:
 
 def monthly_usage(ru: DataFrame) -> DataFrame:
     """Month x partner x protocol x doc type x channel usage."""
-    month = F.date_trunc("month", F.col("bucket")).cast("timestamp_ntz")
+    month = trunc_ntz("month", F.col("bucket"))
     return (ru.groupBy(month.alias("month"), "partner", "protocol", "doc_type", "channel")
               .agg(F.sum("txn_count").cast("bigint").alias("txns"),
                    F.sum("kchar_sum").cast("decimal(28,2)").alias("kchar"),

@@ -46,8 +46,7 @@ def src4_edi_rollup(spark, sf_dir):
 SELECT * EXCLUDE (breached_count) FROM txn_rollup_hourly""", RU))
 def st1_windowed_rollup(spark, sf_dir):
     """The streaming rollup's plan run on the batch table (breach is applied at read)."""
-    r = jobs.windowed_rollup(jobs.as_stream_time(W(spark, sf_dir).events()), watermark=None)
-    return r.withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
+    return jobs.windowed_rollup(W(spark, sf_dir).events(), watermark=None)
 
 
 @register("st5_feed_sessions", sql(["feed_events"], """
@@ -61,10 +60,7 @@ FROM (SELECT *, sum(new_session) OVER (PARTITION BY environment, partner, doc_ty
 GROUP BY environment, partner, doc_type, sid"""))
 def st5_feed_sessions(spark, sf_dir):
     """Silent-feed sessions (gap 1 hour) with the streaming operator's plan on the batch table."""
-    s = jobs.feed_sessions(jobs.as_stream_time(W(spark, sf_dir).feed_events()), gap="1 hour", watermark=None)
-    return s.select("environment", "partner", "doc_type",
-                    *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("session_start", "session_end")],
-                    "messages", F.col("last_message_at").cast("timestamp_ntz").alias("last_message_at"))
+    return jobs.feed_sessions(W(spark, sf_dir).feed_events(), gap="1 hour", watermark=None)
 
 
 _ = ROLLUP_SQL

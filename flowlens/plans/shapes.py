@@ -15,7 +15,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.functions.timeutil import as_of_col
+from flowlens.functions.timeutil import as_of_col, trunc_ntz
 
 Metric = tuple[str, Column]  # (label, aggregate expression)
 
@@ -90,14 +90,14 @@ def big_number(df: DataFrame, metric: Metric, trend_col: str | None = None, grai
     name, m = metric
     if trend_col is None:
         return df.agg(m.alias(name))
-    return df.groupBy(F.date_trunc(grain, F.col(trend_col)).cast("timestamp_ntz").alias(trend_col)).agg(m.alias(name))
+    return df.groupBy(trunc_ntz(grain, F.col(trend_col)).alias(trend_col)).agg(m.alias(name))
 
 
 def time_series(df: DataFrame, ts: str, grain: str, metric: Metric, series: str | None = None,
                 limit: int = 10000) -> DataFrame:
     """Q4: metric per time grain (and series), sorted by time, limited."""
     name, m = metric
-    keys = [F.date_trunc(grain, F.col(ts)).cast("timestamp_ntz").alias(ts)] + ([F.col(series)] if series else [])
+    keys = [trunc_ntz(grain, F.col(ts)).alias(ts)] + ([F.col(series)] if series else [])
     g = df.groupBy(*keys).agg(m.alias(name))
     return g.orderBy(*_order_cols([(ts, True)], ([series] if series else []) + [name])).limit(limit)
 
@@ -193,7 +193,7 @@ def compare_lag(df: DataFrame, ts: str, metric: Metric, periods: int = 7, grain:
     """
     name, m = metric
     unit = grain.upper()
-    g = df.groupBy(F.date_trunc(grain, F.col(ts)).cast("timestamp_ntz").alias("period")).agg(m.alias(name))
+    g = df.groupBy(trunc_ntz(grain, F.col(ts)).alias("period")).agg(m.alias(name))
     prev = g.select(F.timestamp_add(unit, F.lit(periods), F.col("period")).alias("period"),
                     F.col(name).alias(f"{name}_prev"))
     j = g.join(prev, "period", "left")

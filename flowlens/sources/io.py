@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.functions.timeutil import as_of_col
+from flowlens.functions.timeutil import as_of_col, trunc_ntz
 from flowlens.operators import files as fi
 from flowlens.operators import rollup as ro
 from flowlens.sources import contracts as C
@@ -89,7 +89,7 @@ def _rollup_layout(ru: DataFrame, grain: str) -> DataFrame:
     production volumes, ``month`` for sparse histories (a few hundred rows a
     day) where day partitions would be thousands of tiny files.
     """
-    part = F.to_date(F.date_trunc(grain, F.col("bucket")))
+    part = F.to_date(trunc_ntz(grain, F.col("bucket")))
     return (ru.withColumn("part", part).repartitionByRange(F.col("part"), F.col("partner"))
               .sortWithinPartitions("partner", "bucket"))
 
@@ -112,7 +112,7 @@ def refresh_rollup_days(ev: DataFrame, path: str, as_of=None, hours: int = 2, gr
     partition (day / month) that holds the refresh cutoff, not two hours.
     """
     cut = ro.refresh_cutoff(as_of, hours)
-    start = F.date_trunc(grain, cut).cast("timestamp_ntz")
+    start = trunc_ntz(grain, cut)
     fresh = ro.hourly_rollup(ev.filter(F.col("event_time") >= start), as_of)
     write_rollup(fresh, path, grain)
 
