@@ -56,6 +56,41 @@ def trunc_ntz(unit: str, ts: Column) -> Column:
     return F.make_timestamp_ntz(y, mo, d, h, mi, F.lit(0))
 
 
+def format_ntz(ts: Column, pattern: str) -> Column:
+    """``date_format`` for TIMESTAMP_NTZ built from the value's own fields.
+
+    Supports yyyy, yy, MM, dd, HH, mm, ss, SSS and quoted or plain literal
+    characters; never consults the session time zone.
+    """
+    fields = {
+        "yyyy": lambda: F.lpad(F.year(ts).cast("string"), 4, "0"),
+        "yy": lambda: F.lpad((F.year(ts) % 100).cast("string"), 2, "0"),
+        "MM": lambda: F.lpad(F.month(ts).cast("string"), 2, "0"),
+        "dd": lambda: F.lpad(F.dayofmonth(ts).cast("string"), 2, "0"),
+        "HH": lambda: F.lpad(F.hour(ts).cast("string"), 2, "0"),
+        "mm": lambda: F.lpad(F.minute(ts).cast("string"), 2, "0"),
+        "ss": lambda: F.lpad(F.second(ts).cast("string"), 2, "0"),
+        "SSS": lambda: F.lpad((F.floor(F.extract(F.lit("SECOND"), ts) * 1000) % 1000).cast("bigint").cast("string"),
+                              3, "0"),
+    }
+    parts, i = [], 0
+    while i < len(pattern):
+        if pattern[i] == "'":
+            j = pattern.index("'", i + 1)
+            parts.append(F.lit(pattern[i + 1:j]))
+            i = j + 1
+            continue
+        for tok in ("yyyy", "SSS", "yy", "MM", "dd", "HH", "mm", "ss"):
+            if pattern.startswith(tok, i):
+                parts.append(fields[tok]())
+                i += len(tok)
+                break
+        else:
+            parts.append(F.lit(pattern[i]))
+            i += 1
+    return F.concat(*parts)
+
+
 def _micros_of_day(ts: Column) -> Column:
     whole = (F.hour(ts) * 3600 + F.minute(ts) * 60).cast("bigint") * 1_000_000
     return whole + (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("bigint")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.functions.timeutil import as_of_col, breached, hash_bucket, pct, round_minutes
+from flowlens.functions.timeutil import as_of_col, breached, format_ntz, hash_bucket, pct, round_minutes
 
 EXCEPTION_STATUSES = ("failed", "rejected")
 # Worst-of ranking per leg, failed > rejected > duplicate > ok.
@@ -106,7 +106,7 @@ def _code(col: Column, n: int) -> Column:
 
 def file_names(ev: DataFrame) -> DataFrame:
     """EDI-side and JSON-side file names; which is incoming flips by direction."""
-    stamp = F.date_format("event_time", "yyyyMMddHHmmssSSS")
+    stamp = format_ntz(F.col("event_time"), "yyyyMMddHHmmssSSS")
     pcode = _code(F.col("partner"), 10)
     syscode = _code(F.coalesce(F.col("lob"), F.lit("INTSYS")), 8)
     edi = F.concat_ws("_", "doc_type", pcode, "business_ref", stamp)
