@@ -15,6 +15,7 @@ Layout decisions for scale:
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -122,15 +123,30 @@ def latest_version(df: DataFrame) -> DataFrame:
     return df.filter(F.col("version") == v).drop("version")
 
 
-def upsert_files(batch: DataFrame, path: str, version: int) -> None:
-    """SNK3: merge a batch of receipt / parse rows into the file table as ``version``."""
+def next_version(spark: SparkSession, path: str) -> int:
+    """1 + the highest committed ``version`` of a versioned table (1 when empty)."""
+    try:
+        v = spark.read.parquet(path).agg(F.max("version")).first()[0]
+    except AnalysisException:
+        return 1
+    return int(v or 0) + 1
+
+
+def upsert_files(batch: DataFrame, path: str, version: int | None = None) -> None:
+    """SNK3: merge a batch of receipt / parse rows into the file table as a new version.
+
+    The version partition is written with dynamic overwrite: a failed write
+    commits nothing and the retry writes the same version again.
+    """
     spark = batch.sparkSession
     try:
         target = read_files(spark, path)
-    except Exception:  # noqa: BLE001 - first write: no table yet
+    except AnalysisException:  # first write: no table yet
         target = spark.createDataFrame([], C.FILES)
+    v = version if version is not None else next_version(spark, path)
     merged = fi.upsert_files(batch.select(*fi.FILE_COLUMNS), target)
-    merged.withColumn("version", F.lit(version).cast("bigint")).write.mode("append").partitionBy("version").parquet(path)
+    (merged.withColumn("version", F.lit(v).cast("bigint"))
+           .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version").parquet(path))
 
 
 def export_csv(df: DataFrame, path: str) -> None:

@@ -120,8 +120,9 @@ def current_state_batch(state_path: str, buckets: int = STATE_BUCKETS):
     The state table is hash-bucketed by business_ref and versioned
     (``bucket=B/version=N``).  A micro-batch rewrites only the buckets it
     touches, as a new version written with dynamic partition overwrite, so a
-    replayed batch id rewrites the same directories (idempotent) and readers
-    never see a half-written bucket.
+    retried batch rewrites the same directories (the version is the table's
+    latest committed version + 1, so a failed write is simply redone) and
+    readers never see a half-written bucket.
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -130,6 +131,7 @@ def current_state_batch(state_path: str, buckets: int = STATE_BUCKETS):
         bucket = (F.abs(F.xxhash64("business_ref")) % buckets).cast("int")
         fresh = lc.current_state(ev).withColumn("bucket", bucket)
         touched = fresh.select("business_ref", "bucket")
+        version = io.next_version(spark, state_path)
         try:
             old = read_state(spark, state_path)
         except Exception:  # noqa: BLE001 - first batch: no state yet
@@ -141,7 +143,7 @@ def current_state_batch(state_path: str, buckets: int = STATE_BUCKETS):
             state = keep.unionByName(_merge_state(prev.drop("bucket"), fresh.drop("bucket")).withColumn("bucket", bucket))
         else:
             state = fresh
-        (state.withColumn("version", F.lit(int(batch_id) + 1).cast("bigint"))
+        (state.withColumn("version", F.lit(version).cast("bigint"))
               .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
               .partitionBy("bucket", "version").parquet(state_path))
     return handle
@@ -164,8 +166,7 @@ def _merge_state(prev: DataFrame, fresh: DataFrame) -> DataFrame:
 def file_upsert_batch(table_path: str):
     """ST6: ``foreachBatch`` handler merging receipt-then-parse file rows (SNK3)."""
     def handle(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.select(*fi.FILE_COLUMNS)
-        io.upsert_files(rows, table_path, int(batch_id) + 1)
+        io.upsert_files(batch.select(*fi.FILE_COLUMNS), table_path)
     return handle
 
 

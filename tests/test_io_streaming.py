@@ -121,3 +121,24 @@ def test_foreach_batch_current_state_and_files(spark):
     want = lc.current_state(w.events())
     cols = ["business_ref", "current_status", "last_event_at", "replay_count"]
     assert _rows(got, cols) == _rows(want, cols)
+
+
+def test_foreach_batch_file_receipt_then_parse(spark):
+    """ST6: receipt rows land first, parse rows later; the table ends at the parsed state."""
+    w = _world(spark)
+    files = w.files()
+    src = tempfile.mkdtemp(prefix="fl-files-src-")
+    receipt = files.withColumn("status", F.lit("received")).withColumn("declared_txn_count", F.lit(None).cast("int"))
+    receipt.coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(files.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    table = tempfile.mkdtemp(prefix="fl-files-tbl-")
+    jobs.run_available_now(stream, "st6_receipt", foreach_batch=jobs.file_upsert_batch(table))
+    files.coalesce(1).write.mode("append").parquet(src)
+    stream2 = spark.readStream.schema(files.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    ckpt = jobs.checkpoint_for(spark, "st6-" + os.path.basename(table))
+    for _ in range(2):  # the second run resumes from the checkpoint and sees only the new file
+        (stream2.writeStream.option("checkpointLocation", ckpt).trigger(availableNow=True)
+                .foreachBatch(jobs.file_upsert_batch(table)).start().awaitTermination())
+    got = io.read_files(spark, table)
+    assert _rows(got, ["interchange_id", "status", "declared_txn_count"]) == \
+        _rows(files, ["interchange_id", "status", "declared_txn_count"])
