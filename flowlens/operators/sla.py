@@ -107,10 +107,11 @@ def sla_rule_pairs(ev: DataFrame, rules: DataFrame, as_of=None, key: str = "inte
                   & (t.environment == r.r_env) & (r.r_partner.isNull() | (t.partner == r.r_partner)))
     trig = trig.select("rule_id", "name", "partner", "business_ref", "_key", "trigger_at", "threshold_minutes",
                        "response_doc_type", "response_direction")
-    wanted = r.select("response_doc_type", "response_direction").distinct()
+    # A semi join needs no distinct on the (small, broadcast) rule side.
+    wanted = r.select("response_doc_type", "response_direction")
     resp = (ev.select(F.col(key).alias("_key"), F.col("doc_type").alias("response_doc_type"),
                       F.col("direction").alias("response_direction"), F.col("event_time").alias("response_at"))
-              .join(F.broadcast(wanted), ["response_doc_type", "response_direction"], "left_semi"))
+              .join(wanted, ["response_doc_type", "response_direction"], "left_semi"))
     m = first_at_or_after(trig, resp, ["_key", "response_doc_type", "response_direction"],
                           "trigger_at", "response_at", out="response_at", slice_unit=slice_unit)
     tt, rr, thr = F.col("trigger_at"), F.col("response_at"), F.col("threshold_minutes")
