@@ -1,5 +1,5 @@
-"""Remaining grids, the API/EDI-scoped rollup and the batch forms of the
-streaming operators (F13, F21, A41, SRC4, ST1, ST5)."""
+"""Remaining grids and KPI variants, the EDI-scoped rollup and the batch forms of
+the streaming operators (F13, F21, A36, A37, A41, SRC4, ST1, ST5)."""
 
 from __future__ import annotations
 
@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from flowlens.operators import lifecycle as lc
 from flowlens.operators import rollup as ro
 from flowlens.operators import shipment360 as s3
+from flowlens.operators import sla
+from flowlens.plans import shapes as sh
+from flowlens.plans.catalog_ops import PAIRS_SQL
 from flowlens.plans.registry import CUR, ROLLUP_SQL, RU, W, register, sql
 from flowlens.streaming import jobs
 
@@ -64,3 +67,25 @@ def st5_feed_sessions(spark, sf_dir):
 
 
 _ = ROLLUP_SQL
+
+
+@register("a36_breaches_by_lob", sql(EV, """
+SELECT lob, CAST(sum(breached_count) AS BIGINT) AS breached FROM txn_rollup_hourly GROUP BY lob""", RU))
+def a36_breaches_by_lob(spark, sf_dir):
+    return ro.breaches(W(spark, sf_dir).rollup(), "lob")
+
+
+@register("a36_breach_trend", sql(EV, """
+SELECT CAST(date_trunc('day', bucket) AS TIMESTAMP) AS bucket, CAST(sum(breached_count) AS BIGINT) AS breached
+FROM txn_rollup_hourly GROUP BY 1""", RU))
+def a36_breach_trend(spark, sf_dir):
+    return sh.big_number(W(spark, sf_dir).rollup(), ("breached", F.sum("breached_count").cast("bigint")),
+                         trend_col="bucket")
+
+
+@register("a37_missed_by_partner", sql(EV, """
+SELECT partner, sla_state, count(*) FILTER (WHERE sla_state = 'missed') AS missed, count(*) AS orders
+FROM vw_sla_pairs GROUP BY 1, 2""", f"vw_sla_pairs AS ({PAIRS_SQL})"))
+def a37_missed_by_partner(spark, sf_dir):
+    w = W(spark, sf_dir)
+    return sla.missed_by_partner(sla.sla_pairs(w.events(), w.as_of))
