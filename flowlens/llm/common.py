@@ -20,14 +20,7 @@ WORD_RE = re.compile(WORD)
 
 def words(text: Column) -> Column:
     """The words of a text as an array; null and blank texts have none."""
-    runs = F.split(F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\f\r", "     "), " ")
-    return F.filter(runs, lambda w: w != "")
-
-
-def n_words(text: Column) -> Column:
-    """The number of words, without building them: letters that follow a space."""
-    flat = F.concat(F.lit(" "), F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\f\r", "     "))
-    return F.regexp_count(flat, F.lit(" [^ ]")).cast("long")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")
 
 
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:

@@ -1,18 +1,18 @@
 """Benchmark decontamination by SimHash windows and multi-index Hamming search.
 
-Texts are lower-cased, ASCII punctuation is deleted, and words are runs between
-white space.  Windows have the size of the smallest benchmark item (5 to 15
-words), one at every word of every document.  A window's fingerprint takes, for
-each bit, the majority of its words' hash bits.  Counting runs on 15 four-bit
-lanes per long: a window of up to 15 words is a sum of power-of-two windows, each
-made from two of half its size, so a document costs a few array passes and no
-shuffle.
-
-The fingerprints of item windows (every ``STEP`` words, and the last) are split
-into ``RADIUS`` + 1 blocks.  By the pigeonhole principle a document window within
-``RADIUS`` bits of a probe equals it in one block at least, so looking up
-the blocks finds all of them.  A bitmap of the probes' block values, of a fixed
-size, lets most windows drop before the join; it holds back none that could match.
+Texts are lower-cased; white space and ASCII punctuation stand between words.
+Document windows begin at every ``STEP``-th word, item windows at every word.
+Their size is set by the smallest item: as many whole steps as it holds wherever
+it stands (12 words at most), so every copied run of that length holds a document
+window whose fingerprint some item window has too.  A fingerprint takes, for each
+bit, the majority of its words' hash bits, counted on 15 four-bit lanes per long
+and added piece by piece; a document costs a few array passes and no shuffle.
+
+The fingerprints of item windows (probes) are split into ``RADIUS`` + 1 blocks.  By
+the pigeonhole principle a document window within ``RADIUS`` bits of a probe equals
+it in one block at least, so looking up the blocks finds all of them.  A bitmap of
+the probes' block values, of a fixed size, lets most windows drop before the join;
+it holds back none that could match.
 
 A match proposes where the item would start.  The words there, as many as the item
 has, are compared with the item by weighted Jaccard similarity of five-word
@@ -29,20 +29,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import Store, words
+from flowlens.llm.common import Store
 
 SIMILARITY = 0.8
 SHINGLE = 5
 RADIUS = 1
 STEP = 4
-LANES = 15
+#: Windows have 12 words at most; a lane counts to 15.
+LARGEST, LANES = 12, 15
 #: Bits of bitmap per block, by planes; primes, since a block's value is taken modulo them.
-BITMAP = {2: 65_521, 3: 4_194_301, 4: 4_194_301}
-PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+BITMAP = {3: 1_048_573, 4: 4_194_301}
+#: White space and ASCII punctuation stand between words.
+BETWEEN = r"[\x00-\x20!-/:-@\[-`{-~]+"
 
 
 def _normal(text: Column) -> Column:
-    return words(F.translate(F.lower(text), PUNCTUATION, ""))
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), BETWEEN), "")
 
 
 def _lanes(bit: int) -> int:
@@ -50,38 +52,33 @@ def _lanes(bit: int) -> int:
     return sum(1 << (4 * lane + bit) for lane in range(LANES))
 
 
-def fingerprints(df: DataFrame, size: int, planes: int) -> DataFrame:
-    """df with ``s_f``, the fingerprints of all windows of ``size`` words of the array ``s_w``, in order.
+def fingerprints(df: DataFrame, size: int, step: int, planes: int) -> DataFrame:
+    """df with ``s_f``: fingerprints of the windows of ``size`` words of the array ``s_w`` that begin at every ``step``-th
+    word, in order; ``size`` is a multiple of ``step``.
 
     Plane k counts bits k, k + 4, ... of the words' hashes.
     """
     df = df.withColumn("s_h", F.transform("s_w", lambda w: F.xxhash64(w)))
-    halves = [p for p in (8, 4, 2, 1) if p <= size]
-
-    def plane(k: int) -> Column:
-        return F.transform("s_h", lambda h: F.shiftright(h, k).bitwiseAND(F.lit(_lanes(0))))
-
-    def added(a: Column, b: Column) -> Column:
-        return F.zip_with(a, b, lambda x, y: x + y)
-
-    def shifted(name: str, by: int, length: Column) -> Column:
-        return F.slice(name, by + 1, F.greatest(length, F.lit(0)))
-
-    # Beyond the end of a text the sums are null; the last step leaves them out.
-    df = df.withColumns({f"s_{k}_1": plane(k) for k in range(planes)})
-    for p in reversed(halves[:-1]):
-        df = df.withColumns({f"s_{k}_{p}": added(F.col(f"s_{k}_{p // 2}"), shifted(
-            f"s_{k}_{p // 2}", p // 2, F.size("s_w") - p // 2)) for k in range(planes)})
+    pieces, many = F.size("s_w") / step, size // step
+
+    def piece(k: int) -> Column:
+        def counted(j: Column) -> Column:
+            out = None
+            for t in range(step):
+                bits = F.shiftright(F.get("s_h", j * step + t), k).bitwiseAND(F.lit(_lanes(0)))
+                out = bits if out is None else out + bits
+            return out
+        return F.transform(F.sequence(F.lit(0), F.floor(pieces).cast("int") - 1), counted)
+
+    df = df.filter(F.size("s_w") >= size).withColumns({f"s_{k}": piece(k) for k in range(planes)})
     most = size // 2 + 1  # a majority
     lift = sum((8 - most) << (4 * lane) for lane in range(LANES))
-    many = F.size("s_w") - size + 1
+    length = F.size("s_0") - many + 1
 
     def total(k: int) -> Column:
-        out, start = None, 0
-        for p in halves:
-            if size & p:
-                part = shifted(f"s_{k}_{p}", start, many)
-                out, start = part if out is None else added(out, part), start + p
+        out = F.slice(f"s_{k}", 1, length)
+        for j in range(1, many):
+            out = F.zip_with(out, F.slice(f"s_{k}", j + 1, length), lambda x, y: x + y)
         return out
 
     def majority(x: Column, k: int) -> Column:
@@ -92,7 +89,7 @@ def fingerprints(df: DataFrame, size: int, planes: int) -> DataFrame:
     prints = F.transform("s_t0", lambda x: majority(x, 0))
     for k in range(1, planes):
         prints = _merged(prints, F.col(f"s_t{k}"), k, majority)
-    return df.withColumn("s_f", prints).drop("s_h", *[f"s_{k}_{p}" for k in range(planes) for p in halves],
+    return df.withColumn("s_f", prints).drop("s_h", *[f"s_{k}" for k in range(planes)],
                                              *[f"s_t{k}" for k in range(planes)])
 
 
@@ -132,14 +129,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         return spark.createDataFrame([], "doc_id long, item_id long, similarity double, start int, n_words int").select(
             F.col("doc_id").cast(docs.schema[id_col].dataType), F.col("item_id").cast(benchmark.schema[item_col].dataType),
             "similarity", "start", "n_words")
-    size = min(LANES, smallest)
-
-    many = named.agg(F.sum(F.size("s_w") / STEP + 2)).first()[0]
-    planes = 2 if many <= 2**13 else 3 if many <= 2**19 else 4
-    at = F.filter(F.sequence(F.lit(0), F.size("s_w") - size), lambda i: (i % STEP == 0) | (i == F.size("s_w") - size))
-    probes = fingerprints(items, size, planes)
-    probes = probes.withColumn("at", F.explode(at)).select(
-        "item_key", F.size("s_w").alias("n_words"), "at", F.get("s_f", F.col("at")).alias("probe"))
+    step = STEP if smallest >= 3 * STEP - 1 else 1
+    size = min(LARGEST, smallest - step + 1) // step * step
+    many = named.agg(F.sum(F.size("s_w"))).first()[0]
+    planes = 3 if many <= 2**16 else 4
+    probes = fingerprints(items, size, 1, planes).select(
+        "item_key", F.size("s_w").alias("n_words"), F.posexplode("s_f").alias("at", "probe"))
     probes = probes.withColumn("b", F.explode(F.array(*[
         F.struct(F.lit(i).alias("block"), v.alias("value")) for i, v in enumerate(_blocks(F.col("probe")))])))
     probes = store.keep(probes.select("item_key", "n_words", "at", "probe", "b.block", "b.value"), "probes")
@@ -161,21 +156,27 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
             found = found | (F.bit_get(word, (place % 64).cast("int")) == 1)
         return found
 
-    windows = fingerprints(docs.select(docs[id_col].alias("doc_id"), _normal(docs[text_col]).alias("s_w"))
-                           .filter("doc_id IS NOT NULL"), size, planes)
-    windows = windows.select("doc_id", F.explode(F.filter(
-        F.transform("s_f", lambda f, i: F.struct(f.alias("f"), i.alias("pos"))), lambda x: possible(x["f"]))).alias("x"))
-    windows = windows.select("doc_id", "x.f", "x.pos", F.explode(F.array(*[
+    windows = fingerprints(docs.filter(docs[id_col].isNotNull()).select(
+        docs[id_col].alias("doc_id"), _normal(docs[text_col]).alias("s_w")), size, step, planes)
+    hits = F.array_compact(F.transform("s_f", lambda f, i: F.when(possible(f), F.struct(f.alias("f"), (i * step).alias("pos")))))
+    windows = windows.select("doc_id", F.inline(hits))
+    windows = windows.select("doc_id", "f", "pos", F.explode(F.array(*[
         F.struct(F.lit(i).alias("block"), v.alias("value"))
-        for i, v in enumerate(_blocks(F.col("x.f")))])).alias("b")).select("doc_id", "f", "pos", "b.*")
+        for i, v in enumerate(_blocks(F.col("f")))])).alias("b")).select("doc_id", "f", "pos", "b.*")
     near = windows.join(probes, ["block", "value"]).filter(F.bit_count(F.col("f").bitwiseXOR(F.col("probe"))) <= RADIUS)
     spans = store.keep(near.select("doc_id", "item_key", (F.col("pos") - F.col("at")).alias("start"), "n_words")
                        .distinct(), "candidates")
 
-    there = F.slice("d_w", F.greatest(F.col("start"), F.lit(0)) + 1, F.col("n_words") + F.least(F.col("start"), F.lit(0)))
+    # A document's words are made once, however many spans it has.
+    spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("item_key", "start", "n_words")).alias("spans"))
     texts = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("d_text"))
     pairs = spans.join(texts, "doc_id").withColumn("d_w", _normal(F.col("d_text"))).drop("d_text")
-    pairs = pairs.withColumn("d_w", there).withColumn("d_s", _shingles(F.col("d_w"))).drop("d_w")
+    there = F.transform("spans", lambda x: F.struct(
+        x["item_key"].alias("item_key"), x["start"].alias("start"), x["n_words"].alias("n_words"),
+        F.slice("d_w", F.greatest(x["start"], F.lit(0)) + 1,
+                x["n_words"] + F.least(x["start"], F.lit(0))).alias("d_v")))
+    pairs = pairs.withColumn("there", there).filter(F.size("d_w") > 0).select("doc_id", F.inline("there"))
+    pairs = pairs.withColumn("d_s", _shingles(F.col("d_v"))).drop("d_v")
     pairs = pairs.withColumn("d_s", _numbered("d_s"))
     of_items = items.select("item_key", _shingles(F.col("s_w")).alias("i_s")).withColumn("i_s", _numbered("i_s"))
     both = F.size(F.array_intersect("d_s", "i_s"))

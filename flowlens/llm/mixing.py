@@ -31,7 +31,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import Store, n_words
+from flowlens.llm.common import Store, words
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -47,7 +47,7 @@ def entropy_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
     """doc_id, source, size, source_size, target, rate, copies and taken (copies * size) of every row."""
     store = Store(docs.sparkSession, "mixing")
     sized = store.keep(docs.select(docs[id_col].alias("doc_id"), docs[source_col].alias("source"),
-                                   n_words(docs[text_col]).alias("size")), "sized")
+                                   F.size(words(docs[text_col])).cast("long").alias("size")), "sized")
     counts = store.keep(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "counts")
     sources = store.keep(targets(counts, weights, share), "targets")
     solved = store.keep(_solve(store, counts, sources), "multipliers")

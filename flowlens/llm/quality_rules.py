@@ -45,15 +45,14 @@ def base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     out = docs.withColumns({
         "q_w": words(docs[text_col]),
         "q_lines": F.filter(F.split(text, "\n"), has_word),
-        "q_word_chars": F.char_length(F.translate(text, " \t\n\x0b\f\r", "")).cast("long"),
-        "q_n_symbols": (F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))).cast("long"),
+        "q_n_symbols": (F.char_length(text) - F.char_length(F.regexp_replace(text, f"[{SYMBOLS}]+", ""))).cast("long"),
         "q_marks": F.regexp_count(text, F.lit("[#*$%&|<>]+")).cast("long"),
-        "q_upper": (F.char_length(text)
-                    - F.char_length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).cast("long"),
+        "q_upper": F.regexp_count(text, F.lit("[A-Z]")).cast("long"),
     })
     lower = F.array(*[F.lit(w) for w in FUNCTION_WORDS])
     out = out.withColumns({
         "q_n_words": F.size("q_w").cast("long"),
+        "q_word_chars": F.char_length(F.array_join("q_w", "")).cast("long"),
         "q_n_lines": F.size("q_lines").cast("long"),
         "q_n_dup_lines": (F.size("q_lines") - F.size(F.array_distinct("q_lines"))).cast("long"),
         "q_ended": F.size(F.filter("q_lines", lambda x: F.rtrim(x).rlike("[.!?:;\"']$"))).cast("long"),
