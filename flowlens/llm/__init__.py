@@ -1,0 +1,8 @@
+"""Operators of a training-data pipeline on Spark; nothing else in the library imports them."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Executors need not have this package installed: its functions travel with the tasks.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlens.llm import chat, decontam, mixing, quality_rules, sharding
+from flowlens.llm import chat, decontam, mixing, neardup, quality_rules, sharding
 from flowlens.llm.common import read
 
 
@@ -14,6 +14,10 @@ def op1_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.op1_minimax_shards(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op2_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.op2_odd_sketches(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op3_simhash_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.op3_simhash_leaks(read(spark, sf_dir, "documents", "doc_id", "text"),
                                       read(spark, sf_dir, "benchmark", "item_id", "text"))
@@ -32,7 +36,7 @@ def op9_prefix_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minimax_shards, op3_simhash_leaks, op4_weak_supervision, op5_entropy_mix,
+    f.__name__: f for f in (op1_minimax_shards, op2_odd_sketches, op3_simhash_leaks, op4_weak_supervision, op5_entropy_mix,
                             op9_prefix_examples)}
 
 ORACLES: dict[str, str] = {"op9_prefix_examples": chat.ORACLE_SQL}
