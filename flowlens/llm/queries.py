@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlens.llm import chat, decontam, mixing, neardup, quality_rules, sharding
+from flowlens.llm import chat, decontam, mixing, neardup, quality_rules, sharding, substring
 from flowlens.llm.common import read
 
 
@@ -31,12 +31,16 @@ def op5_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op5_entropy_mix(read(spark, sf_dir, "documents", "doc_id", "source", "text"))
 
 
+def op8_fm_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.op8_fm_passages(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op9_prefix_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.op9_prefix_examples(read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_minimax_shards, op2_odd_sketches, op3_simhash_leaks, op4_weak_supervision, op5_entropy_mix,
-                            op9_prefix_examples)}
+                            op8_fm_passages, op9_prefix_examples)}
 
 ORACLES: dict[str, str] = {"op9_prefix_examples": chat.ORACLE_SQL}
