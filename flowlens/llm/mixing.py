@@ -46,24 +46,48 @@ def entropy_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
                 id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, source, size, source_size, target, rate, copies and taken (copies * size) of every row."""
     store = Store(docs.sparkSession, "mixing")
-    sized = store.keep(docs.select(docs[id_col].alias("doc_id"), docs[source_col].alias("source"),
-                                   F.size(words(docs[text_col])).cast("long").alias("size")), "sized")
+    sized = store.keep(_sized(docs, id_col, text_col, source_col), "sized")
+    out = _with_copies(sized, *_plan(store, sized, weights, share))
+    return out.select("doc_id", "source", "size", "source_size", "target", "rate", "copies",
+                      (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+
+
+def repeat_rows(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, id_col: str = "doc_id",
+                text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of docs, each as often as it has copies."""
+    store = Store(docs.sparkSession, "mixing")
+    sized = store.keep(_sized(docs, id_col, text_col, source_col), "sized")
+    whole = _sized(docs, id_col, text_col, source_col, F.struct(*[docs[c] for c in docs.columns]).alias("m_row"))
+    out = _with_copies(whole, *_plan(store, sized, weights, share))
+    return out.select("m_row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("m_row.*")
+
+
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, *more: Column) -> DataFrame:
+    return docs.select(docs[id_col].alias("doc_id"), docs[source_col].alias("source"),
+                       F.size(words(docs[text_col])).cast("long").alias("size"), *more)
+
+
+def _plan(store: Store, sized: DataFrame, weights: tuple[float, ...], share: float) -> tuple[DataFrame, DataFrame]:
+    """The rate of each (source, size), and the phase of each source."""
     counts = store.keep(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "counts")
     sources = store.keep(targets(counts, weights, share), "targets")
     solved = store.keep(_solve(store, counts, sources), "multipliers")
-    # Spread over the sizes, so that no task holds a whole source; a source's row repeats for each of its sizes.
-    rates = store.keep(counts.join(solved, F.col("source").eqNullSafe(F.col("of"))).drop("of", "n"), "rates")
-    rated = (sized.withColumnsRenamed({"source": "d_source", "size": "d_size"})
-             .join(rates, F.col("d_source").eqNullSafe(F.col("source")) & (F.col("d_size") == F.col("size")))
-             .drop("d_source", "d_size")
-             .withColumn("rate", _rate(F.col("size"), F.col("multiplier"), F.col("scale")))
-             .withColumn("draw", (F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(2.0**53))))
-    rated = store.keep(rated, "rated")
-    phase = _phases(rated, solved)
-    out = rated.join(phase, F.col("source").eqNullSafe(F.col("p_source")))
-    copies = _copies(F.col("rate"), F.col("draw"), F.col("phase"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "rate", copies.alias("copies"),
-                      (copies * F.col("size")).cast("long").alias("taken"))
+    rates = counts.join(solved, F.col("source").eqNullSafe(F.col("of"))).select(
+        F.col("source").alias("r_source"), F.col("size").alias("r_size"), "source_size", "target",
+        _rate(F.col("size"), F.col("multiplier"), F.col("scale")).alias("rate"))
+    rates = store.keep(rates, "rates")
+    return rates, store.keep(_phases(_rated(sized, rates), solved), "phases")
+
+
+def _rated(rows: DataFrame, rates: DataFrame) -> DataFrame:
+    joined = rows.join(rates, F.col("source").eqNullSafe(F.col("r_source")) & (F.col("size") == F.col("r_size")))
+    return joined.drop("r_source", "r_size").withColumn(
+        "draw", F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(2.0**53))
+
+
+def _with_copies(rows: DataFrame, rates: DataFrame, phases: DataFrame) -> DataFrame:
+    out = _rated(rows, rates).join(phases, F.col("source").eqNullSafe(F.col("p_source")))
+    return out.withColumn("copies", _copies(F.col("rate"), F.col("draw"), F.col("phase")))
 
 
 def targets(counts: DataFrame, weights: tuple[float, ...], share: float) -> DataFrame:

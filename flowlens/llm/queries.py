@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlens.llm import chat, decontam, mixing, neardup, quality_rules, sharding, substring
+from flowlens.llm import chat, decontam, mixing, neardup, quality_model, quality_rules, sharding, substring, token_counts, toxicity
 from flowlens.llm.common import read
 
 
@@ -31,6 +31,16 @@ def op5_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op5_entropy_mix(read(spark, sf_dir, "documents", "doc_id", "source", "text"))
 
 
+def op6_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op6_factorization_machine(read(spark, sf_dir, "documents", "doc_id", "text"),
+                                              read(spark, sf_dir, "labels", "doc_id", "toxic"))
+
+
+def op7_subword_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.op7_subword_embeddings(read(spark, sf_dir, "documents", "doc_id", "text"),
+                                                read(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
 def op8_fm_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.op8_fm_passages(read(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -39,8 +49,20 @@ def op9_prefix_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.op9_prefix_examples(read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
 
 
+def op10_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.op10_section_tokens(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minimax_shards, op2_odd_sketches, op3_simhash_leaks, op4_weak_supervision, op5_entropy_mix,
-                            op8_fm_passages, op9_prefix_examples)}
+    f.__name__: f for f in (
+        op1_minimax_shards, op2_odd_sketches, op3_simhash_leaks, op4_weak_supervision, op5_entropy_mix,
+        op6_factorization_machine, op7_subword_embeddings, op8_fm_passages, op9_prefix_examples, op10_section_tokens,
+        pipeline)}
 
 ORACLES: dict[str, str] = {"op9_prefix_examples": chat.ORACLE_SQL}

@@ -58,6 +58,14 @@ def minimax_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id"
     return _number(rows.withColumn("shard", _shard_of(F.col("text_key"), own, cuts)))
 
 
+def place_rows(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, shard and slot of every row, beside its size and checksum; texts stay where they are.
+
+    A trainer reads a shard's rows in the order of their slots.
+    """
+    return minimax_shards(docs, shards, id_col, text_col).select("doc_id", "size", "text_crc32", "shard", "slot")
+
+
 def _shard_of(key: Column, own: list[str], cuts: list[str]) -> Column:
     """own: keys with a shard each; cuts: the last key of each further shard but the final one."""
     place = F.lit(len(own))
