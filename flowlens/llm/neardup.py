@@ -13,16 +13,15 @@ documents are linked if 100 * |intersection| >= percent * |union|.
    population count z of two sketches' XOR estimates how many samples differ,
    -n/2 ln(1 - 2z/n) of 2k, and from that the similarity; at high similarity few
    bits are set, which is where odd sketches are precise.
-3. Within a bucket, members are not paired.  A few centres are compared with the
-   bucket's other members: sketches first, within ``SIGMAS`` standard deviations,
-   then the full sets of those that pass.  Confirmed links merge classes
-   (connected components).  A bucket is done when its members are of one component.
-   Otherwise its compared centres leave and others follow, taken from outside the
-   bucket's largest component, in numbers that grow fourfold a round.  Every pair
-   that could still join two components is so compared; rows a round grow with
-   members times centres, never with the square of a bucket.
+3. Within a bucket, one centre is compared with the other members: sketches first,
+   within ``SIGMAS`` standard deviations, then the full sets of those that pass.  The
+   centre is the member that knows most others over all its buckets, as the text that
+   copies were made from does.  Confirmed links merge classes (connected components).
+4. In the buckets that still hold several components, the members outside the largest
+   ask all others in the same way, in blocks of bounded size; a task returns only links
+   that connect.  After that every pair of a bucket is of one component or compared.
 
-Full sets are built for members of passing pairs only.
+Full sets are built for members of passing pairs and of such buckets only.
 
 Defined cases: a null text has no words; empty sets link with nothing.  Rows that
 share a doc_id are one document for links; each row is returned.  A row with a null
@@ -50,7 +49,8 @@ ROWS = 6
 MISS = 1e-6
 SKETCH_BITS = 512
 SIGMAS = 6.0
-FIRST_CENTRES, MORE = 1, 4
+#: Askers and members of a bucket that one task compares.
+BLOCK, CHUNK = 1_000, 4_000
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -142,46 +142,40 @@ def near_duplicates(docs: DataFrame, percent: int, id_col: str = "doc_id", text_
     classes = store.keep(named.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("id")), "classes")
     reps = named.join(classes.select(F.col("id").alias("doc_id"), "set_hi", "set_lo"), ["doc_id", "set_hi", "set_lo"])
     members = reps.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("id")).distinct()
-    shared = members.groupBy("bucket").count().filter("count > 1").select("bucket")
+    shared = members.groupBy("bucket").count().filter("count > 1")
     members = store.keep(members.join(shared, "bucket"), "members")
-    sketches = reps.select(F.col("doc_id").alias("id"), "sketch").dropDuplicates(["id"])
+    # How many neighbours a member has, over its buckets.  The text that a group's others were made from has most.
+    known = members.groupBy("id").agg(F.sum("count").alias("known"))
+    members = store.keep(members.drop("count").join(known, "id"), "known-members")
+    sketches = reps.select(F.col("doc_id").alias("id"), "sketch", "bands").dropDuplicates(["id"])
     sketches = store.keep(sketches.join(members.select("id").distinct(), "id"), "members-sketches")
 
     labels = members.select("id").distinct().withColumn("comp", F.col("id"))
-    sets, centres = None, FIRST_CENTRES
-    while True:
-        labelled = members.join(labels, "id")
-        if centres == FIRST_CENTRES:
-            # All components are single: any member may be the centre.
-            top = members.groupBy("bucket").agg(F.min("id").alias("centre"))
-            open_, chosen = labelled, top.withColumn("c_comp", F.col("centre"))
-        else:
-            per = labelled.groupBy("bucket", "comp").count().groupBy("bucket").agg(
-                F.max_by("comp", F.struct("count", "comp")).alias("largest"), F.count("*").alias("comps"))
-            open_ = store.keep(labelled.join(per.filter("comps > 1").select("bucket", "largest"), "bucket"), "open")
-            if open_.isEmpty():
-                break
-            lot = F.pmod(F.xxhash64("id", "bucket"), F.lit(centres))
-            chosen = (open_.filter("comp != largest").groupBy("bucket", lot.alias("lot"))
-                      .agg(F.min_by(F.struct("id", "comp"), "id").alias("c"))
-                      .select("bucket", F.col("c.id").alias("centre"), F.col("c.comp").alias("c_comp")))
-            members, chosen = open_.select("bucket", "id"), store.keep(chosen, "centres")
-        pairs = (open_.join(chosen, "bucket").filter("comp != c_comp")
-                 .select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct())
-        likely = (pairs.join(sketches.withColumnsRenamed({"id": "a", "sketch": "sa"}), "a")
-                  .join(sketches.withColumnsRenamed({"id": "b", "sketch": "sb"}), "b")
-                  .filter(_estimate(F.col("sa"), F.col("sb"), samples) >= lowest).select("a", "b"))
-        likely = store.keep(likely, "likely")
-        sets = _more_sets(store, texts, likely, sets, kind)
-        both = (likely.join(sets.withColumnsRenamed({"id": "b", "shingles": "tb"}), "b")
-                .join(sets.withColumnsRenamed({"id": "a", "shingles": "ta"}), "a")
-                .withColumn("n", F.size(F.array_intersect("ta", "tb"))))
-        links = store.keep(both.filter(F.col("n") * 100 >= percent * (F.size("ta") + F.size("tb") - F.col("n")))
-                           .select("a", "b"), "links")
-        labels = _merge(store, labels, links)
-        members = store.keep(members.join(chosen.select("bucket", F.col("centre").alias("id")), ["bucket", "id"],
-                                          "left_anti"), "members")
-        centres *= MORE
+
+    centres = members.groupBy("bucket").agg(F.max_by("id", F.struct("known", "id")).alias("centre"))
+    pairs = (members.join(centres, "bucket").filter("id != centre")
+             .select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct())
+    likely = (pairs.join(sketches.withColumnsRenamed({"id": "a", "sketch": "sa"}), "a")
+              .join(sketches.withColumnsRenamed({"id": "b", "sketch": "sb"}), "b")
+              .filter(_estimate(F.col("sa"), F.col("sb"), samples) >= lowest).select("a", "b"))
+    likely = store.keep(likely, "likely")
+    wanted = store.keep(likely.select(F.col("a").alias("id")).union(likely.select(F.col("b").alias("id"))).distinct(),
+                        "wanted")
+    sets = store.keep(_sets_of(texts, wanted, kind), "sets")
+    both = (likely.join(sets.withColumnsRenamed({"id": "b", "shingles": "tb"}), "b")
+            .join(sets.withColumnsRenamed({"id": "a", "shingles": "ta"}), "a")
+            .withColumn("n", F.size(F.array_intersect("ta", "tb"))))
+    links = both.filter(F.col("n") * 100 >= percent * (F.size("ta") + F.size("tb") - F.col("n"))).select("a", "b")
+    labels = _merge(store, labels, store.keep(links, "links"))
+
+    rest = _open(store, members, labels)
+    wanted = store.keep(rest.select("id").distinct(), "wanted")
+    more = _sets_of(texts, wanted.join(sets, "id", "left_anti"), kind)
+    sets = store.keep(more.unionByName(sets.join(wanted, "id", "left_semi")), "sets")
+    rest = rest.join(sets.join(sketches, "id"), "id")
+    links = rest.groupBy("bucket", "block", "chunk").applyInArrow(
+        _compare(percent, samples, lowest), f"a {kind}, b {kind}").distinct()
+    labels = _merge(store, labels, store.keep(links, "links"))
 
     of_class = classes.join(labels, "id", "left").select("set_hi", "set_lo", F.coalesce("comp", "id").alias("component"))
     out = made.drop("bands", "sketch").join(of_class, ["set_hi", "set_lo"], "left")
@@ -191,18 +185,88 @@ def near_duplicates(docs: DataFrame, percent: int, id_col: str = "doc_id", text_
         F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def _more_sets(store: Store, texts: DataFrame, pairs: DataFrame, sets: DataFrame | None, kind: str) -> DataFrame:
-    """sets with those of the pairs' documents; a doc_id of several rows counts with its first set."""
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    if sets is not None:
-        wanted = wanted.join(sets.select("id"), "id", "left_anti")
-    wanted = store.keep(wanted, "wanted")
-    if sets is not None and wanted.isEmpty():
-        return sets
+def _sets_of(texts: DataFrame, wanted: DataFrame, kind: str) -> DataFrame:
+    """id and shingles; a doc_id of several rows counts with its first set."""
     rows = texts.join(wanted, texts["doc_id"] == wanted["id"], "left_semi")
-    found = rows.mapInArrow(_sets, f"id {kind}, shingles array<long>").groupBy("id").agg(F.min("shingles").alias("shingles"))
-    found = store.keep(found, "sets")
-    return found if sets is None else sets.unionByName(found)
+    return rows.mapInArrow(_sets, f"id {kind}, shingles array<long>").groupBy("id").agg(
+        F.min("shingles").alias("shingles"))
+
+
+def _open(store: Store, members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The comparisons left: bucket, block, chunk, id, comp and asks.
+
+    In a bucket of several components, the members outside its largest ask all others.
+    Askers are dealt to blocks and members to chunks of bounded sizes; each asker meets
+    each chunk once and each member each block.
+    """
+    labelled = members.join(labels, "id")
+    per = labelled.groupBy("bucket", "comp").count().groupBy("bucket").agg(
+        F.max_by("comp", F.struct("count", "comp")).alias("largest"), F.count("*").alias("comps"),
+        F.sum("count").alias("n"), F.max("count").alias("most")).filter("comps > 1")
+    per = per.select("bucket", "largest", F.ceil((F.col("n") - F.col("most")) / F.lit(BLOCK)).alias("blocks"),
+                     F.ceil(F.col("n") / F.lit(CHUNK)).alias("chunks"))
+    rows = store.keep(labelled.join(per, "bucket").select(
+        "bucket", "id", "comp", (F.col("comp") != F.col("largest")).alias("asks"), "blocks", "chunks",
+        F.pmod(F.xxhash64("id"), F.col("blocks")).alias("own_block"),
+        F.pmod(F.xxhash64("id", F.lit(1)), F.col("chunks")).alias("own_chunk")), "open")
+    asked = rows.withColumn("asks", F.lit(False)).withColumnRenamed("own_chunk", "chunk").withColumn(
+        "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    asking = rows.filter("asks").withColumnRenamed("own_block", "block").withColumn(
+        "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    columns = ["bucket", "block", "chunk", "id", "comp", "asks"]
+    return asked.select(*columns).unionByName(asking.select(*columns))
+
+
+def _compare(percent: int, samples: int, lowest: float):
+    """Links between the askers of a block and the members of a chunk.
+
+    A pair that shares several buckets is compared in the first of them; pairs of one
+    component, or that a link found here connects, are not compared.
+    """
+    def column(table: pa.Table, name: str) -> np.ndarray:
+        lists = table.column(name).combine_chunks()
+        return np.asarray(lists.flatten()).reshape(len(table), -1)
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        bucket = key[0].as_py()
+        ids, comps = table.column("id").to_pylist(), table.column("comp").to_pylist()
+        asks = np.asarray(table.column("asks").combine_chunks().to_numpy(zero_copy_only=False)).astype(bool)
+        bands, sketch = column(table, "bands"), column(table, "sketch").view(np.uint64)
+        sets = [np.sort(np.asarray(s.values).view(np.uint64)) for s in table.column("shingles").combine_chunks()]
+        number = {c: i for i, c in enumerate(dict.fromkeys(comps))}
+        root = list(range(len(number)))
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                root[i] = i = root[root[i]]
+            return i
+
+        comp = np.array([number[c] for c in comps])
+        order = {d: i for i, d in enumerate(sorted(set(ids)))}
+        rank = np.array([order[d] for d in ids])
+        asking = {ids[i] for i in np.flatnonzero(asks)}
+        also = np.array([d in asking for d in ids])
+        others = np.flatnonzero(~asks)
+        here = int(np.flatnonzero(bands[0] == bucket)[0])
+        links = []
+        for q in np.flatnonzero(asks):
+            t = others[(comp[others] != comp[q]) & (~also[others] | (rank[others] > rank[q]))]
+            t = t[~(bands[t, :here] == bands[q, :here]).any(1)]
+            z = np.bitwise_count(sketch[t] ^ sketch[q]).sum(1)
+            guess = 1 + np.log(np.maximum(1 - 2 * z / SKETCH_BITS, 1e-9)) * (SKETCH_BITS / 2 / (2 * samples))
+            for i in t[guess >= lowest]:
+                u, v = find(comp[q]), find(comp[i])
+                if u == v:
+                    continue
+                x, y = sets[q], sets[i]
+                at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+                n = int((x[at] == y).sum())
+                if n * 100 >= percent * (len(x) + len(y) - n):
+                    root[max(u, v)] = min(u, v)
+                    links.append((min(ids[q], ids[i]), max(ids[q], ids[i])))
+        kind = table.schema.field("id").type
+        return pa.table({"a": pa.array([a for a, _ in links], kind), "b": pa.array([b for _, b in links], kind)})
+    return run
 
 
 def _merge(store: Store, labels: DataFrame, links: DataFrame) -> DataFrame:
