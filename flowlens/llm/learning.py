@@ -31,8 +31,10 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, learn: Callable[[Co
     wanted = labels.select(labels["doc_id"].alias("l_id"), labels[label].cast("int").alias("label"))
     wanted = (wanted.filter(F.col("label").isNotNull() & F.col("l_id").isNotNull() & learn(F.col("l_id")))
               .dropDuplicates(["l_id"]).orderBy(F.xxhash64("l_id"), "l_id").limit(most))
-    rows = docs.filter(docs["text"].isNotNull()).join(F.broadcast(wanted), docs["doc_id"] == wanted["l_id"])
-    return rows.select("doc_id", "text", "label").dropDuplicates(["doc_id"])
+    texts = docs.select("doc_id", "text").filter("text IS NOT NULL")
+    # At most ``most`` rows of two numbers.
+    return texts.join(F.broadcast(wanted), texts["doc_id"] == wanted["l_id"]).select(
+        "doc_id", "text", "label").dropDuplicates(["doc_id"])
 
 
 def arrays(sample: DataFrame, features: Callable[[], Callable[[str], np.ndarray]]) -> tuple[list[np.ndarray], np.ndarray]:
