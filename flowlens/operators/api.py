@@ -6,12 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.functions.stats import percentile_cont_by
-from flowlens.operators.joins import bounded_broadcast
 
 
 def api_detail(api: DataFrame, partners: DataFrame, hdr: DataFrame) -> DataFrame:
     """API calls enriched with partner and shipment, plus ``retried``."""
-    p = bounded_broadcast(partners).select("partner_id", "partner_name", "industry_segment")
+    p = partners.select("partner_id", "partner_name", "industry_segment")
     s = hdr.select(F.col("shipment_id").alias("_sid"), "transport_mode")
     j = api.join(p, "partner_id", "left").join(s, api.shipment_id == s._sid, "left")
     return j.select("api_call_id", "shipment_id", "partner_id", "partner_name", "industry_segment", "carrier_id",
@@ -33,7 +32,7 @@ def api_summary(api: DataFrame, partners: DataFrame) -> DataFrame:
     (partner, latency) histogram, so a partner with a third of all calls
     never has its latencies gathered into one task.
     """
-    p = bounded_broadcast(partners).select("partner_id", "partner_name", "industry_segment")
+    p = partners.select("partner_id", "partner_name", "industry_segment")
     wh = F.col("is_webhook")
     g = api.groupBy("partner_id").agg(
         F.count(F.lit(1)).alias("total_calls"),

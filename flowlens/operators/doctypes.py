@@ -9,12 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.operators.joins import bounded_broadcast
 
 
 def with_doc_catalog(ru: DataFrame, catalog: DataFrame) -> DataFrame:
     """Family defaults to 'Other', label falls back to the doc type."""
-    c = bounded_broadcast(catalog).select("doc_type", "label", "business_family")
+    c = catalog.select("doc_type", "label", "business_family")
     return (ru.join(c, "doc_type", "left")
               .withColumn("family", F.coalesce("business_family", F.lit("Other")))
               .withColumn("doc_label", F.coalesce("label", "doc_type")))

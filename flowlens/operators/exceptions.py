@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.functions.timeutil import as_of_col, round_minutes
-from flowlens.operators.joins import bounded_broadcast
 
 EXC = ("failed", "rejected")
 # Reasons the older attribution rule charges to the partner.
@@ -87,7 +86,7 @@ def resolution_kb(ev: DataFrame, rules: DataFrame) -> DataFrame:
     Rules are a config table; they are broadcast only after a size check.
     NULL error codes never match (SQL equality), as in the reference.
     """
-    r = bounded_broadcast(rules)
+    r = rules
     cols = ["likely_cause", "suggested_action", "runbook_url"]
     dp = r.filter(F.col("partner").isNotNull()).select(
         F.col("partner").alias("p_partner"), F.col("reason_category").alias("p_reason"),
@@ -104,7 +103,7 @@ def resolution_kb(ev: DataFrame, rules: DataFrame) -> DataFrame:
 
 def dollars_at_risk(ev: DataFrame, penalty: DataFrame) -> DataFrame:
     """Penalty exposure of current exceptions per (environment, partner)."""
-    p = bounded_broadcast(penalty)
+    p = penalty
     return (_exceptions(ev).join(p, ["partner", "doc_type"])
             .groupBy("environment", "partner")
             .agg(F.sum("penalty_usd").cast("decimal(28,2)").alias("dollars_at_risk")))

@@ -59,9 +59,17 @@ def file_children(ev: DataFrame, files: DataFrame) -> DataFrame:
 def upsert_files(batch: DataFrame, target: DataFrame) -> DataFrame:
     """SNK3: receipt rows inserted when absent, later rows update declared count,
     controls, status, reason and completion; other columns keep the first value.
+
+    A batch may hold several rows of an interchange (its receipt and its parse):
+    it is reduced to one row per interchange first, in the order of completion.
     """
     upd = ["status", "reason_category", "declared_txn_count", "isa_control", "gs_control", "completed_at"]
-    b = batch.select(*[F.col(c).alias("b_" + c) for c in FILE_COLUMNS])
+    at = F.struct(F.col("completed_at").isNotNull(), "completed_at", "received_at")
+    said = lambda c: F.when(F.col(c).isNotNull(), at)
+    b = batch.groupBy("interchange_id").agg(*[
+        (F.max_by(c, said(c)) if c in upd else F.min_by(c, said(c))).alias(c)
+        for c in FILE_COLUMNS if c != "interchange_id"])
+    b = b.select(*[F.col(c).alias("b_" + c) for c in FILE_COLUMNS])
     t = target.select(*[F.col(c).alias("t_" + c) for c in FILE_COLUMNS])
     j = t.join(b, t.t_interchange_id == b.b_interchange_id, "full_outer")
     cols = []

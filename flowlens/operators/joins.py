@@ -1,4 +1,4 @@
-"""Join helpers: size-checked broadcast and a skew-safe forward as-of match.
+"""Join helper: a skew-safe forward as-of match.
 
 ``first_at_or_after`` answers "for each left row, the earliest right time at
 or after the left time with the same keys" -- the LATERAL ... ORDER BY ts
@@ -23,17 +23,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.functions.timeutil import trunc_ntz
-BROADCAST_ROW_LIMIT = 1_000_000
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Broadcast ``df`` only when it is proven small; otherwise let AQE plan a shuffle join.
-
-    Meant for config / reference tables (rules, penalties, catalogs).  The
-    check is one count over the small table.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
 
 
 def _slice(ts: Column, unit: str) -> Column:

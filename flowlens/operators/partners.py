@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from flowlens.functions.timeutil import MICROS_PER_HOUR, as_of_col, breached, micros_between, pct
 from flowlens.operators.exceptions import dollars_at_risk
-from flowlens.operators.joins import bounded_broadcast
 
 KEYS = ["environment", "partner"]
 
@@ -41,7 +40,7 @@ def partner_360(ev: DataFrame, ru: DataFrame, penalty: DataFrame, profile: DataF
     cur = partner_current(ev, as_of)
     s = partner_rollup_sla(ru)
     r = dollars_at_risk(ev, penalty)
-    pr = bounded_broadcast(profile).select("partner", "tier", "onboarding_status", "region")
+    pr = profile.select("partner", "tier", "onboarding_status", "region")
     qa = anomaly.select(*KEYS, F.col("status").alias("qa_status"), F.col("silent_feeds").alias("qa_silent"),
                         F.col("abnormal_feeds").alias("qa_abnormal"))
     j = (cur.join(s, KEYS, "left").join(r, KEYS, "left").join(pr, "partner", "left").join(qa, KEYS, "left"))

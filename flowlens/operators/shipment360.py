@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from flowlens.functions.timeutil import (
     MICROS_PER_HOUR, MICROS_PER_MINUTE, as_of_col, div_half_up, micros_between)
-from flowlens.operators.joins import bounded_broadcast
 
 # Funnel stages, severity ranks, expected hours in status, SLA minutes.
 FUNNEL = [("204", "Tender", 1), ("990", "Response", 2), ("214", "Status", 3), ("210", "Invoice", 4)]
@@ -35,7 +34,7 @@ def _pct52(num: Column, den: Column) -> Column:
 
 
 def _partners(partners: DataFrame) -> DataFrame:
-    return bounded_broadcast(partners)
+    return partners
 
 
 # ----------------------------------------------------------------- J9 / J10

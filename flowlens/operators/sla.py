@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.functions.timeutil import MICROS_PER_MINUTE, as_of_col, micros_between, pct
-from flowlens.operators.joins import bounded_broadcast, first_at_or_after
+from flowlens.operators.joins import first_at_or_after
 
 ACK_TYPES = ("997", "CONTRL")
 
@@ -98,7 +98,7 @@ def sla_rule_pairs(ev: DataFrame, rules: DataFrame, as_of=None, key: str = "inte
     first response comes from ``first_at_or_after`` (no pair explosion).
     """
     now = as_of_col(as_of)
-    r = bounded_broadcast(rules).select(
+    r = rules.select(
         "rule_id", "name", F.col("environment").alias("r_env"), F.col("partner").alias("r_partner"),
         "trigger_doc_type", "trigger_direction", "response_doc_type", "response_direction", "threshold_minutes")
     t = ev.select(F.col(key).alias("_key"), "business_ref", "partner", "environment", "doc_type", "direction",
@@ -142,7 +142,7 @@ def partner_sla(cur: DataFrame, penalty: DataFrame, as_of=None,
     ``("partner", "doc_type")`` joins one penalty per document type.
     """
     now = as_of_col(as_of)
-    p = bounded_broadcast(penalty).select(*[F.col(k).alias("p_" + k) for k in penalty_key], "penalty_usd")
+    p = penalty.select(*[F.col(k).alias("p_" + k) for k in penalty_key], "penalty_usd")
     cond = None
     for k in penalty_key:
         c = p["p_" + k] == cur[k]

@@ -72,17 +72,22 @@ def flag_below(df: DataFrame, col: str, threshold: float, name: str | None = Non
 
 
 # -------------------------------------------------------------------- shapes
+def _limited(df: DataFrame, limit: int | None) -> DataFrame:
+    """All rows, or the first ``limit`` where a caller asks for a report of that length."""
+    return df if limit is None else df.limit(limit)
+
+
 def worklist(df: DataFrame, cols: Sequence[str], order: Sequence[tuple[str, bool]] = (),
-             limit: int = 100) -> DataFrame:
+             limit: int | None = None) -> DataFrame:
     """Q1/L1: raw table -- selected columns (order columns included), ordered, limited."""
     keep = list(cols) + [c for c, _ in order if c not in cols]
-    return df.select(*keep).orderBy(*_order_cols(order, keep)).limit(limit)
+    return _limited(df.select(*keep).orderBy(*_order_cols(order, keep)), limit)
 
 
-def agg_table(df: DataFrame, by: Sequence[str], metrics: Sequence[Metric], limit: int = 1000) -> DataFrame:
+def agg_table(df: DataFrame, by: Sequence[str], metrics: Sequence[Metric], limit: int | None = None) -> DataFrame:
     """Q2: aggregate table ordered by the first metric (desc), limited."""
     g = df.groupBy(*by).agg(*[m.alias(n) for n, m in metrics])
-    return g.orderBy(*_order_cols([(metrics[0][0], False)], list(by) + [n for n, _ in metrics[1:]])).limit(limit)
+    return _limited(g.orderBy(*_order_cols([(metrics[0][0], False)], list(by) + [n for n, _ in metrics[1:]])), limit)
 
 
 def big_number(df: DataFrame, metric: Metric, trend_col: str | None = None, grain: str = "day") -> DataFrame:
@@ -94,12 +99,12 @@ def big_number(df: DataFrame, metric: Metric, trend_col: str | None = None, grai
 
 
 def time_series(df: DataFrame, ts: str, grain: str, metric: Metric, series: str | None = None,
-                limit: int = 10000) -> DataFrame:
+                limit: int | None = None) -> DataFrame:
     """Q4: metric per time grain (and series), sorted by time, limited."""
     name, m = metric
     keys = [trunc_ntz(grain, F.col(ts)).alias(ts)] + ([F.col(series)] if series else [])
     g = df.groupBy(*keys).agg(m.alias(name))
-    return g.orderBy(*_order_cols([(ts, True)], ([series] if series else []) + [name])).limit(limit)
+    return _limited(g.orderBy(*_order_cols([(ts, True)], ([series] if series else []) + [name])), limit)
 
 
 def share(df: DataFrame, dims: Sequence[str], metric: Metric) -> DataFrame:
@@ -166,10 +171,10 @@ def top_n(df: DataFrame, dim: str, metric: Metric, n: int = 10, series: str | No
 
 
 def distinct_grid(df: DataFrame, cols: Sequence[str], order: Sequence[tuple[str, bool]] = (),
-                  limit: int = 1000) -> DataFrame:
+                  limit: int | None = None) -> DataFrame:
     """Q11: aggregate mode with dimensions and no metric -> distinct rows."""
     d = df.select(*cols).distinct()
-    return d.orderBy(*_order_cols(order, list(cols))).limit(limit)
+    return _limited(d.orderBy(*_order_cols(order, list(cols))), limit)
 
 
 def histogram(df: DataFrame, value: str, width: float, by: str | None = None) -> DataFrame:

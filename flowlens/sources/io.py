@@ -125,11 +125,20 @@ def latest_version(df: DataFrame) -> DataFrame:
 
 def next_version(spark: SparkSession, path: str) -> int:
     """1 + the highest committed ``version`` of a versioned table (1 when empty)."""
-    try:
-        v = spark.read.parquet(path).agg(F.max("version")).first()[0]
-    except AnalysisException:
+    table = read_if_there(spark, path)
+    if table is None:
         return 1
-    return int(v or 0) + 1
+    return int(table.agg(F.max("version")).first()[0] or 0) + 1
+
+
+def read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``, None if nothing was ever written there; any other failure is raised."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
 
 
 def upsert_files(batch: DataFrame, path: str, version: int | None = None) -> None:
@@ -139,10 +148,8 @@ def upsert_files(batch: DataFrame, path: str, version: int | None = None) -> Non
     commits nothing and the retry writes the same version again.
     """
     spark = batch.sparkSession
-    try:
-        target = read_files(spark, path)
-    except AnalysisException:  # first write: no table yet
-        target = spark.createDataFrame([], C.FILES)
+    first = read_if_there(spark, path) is None
+    target = spark.createDataFrame([], C.FILES) if first else read_files(spark, path)
     v = version if version is not None else next_version(spark, path)
     merged = fi.upsert_files(batch.select(*fi.FILE_COLUMNS), target)
     (merged.withColumn("version", F.lit(v).cast("bigint"))

@@ -132,10 +132,8 @@ def current_state_batch(state_path: str, buckets: int = STATE_BUCKETS):
         fresh = lc.current_state(ev).withColumn("bucket", bucket)
         touched = fresh.select("business_ref", "bucket")
         version = io.next_version(spark, state_path)
-        try:
-            old = read_state(spark, state_path)
-        except Exception:  # noqa: BLE001 - first batch: no state yet
-            old = None
+        # A read that fails for another reason than a missing table must fail the batch: going on would drop the state.
+        old = None if io.read_if_there(spark, state_path) is None else read_state(spark, state_path)
         if old is not None:
             in_touched_buckets = old.join(touched.select("bucket").distinct(), "bucket", "left_semi")
             keep = in_touched_buckets.join(touched, ["business_ref", "bucket"], "left_anti")

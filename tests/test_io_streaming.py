@@ -142,3 +142,34 @@ def test_foreach_batch_file_receipt_then_parse(spark):
     got = io.read_files(spark, table)
     assert _rows(got, ["interchange_id", "status", "declared_txn_count"]) == \
         _rows(files, ["interchange_id", "status", "declared_txn_count"])
+
+
+def test_receipt_and_parse_in_one_batch_make_one_row(spark):
+    from flowlens.operators import files as fi
+
+    files = _world(spark).files()
+    receipt = files.withColumns({"status": F.lit("received"), "declared_txn_count": F.lit(None).cast("int"),
+                                 "completed_at": F.lit(None).cast("timestamp_ntz")})
+    merged = fi.upsert_files(receipt.unionByName(files).select(*fi.FILE_COLUMNS), files.limit(0))
+    assert _rows(merged, ["interchange_id", "received_at"]) == _rows(files, ["interchange_id", "received_at"])
+    again = fi.upsert_files(files.select(*fi.FILE_COLUMNS), merged)
+    assert again.count() == files.select("interchange_id").distinct().count()
+
+
+def test_state_read_that_fails_is_raised(spark, monkeypatch):
+    state = tempfile.mkdtemp(prefix="fl-state-")
+    handle, ev = jobs.current_state_batch(state, buckets=4), _world(spark).events()
+    handle(ev, 0)
+    before = _rows(jobs.read_state(spark, state), ["business_ref"])
+
+    def broken(*_):
+        raise OSError("storage is away")
+
+    monkeypatch.setattr(jobs, "read_state", broken)
+    try:
+        handle(ev.limit(5), 1)
+        raise AssertionError("the failure was swallowed")
+    except OSError:
+        pass
+    monkeypatch.undo()
+    assert _rows(jobs.read_state(spark, state), ["business_ref"]) == before

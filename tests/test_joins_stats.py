@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from flowlens.functions.stats import percentile_cont_by
-from flowlens.operators.joins import bounded_broadcast, first_at_or_after
+from flowlens.operators.joins import first_at_or_after
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -44,9 +44,3 @@ def test_percentile_cont_matches_numpy(spark):
     for g in ("hot", "small", "one"):
         vals = np.array([v for k, v in rows if k == g], dtype=float)
         assert got[g] == pytest.approx(np.percentile(vals, 95), rel=1e-12)
-
-
-def test_bounded_broadcast_only_when_small(spark):
-    small = spark.range(10)
-    assert "broadcast" in bounded_broadcast(small, 100)._jdf.queryExecution().logical().toString().lower()
-    assert "broadcast" not in bounded_broadcast(small, 5)._jdf.queryExecution().logical().toString().lower()
