@@ -500,13 +500,17 @@ class World:
     sf_dir: str
     as_of: str = FIXTURE_AS_OF
     materialize: bool = True
+    _stored_key: str | None = None
 
     def _key(self) -> str:
         from flowlens.sources.store import input_key
+        if self._stored_key is not None:
+            return self._stored_key
         # Any change to the package's code invalidates the stored tables.
         pkg = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
         code = sorted(os.path.join(d, f) for d, _, fs in os.walk(pkg) for f in fs if f.endswith(".py"))
-        return input_key(self.sf_dir, self.as_of, code)
+        self._stored_key = input_key(self.spark, self.sf_dir, self.as_of, code)
+        return self._stored_key
 
     def _table(self, name: str, build, order_col: str | None) -> DataFrame:
         if not self.materialize:

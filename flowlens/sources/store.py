@@ -10,32 +10,37 @@ recomputing the adapter.
 Layout: ``repartitionByRange`` on the table's time column, then sorted
 within each file, so time-window filters skip whole files and row groups
 through parquet min/max statistics.  A small manifest is written after the
-table; a table without its manifest (an interrupted write) is rebuilt.
+table; a table without its manifest (an interrupted write) is rebuilt.  The key
+digests Spark's listing of the input, so changed input is never answered from old tables.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from flowlens.session import ensure_checkpoint_dir
 
 _MEMO: dict[tuple[int, str, str], DataFrame] = {}
 
 
-def input_key(sf_dir: str, as_of: str, code_files: list[str]) -> str:
-    """Digest of the input files (name, size, mtime), ``as_of`` and the adapter code."""
+def input_key(spark: SparkSession, sf_dir: str, as_of: str, code_files: list[str]) -> str:
+    """Digest of all input files (path, size, modification time; any depth, any file system
+    that Spark reads), ``as_of`` and the adapter code."""
     h = hashlib.sha256()
-    h.update(os.path.abspath(sf_dir).encode())
-    h.update(str(as_of).encode())
-    if os.path.isdir(sf_dir):
-        for name in sorted(os.listdir(sf_dir)):
-            st = os.stat(os.path.join(sf_dir, name))
-            h.update(f"{name}:{st.st_size}:{int(st.st_mtime)}".encode())
+    h.update(f"{sf_dir}|{as_of}".encode())
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    files, found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True), []
+    while files.hasNext():
+        f = files.next()
+        found.append(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}")
+    h.update("\n".join(sorted(found)).encode())
     for f in code_files:
         with open(f, "rb") as fh:
             h.update(fh.read())
@@ -48,15 +53,32 @@ def stored(spark: SparkSession, key: str, name: str, build: Callable[[], DataFra
     if memo in _MEMO:
         return _MEMO[memo]
     base = os.path.join(ensure_checkpoint_dir(spark), "flowlens-store", key)
-    path, manifest = os.path.join(base, name), os.path.join(base, name + "._manifest")
-    try:
-        spark.read.parquet(manifest).count()
-    except AnalysisException:
+    manifest = os.path.join(base, name + "._manifest")
+    out = _complete(spark, manifest)
+    if out is None:
+        # Drivers that build the same table at once write to folders of their own; each manifest names a whole table.
+        path = os.path.join(base, name, uuid.uuid4().hex)
         n = files or max(8, 2 * spark.sparkContext.defaultParallelism)
         df = build()
-        df = df.repartitionByRange(n, order_col).sortWithinPartitions(order_col) if order_col else df.repartition(n)
-        df.write.mode("overwrite").parquet(path)
-        spark.createDataFrame([(name,)], "table_name string").write.mode("overwrite").parquet(manifest)
-    out = spark.read.parquet(path)
+        if order_col:
+            # Ties of the order column are split by the rest of the row, so one hot day is no single file.
+            spread = F.xxhash64(*[c for c, t in df.dtypes if not t.startswith("map")])
+            df = df.repartitionByRange(n, F.col(order_col), spread).sortWithinPartitions(order_col)
+        else:
+            df = df.repartition(n)
+        df.write.parquet(path)
+        spark.createDataFrame([(path,)], "path string").write.mode("append").parquet(manifest)
+        out = spark.read.parquet(path)
     _MEMO[memo] = out
     return out
+
+
+def _complete(spark: SparkSession, manifest: str) -> DataFrame | None:
+    """A table that some manifest row names, None if there is none yet; other failures are raised."""
+    try:
+        first = spark.read.schema("path string").parquet(manifest).agg(F.min("path")).first()[0]
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return None if first is None else spark.read.parquet(first)

@@ -173,3 +173,19 @@ def test_state_read_that_fails_is_raised(spark, monkeypatch):
         pass
     monkeypatch.undo()
     assert _rows(jobs.read_state(spark, state), ["business_ref"]) == before
+
+
+def test_store_key_follows_nested_input(spark):
+    import os
+    import shutil
+
+    from conftest import SF_SMALL
+    from flowlens.sources.store import input_key
+
+    src = tempfile.mkdtemp(prefix="fl-input-")
+    nested = os.path.join(src, "orders.parquet", "part=1")
+    os.makedirs(nested)
+    shutil.copy(f"{SF_SMALL}/orders.parquet", os.path.join(nested, "a.parquet"))
+    keys = [input_key(spark, d, "x", []) for d in (src, f"file://{src}")]
+    shutil.copy(f"{SF_SMALL}/orders.parquet", os.path.join(nested, "b.parquet"))
+    assert all(input_key(spark, d, "x", []) != k for d, k in zip((src, f"file://{src}"), keys, strict=True))
