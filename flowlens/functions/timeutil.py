@@ -11,9 +11,6 @@ import datetime as _dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: the "as of" instant the fixtures and tests evaluate against.
-FIXTURE_AS_OF = "2001-07-31 12:00:00"
-
 MICROS_PER_MINUTE = 60_000_000
 MICROS_PER_HOUR = 3_600_000_000
 

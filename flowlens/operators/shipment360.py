@@ -255,11 +255,16 @@ def exception_workbench(anom: DataFrame, hdr: DataFrame, partners: DataFrame, as
     """Anomaly rows enriched with partner and shipment, priority rank, age."""
     now = as_of_col(as_of)
     p = _partners(partners).select("partner_id", "partner_name")
-    s = hdr.select(F.col("shipment_id").alias("_sid"), "transport_mode", "shipment_status")
+    s = hdr.select(F.col("shipment_id").alias("_sid"), "transport_mode", "shipment_status", "shipment_value",
+                   F.to_date("promised_delivery_date").alias("promised_delivery_date"),
+                   F.to_date("actual_delivery_date").alias("actual_delivery_date"))
     j = anom.join(p, "partner_id", "left").join(s, anom.shipment_id == s._sid, "left")
     return j.select("anomaly_id", "shipment_id", "partner_id", "partner_name", "carrier_id", "transport_mode",
                     "shipment_status", "anomaly_type", "severity", "anomaly_status", "root_cause_category",
                     "recommended_action", "detected_timestamp", "business_impact_amount",
+                    "transaction_type", "current_status", "actual_value", "expected_value", "deviation_percent",
+                    F.to_date("detected_timestamp").alias("detected_date"), "shipment_value",
+                    "promised_delivery_date", "actual_delivery_date",
                     _priority(F.col("severity")).alias("priority_rank"),
                     F.round(micros_between(F.col("detected_timestamp"), now) / F.lit(float(MICROS_PER_HOUR)), 1)
                      .alias("age_hours"))
@@ -267,9 +272,14 @@ def exception_workbench(anom: DataFrame, hdr: DataFrame, partners: DataFrame, as
 
 # ------------------------------------------------------------- T11 - T17
 def _health(sla_pct: Column, exceptions: Column, shipments: Column) -> Column:
-    exc_part = F.greatest(F.lit(0.0), F.lit(100.0) - F.lit(100.0) * exceptions.cast("double")
-                          / F.nullif(shipments.cast("double"), F.lit(0.0)))
-    return F.round(F.lit(0.5) * sla_pct.cast("double") + F.lit(0.5) * exc_part, 2)
+    """Half the SLA % plus half the share of shipments without exceptions, half-up to 2 places.
+
+    Computed in hundredths with integers, so that x.xx5 rounds alike everywhere.
+    """
+    sla = F.round(sla_pct.cast("double") * 100).cast("bigint")
+    n = F.nullif(shipments.cast("bigint"), F.lit(0).cast("bigint"))
+    clean = F.greatest(F.lit(0), n - exceptions)
+    return div_half_up(sla * n + clean * 10000, n * 2) / F.lit(100.0)
 
 
 def _risk(score: Column) -> Column:
@@ -407,7 +417,7 @@ def status_aging(hdr: DataFrame, tx: DataFrame, partners: DataFrame, as_of=None)
     expected = expected.otherwise(DEFAULT_EXPECTED_HOURS)
     age_us = micros_between(F.col("status_timestamp"), now)
     hours = F.round(age_us / F.lit(float(MICROS_PER_HOUR)), 2)
-    j = j.select("shipment_id", "partner_id", "partner_name", "carrier_id", st.alias("current_status"),
+    j = j.select("shipment_id", "partner_id", "partner_name", "carrier_id", st.alias("current_status"), st.alias("header_status"),
                  "status_timestamp", F.to_date("status_timestamp").alias("metric_date"),
                  hours.alias("actual_hours_in_status"), expected.alias("expected_hours_in_status"),
                  age_us.alias("_us"))

@@ -89,30 +89,42 @@ def sla_pairs(ev: DataFrame, as_of=None) -> DataFrame:
     return long.select("*", _elapsed_min(t, r).alias("elapsed_min"), _sla_state(t, r, thr, now).alias("sla_state"))
 
 
-def sla_rule_pairs(ev: DataFrame, rules: DataFrame, as_of=None, key: str = "interchange_id",
+CORRELATION_KEYS = ("business_ref", "interchange_id", "control_number")
+
+
+def _correlation(keys: tuple[str, ...]):
+    """The message column that a rule's ``correlation_key`` names (NULL for any other name)."""
+    name = F.col("correlation_key")
+    return F.coalesce(*[F.when(name == k, F.col(k)) for k in keys])
+
+
+def sla_rule_pairs(ev: DataFrame, rules: DataFrame, as_of=None, keys: tuple[str, ...] = CORRELATION_KEYS,
                    slice_unit: str = "hour") -> DataFrame:
     """Rule-driven response SLA -- first response at/after each trigger.
 
-    Rules (config) are broadcast after a size check and joined on
-    (doc_type, direction, environment) with the nullable-partner test; the
-    first response comes from ``first_at_or_after`` (no pair explosion).
+    Each rule names the message column that ties a response to its trigger
+    (``correlation_key``, one of ``keys``; NULL means ``business_ref``).
+    Rules are joined on (doc_type, direction, environment) with the
+    nullable-partner test; the first response comes from
+    ``first_at_or_after`` (no pair explosion).
     """
     now = as_of_col(as_of)
     r = rules.select(
         "rule_id", "name", F.col("environment").alias("r_env"), F.col("partner").alias("r_partner"),
-        "trigger_doc_type", "trigger_direction", "response_doc_type", "response_direction", "threshold_minutes")
-    t = ev.select(F.col(key).alias("_key"), "business_ref", "partner", "environment", "doc_type", "direction",
-                  F.col("event_time").alias("trigger_at"))
+        "trigger_doc_type", "trigger_direction", "response_doc_type", "response_direction", "threshold_minutes",
+        F.coalesce("correlation_key", F.lit("business_ref")).alias("correlation_key"))
+    t = ev.select(*keys, "partner", "environment", "doc_type", "direction", F.col("event_time").alias("trigger_at"))
     trig = t.join(r, (t.doc_type == r.trigger_doc_type) & (t.direction == r.trigger_direction)
                   & (t.environment == r.r_env) & (r.r_partner.isNull() | (t.partner == r.r_partner)))
-    trig = trig.select("rule_id", "name", "partner", "business_ref", "_key", "trigger_at", "threshold_minutes",
-                       "response_doc_type", "response_direction")
-    # A semi join needs no distinct on the (small, broadcast) rule side.
-    wanted = r.select("response_doc_type", "response_direction")
-    resp = (ev.select(F.col(key).alias("_key"), F.col("doc_type").alias("response_doc_type"),
+    trig = trig.select("rule_id", "name", "partner", "business_ref", _correlation(keys).alias("_key"), "correlation_key",
+                       "trigger_at", "threshold_minutes", "response_doc_type", "response_direction")
+    # A response is listed once under each column that some rule ties it by.
+    wanted = r.select("response_doc_type", "response_direction", "correlation_key").distinct()
+    resp = (ev.select(*keys, F.col("doc_type").alias("response_doc_type"),
                       F.col("direction").alias("response_direction"), F.col("event_time").alias("response_at"))
-              .join(wanted, ["response_doc_type", "response_direction"], "left_semi"))
-    m = first_at_or_after(trig, resp, ["_key", "response_doc_type", "response_direction"],
+              .join(wanted, ["response_doc_type", "response_direction"])
+              .withColumn("_key", _correlation(keys)))
+    m = first_at_or_after(trig, resp, ["_key", "correlation_key", "response_doc_type", "response_direction"],
                           "trigger_at", "response_at", out="response_at", slice_unit=slice_unit)
     tt, rr, thr = F.col("trigger_at"), F.col("response_at"), F.col("threshold_minutes")
     return m.select("rule_id", "name", "partner", "business_ref", "trigger_at", "response_at",
@@ -120,6 +132,11 @@ def sla_rule_pairs(ev: DataFrame, rules: DataFrame, as_of=None, key: str = "inte
                     "threshold_minutes", _sla_state(tt, rr, thr, now).alias("sla_state"))
 
 
+def rule_worklist(pairs: DataFrame, *states: str) -> DataFrame:
+    """The rule pairs in one of ``states`` (due soon: at_risk and pending; breaches: missed)."""
+    return pairs.filter(F.col("sla_state").isin(*states))
+
+
 def at_risk_tenders(ev: DataFrame, as_of=None, lo_min: int = 24, hi_min: int = 30,
                     trigger=("204", "in"), response=("990", "out"), key: str = "business_ref") -> DataFrame:
     """Triggers aged lo..hi minutes with no response yet (left anti join)."""

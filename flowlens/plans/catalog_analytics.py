@@ -240,7 +240,6 @@ def a20_type_by_protocol(spark, sf_dir):
 
 # ----------------------------------------------------------- shipment 360
 S360 = ["shipment_header", "edi_transactions", "anomaly_registry", "trading_partner_master"]
-Z = "COALESCE"
 
 
 def _src(spark, sf_dir):
@@ -453,7 +452,9 @@ def t9_anomaly_summary(spark, sf_dir):
 @register("t10_exception_workbench", sql(S360, f"""
 SELECT a.anomaly_id, a.shipment_id, a.partner_id, p.partner_name, a.carrier_id, s.transport_mode, s.shipment_status,
   a.anomaly_type, a.severity, a.anomaly_status, a.root_cause_category, a.recommended_action, a.detected_timestamp,
-  a.business_impact_amount,
+  a.business_impact_amount, a.transaction_type, a.current_status, a.actual_value, a.expected_value, a.deviation_percent,
+  CAST(a.detected_timestamp AS DATE) AS detected_date, s.shipment_value,
+  CAST(s.promised_delivery_date AS DATE) AS promised_delivery_date, CAST(s.actual_delivery_date AS DATE) AS actual_delivery_date,
   CASE a.severity WHEN 'Critical' THEN 1 WHEN 'High' THEN 2 WHEN 'Medium' THEN 3 WHEN 'Low' THEN 4 END AS priority_rank,
   round(CAST(date_diff('microsecond', a.detected_timestamp, {AS_OF}) AS DOUBLE) / 3600000000.0, 1) AS age_hours
 FROM anomaly_registry a LEFT JOIN trading_partner_master p ON p.partner_id = a.partner_id
@@ -464,8 +465,8 @@ def t10_exception_workbench(spark, sf_dir):
 
 
 def _health_sql(sla: str, exc: str, ships: str) -> str:
-    return (f"round(0.5 * CAST({sla} AS DOUBLE) + 0.5 * greatest(0.0, 100.0 - 100.0 * CAST({exc} AS DOUBLE) "
-            f"/ nullif(CAST({ships} AS DOUBLE), 0.0)), 2)")
+    halves = f"(CAST(round({sla} * 100) AS HUGEINT) * {ships} + 10000 * greatest(0, {ships} - {exc}))"
+    return f"CAST(({halves} + {ships}) // nullif(2 * {ships}, 0) AS DOUBLE) / 100.0"
 
 
 def _risk_sql(score: str) -> str:
@@ -587,7 +588,7 @@ SELECT *, CASE WHEN aging_ratio >= 2 THEN 'Critical' WHEN aging_ratio >= 1.5 THE
     || CAST(expected_hours_in_status AS VARCHAR) || 'h expected' AS aging_insight
 FROM (SELECT * EXCLUDE (us), ((2 * us + 36000000 * CAST(expected_hours_in_status AS BIGINT))
           // (2 * 36000000 * CAST(expected_hours_in_status AS BIGINT))) / 100.0 AS aging_ratio
-  FROM (SELECT h.shipment_id, h.partner_id, p.partner_name, h.carrier_id, h.shipment_status AS current_status,
+  FROM (SELECT h.shipment_id, h.partner_id, p.partner_name, h.carrier_id, h.shipment_status AS current_status, h.shipment_status AS header_status,
           l.status_timestamp, CAST(l.status_timestamp AS DATE) AS metric_date,
           round(CAST(date_diff('microsecond', l.status_timestamp, {AS_OF}) AS DOUBLE) / 3600000000.0, 2) AS actual_hours_in_status,
           date_diff('microsecond', l.status_timestamp, {AS_OF}) AS us,

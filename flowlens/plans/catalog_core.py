@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowlens.functions.timeutil import ts_lit
+from flowlens.functions.timeutil import add_hours, ts_lit
 from flowlens.operators import lifecycle as lc
 from flowlens.operators import rollup as ro
 from flowlens.plans.oracle_world import AS_OF
@@ -20,9 +20,9 @@ def a1_hourly_rollup(spark, sf_dir):
     return ro.hourly_rollup(w.events(), w.as_of)
 
 
-STALE_AS_OF = "2001-07-31 09:00:00"
-_STALE_ROLLUP = ROLLUP_SQL.replace(AS_OF, f"TIMESTAMP '{STALE_AS_OF}'").replace(
-    "FROM txn_events GROUP BY ALL", f"FROM txn_events WHERE event_time <= TIMESTAMP '{STALE_AS_OF}' GROUP BY ALL")
+_STALE_AT = f"({AS_OF} - INTERVAL 3 HOUR)"
+_STALE_ROLLUP = ROLLUP_SQL.replace(AS_OF, _STALE_AT).replace(
+    "FROM txn_events GROUP BY ALL", f"FROM txn_events WHERE event_time <= {_STALE_AT} GROUP BY ALL")
 _CUT = f"date_trunc('hour', {AS_OF}) - INTERVAL 2 HOUR"
 
 
@@ -35,7 +35,8 @@ def a2_refresh_rollup(spark, sf_dir):
     """Rollup written 3 hours earlier (stale), then refreshed at as_of."""
     w = W(spark, sf_dir)
     ev = w.events()
-    stale = ro.hourly_rollup(ev.filter(F.col("event_time") <= ts_lit(STALE_AS_OF)), STALE_AS_OF)
+    before = add_hours(ts_lit(w.as_of), -3)
+    stale = ro.hourly_rollup(ev.filter(F.col("event_time") <= before), before)
     return ro.refresh_rollup(ev, stale, w.as_of, hours=2)
 
 

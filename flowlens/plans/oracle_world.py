@@ -8,7 +8,8 @@ same rules as ``flowlens.sources.fixtures``.  Only the CTEs a query needs
 
 from __future__ import annotations
 
-AS_OF = "TIMESTAMP '2001-07-31 12:00:00'"
+# The newest tender's instant, from the data (CTE ``world_now``).
+AS_OF = "(SELECT ts FROM world_now)"
 
 _CTES: dict[str, tuple[list[str], str]] = {}
 
@@ -28,6 +29,8 @@ SELECT o.o_orderkey AS k, o.o_custkey, o.o_orderstatus, o.o_totalprice, o.o_orde
 FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
 JOIN nation n ON c.c_nationkey = n.n_nationkey""")
 
+_cte("world_now", ["base"], "SELECT max(t0) AS ts FROM base")
+
 _cte("skel", ["base"], """
 SELECT *, 204 AS doc, 0 AS ln, t0 AS event_time, 'out' AS direction FROM base
 UNION ALL
@@ -38,13 +41,13 @@ UNION ALL
 SELECT b.*, 214, l.ln, b.t0 + to_hours(CAST(l.ln * 9 + b.k % 11 AS BIGINT)), 'in'
 FROM base b JOIN (SELECT DISTINCT l_orderkey, l_linenumber AS ln FROM lineitem) l ON b.k = l.l_orderkey""")
 
-_cte("skel2", ["skel"], f"""
+_cte("skel2", ["skel"], """
 SELECT *,
   CASE WHEN (k*31 + doc*17 + ln*7) % 100 < 4 THEN 'failed'
        WHEN (k*31 + doc*17 + ln*7) % 100 < 8 THEN 'rejected'
        WHEN (k*31 + doc*17 + ln*7) % 100 < 10 AND doc = 214 THEN 'duplicate'
        ELSE 'ok' END AS status
-FROM skel WHERE event_time <= {AS_OF}""")
+FROM skel""")
 
 _cte("skel3", ["skel2"], """
 SELECT *,
@@ -75,7 +78,7 @@ SELECT CAST((k*1000 + doc)*100 + ln AS BIGINT) AS event_id,
        || CAST(CASE WHEN status = 'duplicate' THEN ln - 1 ELSE ln END AS VARCHAR) AS control_number
 FROM skel3""")
 
-_cte("acks", ["base"], f"""
+_cte("acks", ["base"], """
 SELECT CAST((k*1000 + 997)*100 AS BIGINT) AS event_id, t0 + INTERVAL 30 MINUTE AS event_time,
   interchange_id, interchange_id || '-997-0' AS business_ref,
   environment, lob, partner, channel, protocol, 'in' AS direction, '997' AS doc_type, 'acked' AS stage,
@@ -85,12 +88,12 @@ SELECT CAST((k*1000 + 997)*100 AS BIGINT) AS event_id, t0 + INTERVAL 30 MINUTE A
   CAST(0 AS DECIMAL(18,2)) AS value_usd, CAST(1 AS DECIMAL(18,2)) AS kchar,
   CAST(NULL AS VARCHAR) AS error_code, FALSE AS replayed, CAST(NULL AS TIMESTAMP) AS replayed_at,
   0 AS replay_count, 'CN' || CAST(k AS VARCHAR) || '-204-0' AS control_number
-FROM base WHERE k % 10 <> 0 AND t0 + INTERVAL 30 MINUTE <= {AS_OF}""")
+FROM base WHERE k % 10 <> 0""")
 
 _cte("events_all", ["txn_events", "acks"], """
 SELECT * FROM txn_events UNION ALL SELECT * FROM acks""")
 
-_cte("txn_files", ["base", "txn_events"], f"""
+_cte("txn_files", ["base", "txn_events"], """
 SELECT b.interchange_id, b.interchange_id || '.x12' AS file_name,
   b.environment, b.partner, b.channel, b.protocol,
   CASE WHEN b.k % 8 = 0 THEN 'in' ELSE 'out' END AS direction,
@@ -103,8 +106,7 @@ SELECT b.interchange_id, b.interchange_id || '.x12' AS file_name,
   CAST(b.o_totalprice AS DECIMAL(18,2)) AS value_usd,
   CAST((5 + b.k % 36) * coalesce(ch.children, 0) AS DECIMAL(18,2)) AS kchar
 FROM base b LEFT JOIN (SELECT interchange_id, count(*) AS children FROM txn_events GROUP BY 1) ch
-  ON ch.interchange_id = b.interchange_id
-WHERE b.k % 4 = 0 AND b.t0 <= {AS_OF}""")
+  ON ch.interchange_id = b.interchange_id""")
 
 _cte("ops_expected_feeds", ["txn_events"], f"""
 SELECT partner, doc_type, channel, environment,
@@ -158,7 +160,8 @@ SELECT * FROM (VALUES
   (3, '204-210 invoice', 'prod', NULL, '204', 'out', '210', 'in', 'interchange_id', 4320),
   (4, '204-990 NATION_3 tight', 'prod', 'NATION_3', '204', 'out', '990', 'in', 'interchange_id', 60),
   (5, '204-990 uat', 'uat', NULL, '204', 'out', '990', 'in', 'interchange_id', 240),
-  (6, 'inbound-997 func ack', 'prod', NULL, NULL, 'in', '997', 'out', 'interchange_id', 15)
+  (6, 'inbound-997 func ack', 'prod', NULL, NULL, 'in', '997', 'out', 'interchange_id', 15),
+  (7, '204-997 functional ack', 'prod', NULL, '204', 'out', '997', 'in', 'control_number', 60)
 ) t(rule_id, name, environment, partner, trigger_doc_type, trigger_direction, response_doc_type,
     response_direction, correlation_key, threshold_minutes)""")
 
@@ -186,11 +189,7 @@ SELECT event_id, ts AS event_time, 'prod' AS environment, 'feed' AS lob,
   event_type AS doc_type, CASE WHEN event_id % 50 = 0 THEN 'failed' ELSE 'ok' END AS status,
   TRUE AS terminal, CAST(NULL AS TIMESTAMP) AS sla_due_at,
   CAST(0 AS DECIMAL(18,2)) AS value_usd, CAST(1 AS DECIMAL(18,2)) AS kchar
-FROM events
-WHERE NOT (ts >= TIMESTAMP '2024-01-23 00:00:00' AND (
-      (event_type = 'signup' AND user_id % 3 = 0)
-   OR (event_type = 'error' AND user_id % 3 = 2 AND event_id % 4 <> 0)
-   OR (event_type = 'view' AND event_id % 5 = 0)))""")
+FROM events""")
 
 _cte("api_transactions", [], """
 SELECT api_call_id, shipment_id, partner_id, carrier_id, api_operation, endpoint, http_method, is_webhook,
@@ -219,7 +218,7 @@ FROM (
               WHEN CAST(json_extract_string(e.props, '$.k') AS INTEGER) < 93 THEN 429 ELSE 503 END AS INTEGER) AS http_status
   FROM events e JOIN nation n ON e.user_id % 25 = n.n_nationkey)""")
 
-_cte("shipment_header", ["base"], f"""
+_cte("shipment_header", ["base"], """
 SELECT interchange_id AS shipment_id, partner AS partner_id, 'CAR-' || CAST(k % 7 AS VARCHAR) AS carrier_id,
   CASE k % 4 WHEN 0 THEN 'TL' WHEN 1 THEN 'LTL' WHEN 2 THEN 'IM' ELSE 'AIR' END AS transport_mode,
   o_orderpriority AS priority,
@@ -228,7 +227,7 @@ SELECT interchange_id AS shipment_id, partner AS partner_id, 'CAR-' || CAST(k %
   o_orderdate + to_days(CAST(3 + k % 5 AS INTEGER)) AS promised_delivery_date,
   CASE WHEN o_orderstatus = 'F' THEN o_orderdate + to_days(CAST(2 + k % 8 AS INTEGER)) END AS actual_delivery_date,
   CAST(o_totalprice AS DECIMAL(18,2)) AS shipment_value
-FROM base WHERE t0 <= {AS_OF}""")
+FROM base""")
 
 _cte("trading_partner_master", [], """
 SELECT n.n_name AS partner_id, 'Partner ' || n.n_name AS partner_name, r.r_name AS industry_segment,
@@ -250,26 +249,37 @@ SELECT business_ref, interchange_id, partner,
   event_time, CAST(NULL AS TIMESTAMP), event_time, FALSE, FALSE
 FROM acks""")
 
-_cte("anomaly_registry", ["base"], f"""
-SELECT 'ANO-' || CAST(k AS VARCHAR) AS anomaly_id, interchange_id AS shipment_id, partner AS partner_id,
-  'CAR-' || CAST(k % 7 AS VARCHAR) AS carrier_id,
-  CASE k % 4 WHEN 0 THEN '204' WHEN 1 THEN '990' WHEN 2 THEN '214' ELSE '210' END AS transaction_type,
-  atype AS anomaly_type,
-  CASE k % 4 WHEN 0 THEN 'Critical' WHEN 1 THEN 'High' WHEN 2 THEN 'Medium' ELSE 'Low' END AS severity,
-  CASE k % 3 WHEN 0 THEN 'Open' WHEN 1 THEN 'In Progress' ELSE 'Resolved' END AS anomaly_status,
-  CASE WHEN o_orderstatus = 'F' THEN 'Delivered' WHEN o_orderstatus = 'O' THEN 'In Transit' ELSE 'Booked' END AS current_status,
-  CASE (k // 15) % 4 WHEN 0 THEN 'Partner system' WHEN 1 THEN 'Mapping' WHEN 2 THEN 'Network' ELSE 'Carrier' END AS root_cause_category,
-  'Review ' || atype AS recommended_action,
-  detected AS detected_timestamp, detected AS created_at,
-  CAST(o_totalprice AS DECIMAL(14,2)) AS business_impact_amount,
-  CAST(k % 50 AS DECIMAL(14,2)) AS actual_value, CAST(40 AS DECIMAL(14,2)) AS expected_value,
-  CAST((CAST(k % 50 AS DECIMAL(14,2)) - 40) * 100 / 40 AS DECIMAL(8,2)) AS deviation_percent
-FROM (SELECT *, t0 + to_hours(CAST(k % 72 AS BIGINT)) AS detected,
-        CASE k % 8 WHEN 0 THEN 'MISSING_990' WHEN 1 THEN 'LATE_214' WHEN 2 THEN 'DUPLICATE_204'
-             WHEN 3 THEN 'MISSING_214' WHEN 4 THEN 'MISSING_997' WHEN 5 THEN 'STATUS_AGING'
-             WHEN 6 THEN 'LATE_DELIVERY' ELSE 'REJECTED_204' END AS atype
-      FROM base WHERE k % 15 = 0)
-WHERE detected <= {AS_OF}""")
+_cte("anomaly_found", ["base", "txn_events", "acks"], """
+SELECT b.k, '990' AS doc, 'MISSING_990' AS kind, 'Critical' AS severity, b.t0 + INTERVAL 4 HOUR AS at, 0 AS actual, 1 AS expected
+FROM base b WHERE NOT EXISTS (SELECT 1 FROM txn_events e WHERE e.interchange_id = b.interchange_id AND e.doc_type = '990')
+UNION ALL
+SELECT b.k, '990', 'LATE_990', 'High', e.event_time, date_diff('minute', b.t0, e.event_time), 240
+FROM base b JOIN txn_events e USING (interchange_id)
+WHERE e.doc_type = '990' AND e.event_time > b.t0 + INTERVAL 4 HOUR
+UNION ALL
+SELECT b.k, '204', 'MISSING_997', 'Medium', b.t0 + INTERVAL 1 HOUR, 0, 1
+FROM base b ANTI JOIN acks a USING (interchange_id)
+UNION ALL
+SELECT b.k, '204', 'REJECTED_204', 'High', b.t0, 0, 1
+FROM base b JOIN txn_events e USING (interchange_id) WHERE e.doc_type = '204' AND e.status IN ('failed', 'rejected')
+UNION ALL
+SELECT b.k, '214', 'STATUS_AGING', 'Medium', b.t0 + INTERVAL 1 DAY, 0, 1
+FROM base b SEMI JOIN (SELECT * FROM txn_events WHERE doc_type = '214' AND status = 'ok' AND NOT terminal) USING (interchange_id)
+UNION ALL
+SELECT k, '214', 'LATE_DELIVERY', 'Low', o_orderdate + to_days(CAST(2 + k % 8 AS INTEGER)), 2 + k % 8, 3 + k % 5
+FROM base WHERE o_orderstatus = 'F' AND 2 + k % 8 > 3 + k % 5""")
+
+_cte("anomaly_registry", ["base", "anomaly_found"], """
+SELECT 'ANO-' || CAST(k AS VARCHAR) || '-' || f.kind AS anomaly_id, b.interchange_id AS shipment_id, b.partner AS partner_id,
+  'CAR-' || CAST(k % 7 AS VARCHAR) AS carrier_id, f.doc AS transaction_type, f.kind AS anomaly_type, f.severity,
+  ['Open', 'In Progress', 'Resolved'][1 + k % 3] AS anomaly_status,
+  CASE b.o_orderstatus WHEN 'F' THEN 'Delivered' WHEN 'O' THEN 'In Transit' ELSE 'Booked' END AS current_status,
+  ['Partner system', 'Mapping', 'Network', 'Carrier'][1 + k % 4] AS root_cause_category,
+  'Review ' || f.kind AS recommended_action, f.at AS detected_timestamp, f.at AS created_at,
+  CAST(b.o_totalprice AS DECIMAL(14,2)) AS business_impact_amount,
+  CAST(f.actual AS DECIMAL(14,2)) AS actual_value, CAST(f.expected AS DECIMAL(14,2)) AS expected_value,
+  CAST(CAST(f.actual - f.expected AS DOUBLE) * 100 / f.expected AS DECIMAL(8,2)) AS deviation_percent
+FROM base b JOIN anomaly_found f USING (k)""")
 
 
 def world_sql(*needed: str) -> str:
@@ -279,7 +289,8 @@ def world_sql(*needed: str) -> str:
     def visit(name: str) -> None:
         if name in order:
             return
-        for d in _CTES[name][0]:
+        deps, body = _CTES[name]
+        for d in deps + (["world_now"] if AS_OF in body else []):
             visit(d)
         order.append(name)
 
@@ -291,7 +302,8 @@ def world_sql(*needed: str) -> str:
 
 def with_world(needed: list[str], extra_ctes: str, final: str) -> str:
     """Compose world CTEs + query-specific CTEs (``name AS (...)`` list) + final SELECT."""
-    head = world_sql(*needed)
+    now = ["world_now"] if AS_OF in extra_ctes + final else []
+    head = world_sql(*now, *needed)
     if extra_ctes.strip():
         head = head.rstrip() + ",\n" + extra_ctes.strip() + "\n"
     return head + final

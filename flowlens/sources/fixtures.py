@@ -15,6 +15,7 @@ other join is left to AQE, because customer/supplier grow with the data.
 
 from __future__ import annotations
 
+import datetime as _dt
 import os
 from dataclasses import dataclass
 
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens.functions.timeutil import (
-    FIXTURE_AS_OF, add_days, add_hours, add_minutes, as_of_col, pick)
+    add_days, add_hours, add_minutes, as_of_col, micros_between, pick)
 from flowlens.sources.driver import read_table
 
 # ---------------------------------------------------------------------------
@@ -34,15 +35,12 @@ REJECTED_REASONS = ["validation_error", "bad_input_file", None]
 SLA_HOURS = [4, 8, 24]
 TIERS = ["Strategic", "Preferred", "Standard"]
 TRANSPORT_MODES = ["TL", "LTL", "IM", "AIR"]
-ANOMALY_TYPES = ["MISSING_990", "LATE_214", "DUPLICATE_204", "MISSING_214",
-                 "MISSING_997", "STATUS_AGING", "LATE_DELIVERY", "REJECTED_204"]
-SEVERITIES = ["Critical", "High", "Medium", "Low"]
+RESPONSE_MINUTES = 240
 ANOMALY_STATES = ["Open", "In Progress", "Resolved"]
 ROOT_CAUSES = ["Partner system", "Mapping", "Network", "Carrier"]
 PIPELINE_STATES = ["running", "running", "idle", "running", "stopped", "running", "idle"]
 HEARTBEAT_INTERVALS = [300, 900, 3600, 86400]
 GRACE_MINUTES = [15, 30, 60]
-FEED_CUTOVER = "2024-01-23 00:00:00"
 
 EVENT_COLUMNS = [
     "event_id", "event_time", "interchange_id", "business_ref", "environment", "lob",
@@ -141,21 +139,23 @@ def _contract_columns(df: DataFrame) -> DataFrame:
     )
 
 
-def txn_events(spark: SparkSession, sf_dir: str, as_of=FIXTURE_AS_OF) -> DataFrame:
+def txn_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The message-event fact table (one row per message; 204/990/214/210)."""
-    base = order_base(spark, sf_dir)
-    msgs = _message_skeleton(spark, sf_dir, base)
-    msgs = msgs.filter(F.col("event_time") <= as_of_col(as_of))
-    return _contract_columns(msgs)
+    return _contract_columns(_message_skeleton(spark, sf_dir, order_base(spark, sf_dir)))
 
 
-def ack_events(spark: SparkSession, sf_dir: str, as_of=FIXTURE_AS_OF) -> DataFrame:
+def latest_tender(events: DataFrame) -> DataFrame:
+    """One row: the instant of the newest tender, the ``as_of`` of the derived tables."""
+    return events.filter(F.col("doc_type") == "204").agg(F.max("event_time").alias("as_of"))
+
+
+def ack_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """997 functional acks: one per tender with k % 10 <> 0, 30 minutes later."""
     k = _k()
     base = order_base(spark, sf_dir).filter(k % 10 != 0)
     t = add_minutes(F.col("t0"), 30)
     rejected = k % 17 == 0
-    return (base.filter(t <= as_of_col(as_of)).select(
+    return (base.select(
         ((k * 1000 + 997) * 100).cast("bigint").alias("event_id"),
         t.alias("event_time"),
         "interchange_id",
@@ -178,14 +178,12 @@ def ack_events(spark: SparkSession, sf_dir: str, as_of=FIXTURE_AS_OF) -> DataFra
     ))
 
 
-def txn_files(spark: SparkSession, sf_dir: str, as_of=FIXTURE_AS_OF,
-              events: DataFrame | None = None) -> DataFrame:
-    """One file (interchange) per order with k % 4 = 0."""
+def txn_files(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """One file (interchange) per order."""
     k = _k()
-    ev = events if events is not None else txn_events(spark, sf_dir, as_of)
+    ev = events if events is not None else txn_events(spark, sf_dir)
     children = ev.groupBy("interchange_id").agg(F.count(F.lit(1)).alias("children"))
-    base = order_base(spark, sf_dir).filter((k % 4 == 0) & (F.col("t0") <= as_of_col(as_of)))
-    f = base.join(children, "interchange_id", "left")
+    f = order_base(spark, sf_dir).join(children, "interchange_id", "left")
     status = F.when(k % 40 == 0, "rejected").when(k % 3 == 0, "received").otherwise("delivered")
     f = f.withColumn("status", status)
     declared = (F.coalesce(F.col("children"), F.lit(0)) + F.when(k % 12 == 0, 2).otherwise(0)).cast("int")
@@ -210,7 +208,7 @@ def txn_files(spark: SparkSession, sf_dir: str, as_of=FIXTURE_AS_OF,
 # Monitor state.  Feeds and heartbeats are derived from the message stream
 # (one row per feed / per channel), endpoints and pipelines from supplier.
 # ---------------------------------------------------------------------------
-def expected_feeds(events: DataFrame, as_of=FIXTURE_AS_OF) -> DataFrame:
+def expected_feeds(events: DataFrame, as_of) -> DataFrame:
     now = as_of_col(as_of)
     g = (events.groupBy("partner", "doc_type", "channel", "environment")
                .agg(F.max("event_time").alias("seen"), F.count(F.lit(1)).alias("n")))
@@ -233,7 +231,7 @@ def monitor_heartbeat(events: DataFrame) -> DataFrame:
     )
 
 
-def endpoint_health(spark: SparkSession, sf_dir: str, as_of=FIXTURE_AS_OF) -> DataFrame:
+def endpoint_health(spark: SparkSession, sf_dir: str, as_of) -> DataFrame:
     s = read_table(spark, sf_dir, "supplier")
     n = F.broadcast(read_table(spark, sf_dir, "nation"))
     key = F.col("s_suppkey")
@@ -249,7 +247,7 @@ def endpoint_health(spark: SparkSession, sf_dir: str, as_of=FIXTURE_AS_OF) -> Da
     ))
 
 
-def pipeline_health(spark: SparkSession, sf_dir: str, as_of=FIXTURE_AS_OF) -> DataFrame:
+def pipeline_health(spark: SparkSession, sf_dir: str, as_of) -> DataFrame:
     s = read_table(spark, sf_dir, "supplier", ["s_suppkey"])
     key = F.col("s_suppkey")
     return s.select(
@@ -295,6 +293,7 @@ def sla_rules(spark: SparkSession) -> DataFrame:
         (4, "204-990 NATION_3 tight", "prod", "NATION_3", "204", "out", "990", "in", "interchange_id", 60),
         (5, "204-990 uat", "uat", None, "204", "out", "990", "in", "interchange_id", 240),
         (6, "inbound-997 func ack", "prod", None, None, "in", "997", "out", "interchange_id", 15),
+        (7, "204-997 functional ack", "prod", None, "204", "out", "997", "in", "control_number", 60),
     ]
     schema = ("rule_id int, name string, environment string, partner string, trigger_doc_type string, "
               "trigger_direction string, response_doc_type string, response_direction string, "
@@ -335,13 +334,9 @@ def doc_type_catalog(spark: SparkSession) -> DataFrame:
 def feed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type"])
     partner = F.concat(F.lit("P"), (F.col("user_id") % 3).cast("string"))
-    late = F.col("ts") >= F.lit(FEED_CUTOVER).cast("timestamp_ntz")
     et = F.col("event_type")
-    drop = late & (((et == "signup") & (partner == "P0"))
-                   | ((et == "error") & (partner == "P2") & (F.col("event_id") % 4 != 0))
-                   | ((et == "view") & (F.col("event_id") % 5 == 0)))
     status = F.when(F.col("event_id") % 50 == 0, "failed").otherwise("ok")
-    return (e.filter(~drop).select(
+    return (e.select(
         F.col("event_id"), F.col("ts").alias("event_time"),
         F.lit("prod").alias("environment"), F.lit("feed").alias("lob"), partner.alias("partner"),
         F.lit("api").alias("channel"), F.lit("api").alias("protocol"), F.lit("in").alias("direction"),
@@ -393,9 +388,9 @@ def api_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("request_ts").alias("created_at"))
 
 
-def shipment_header(spark: SparkSession, sf_dir: str, as_of=FIXTURE_AS_OF) -> DataFrame:
+def shipment_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = _k()
-    b = order_base(spark, sf_dir).filter(F.col("t0") <= as_of_col(as_of))
+    b = order_base(spark, sf_dir)
     closed = F.col("o_orderstatus") == "F"
     return b.select(
         F.col("interchange_id").alias("shipment_id"),
@@ -460,32 +455,65 @@ def edi_transactions(events: DataFrame, acks: DataFrame) -> DataFrame:
     return msg.unionByName(ack)
 
 
-def anomaly_registry(spark: SparkSession, sf_dir: str, as_of=FIXTURE_AS_OF) -> DataFrame:
-    k = _k()
-    b = order_base(spark, sf_dir).filter(k % 15 == 0)
-    detected = add_hours(F.col("t0"), (k % 72).cast("int"))
-    b = b.filter(detected <= as_of_col(as_of))
-    atype = pick(k % 8, ANOMALY_TYPES)
-    actual = (k % 50).cast("decimal(14,2)")
-    return b.select(
-        F.concat(F.lit("ANO-"), k.cast("string")).alias("anomaly_id"),
+def anomaly_registry(spark: SparkSession, sf_dir: str, events: DataFrame, acks: DataFrame) -> DataFrame:
+    """One row per order and condition that its messages show.
+
+    No 990 or one later than 240 minutes, no 997, a failed or rejected 204, an
+    update that stays open, a delivery after the promised day.  Messages and acks are reduced to one row
+    per order before they meet the orders.
+    """
+    k, t0 = _k(), F.col("t0")
+    doc, refused = F.col("doc_type"), F.col("status").isin("failed", "rejected")
+    facts = (events.unionByName(acks).groupBy("interchange_id").agg(
+        F.min(F.when(doc == "990", F.col("event_time"))).alias("_response"),
+        F.bool_or(doc == "997").alias("_acked"),
+        F.bool_or((doc == "204") & refused).alias("_refused"),
+        F.bool_or((doc == "214") & (F.col("status") == "ok") & ~F.col("terminal")).alias("_open")))
+    b = order_base(spark, sf_dir).join(facts, "interchange_id", "left")
+    waited = (micros_between(t0, F.col("_response")) / F.lit(60_000_000)).cast("int")
+    promised, taken = (3 + k % 5).cast("int"), (2 + k % 8).cast("int")
+
+    def found(kind, transaction, severity, detected, actual, expected, when):
+        return F.struct(F.lit(kind).alias("kind"), F.lit(transaction).alias("transaction"),
+                        F.lit(severity).alias("severity"), detected.alias("detected"),
+                        actual.cast("decimal(14,2)").alias("actual"),
+                        expected.cast("decimal(14,2)").alias("expected"),
+                        F.coalesce(when, F.lit(False)).alias("when"))
+
+    zero, one = F.lit(0), F.lit(1)
+    conditions = F.array(
+        found("MISSING_990", "990", "Critical", add_minutes(t0, F.lit(RESPONSE_MINUTES)), zero, one,
+              F.col("_response").isNull()),
+        found("LATE_990", "990", "High", F.col("_response"), waited, F.lit(RESPONSE_MINUTES),
+              waited > RESPONSE_MINUTES),
+        found("MISSING_997", "204", "Medium", add_hours(t0, F.lit(1)), zero, one,
+              ~F.coalesce(F.col("_acked"), F.lit(False))),
+        found("REJECTED_204", "204", "High", t0, zero, one, F.col("_refused")),
+        found("STATUS_AGING", "214", "Medium", add_hours(t0, F.lit(24)), zero, one, F.col("_open")),
+        found("LATE_DELIVERY", "214", "Low", add_days(F.col("o_orderdate"), taken), taken, promised,
+              (F.col("o_orderstatus") == "F") & (taken > promised)),
+    )
+    a = b.select("*", F.explode(F.filter(conditions, lambda c: c["when"])).alias("a"))
+    actual, expected = F.col("a.actual"), F.col("a.expected")
+    return a.select(
+        F.concat_ws("-", F.lit("ANO"), k.cast("string"), F.col("a.kind")).alias("anomaly_id"),
         F.col("interchange_id").alias("shipment_id"),
         F.col("partner").alias("partner_id"),
         F.concat(F.lit("CAR-"), (k % 7).cast("string")).alias("carrier_id"),
-        pick(k % 4, ["204", "990", "214", "210"]).alias("transaction_type"),
-        atype.alias("anomaly_type"),
-        pick(k % 4, SEVERITIES).alias("severity"),
+        F.col("a.transaction").alias("transaction_type"),
+        F.col("a.kind").alias("anomaly_type"),
+        F.col("a.severity").alias("severity"),
         pick(k % 3, ANOMALY_STATES).alias("anomaly_status"),
         F.when(F.col("o_orderstatus") == "F", "Delivered").when(F.col("o_orderstatus") == "O", "In Transit")
          .otherwise("Booked").alias("current_status"),
-        pick((k / 15).cast("bigint") % 4, ROOT_CAUSES).alias("root_cause_category"),
-        F.concat(F.lit("Review "), atype).alias("recommended_action"),
-        detected.alias("detected_timestamp"),
-        detected.alias("created_at"),
+        pick(k % 4, ROOT_CAUSES).alias("root_cause_category"),
+        F.concat(F.lit("Review "), F.col("a.kind")).alias("recommended_action"),
+        F.col("a.detected").alias("detected_timestamp"),
+        F.col("a.detected").alias("created_at"),
         F.col("o_totalprice").cast("decimal(14,2)").alias("business_impact_amount"),
         actual.alias("actual_value"),
-        F.lit(40).cast("decimal(14,2)").alias("expected_value"),
-        ((actual - 40) * 100 / 40).cast("decimal(8,2)").alias("deviation_percent"))
+        expected.alias("expected_value"),
+        ((actual - expected) * 100 / expected).cast("decimal(8,2)").alias("deviation_percent"))
 
 
 @dataclass
@@ -498,9 +526,17 @@ class World:
     """
     spark: SparkSession
     sf_dir: str
-    as_of: str = FIXTURE_AS_OF
     materialize: bool = True
     _stored_key: str | None = None
+    _now: str | None = None
+
+    @property
+    def as_of(self) -> str:
+        """The newest tender's instant: read from the data, never used to filter them."""
+        if self._now is None:
+            row = self._table("as_of", lambda: latest_tender(self.events()), None).agg(F.max("as_of")).first()[0]
+            self._now = (row or _dt.datetime(1970, 1, 1)).strftime("%Y-%m-%d %H:%M:%S.%f")
+        return self._now
 
     def _key(self) -> str:
         from flowlens.sources.store import input_key
@@ -509,7 +545,7 @@ class World:
         # Any change to the package's code invalidates the stored tables.
         pkg = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
         code = sorted(os.path.join(d, f) for d, _, fs in os.walk(pkg) for f in fs if f.endswith(".py"))
-        self._stored_key = input_key(self.spark, self.sf_dir, self.as_of, code)
+        self._stored_key = input_key(self.spark, self.sf_dir, code)
         return self._stored_key
 
     def _table(self, name: str, build, order_col: str | None) -> DataFrame:
@@ -519,7 +555,7 @@ class World:
         return stored(self.spark, self._key(), name, build, order_col)
 
     def events(self) -> DataFrame:
-        return self._table("txn_events", lambda: txn_events(self.spark, self.sf_dir, self.as_of), "event_time")
+        return self._table("txn_events", lambda: txn_events(self.spark, self.sf_dir), "event_time")
 
     def rollup(self) -> DataFrame:
         """The stored hourly rollup (A1 at ``as_of``), as the dashboards read it."""
@@ -527,13 +563,13 @@ class World:
         return self._table("txn_rollup_hourly", lambda: hourly_rollup(self.events(), self.as_of), "bucket")
 
     def acks(self) -> DataFrame:
-        return self._table("acks", lambda: ack_events(self.spark, self.sf_dir, self.as_of), "event_time")
+        return self._table("acks", lambda: ack_events(self.spark, self.sf_dir), "event_time")
 
     def events_with_acks(self) -> DataFrame:
         return self.events().unionByName(self.acks())
 
     def files(self) -> DataFrame:
-        return self._table("txn_files", lambda: txn_files(self.spark, self.sf_dir, self.as_of, self.events()),
+        return self._table("txn_files", lambda: txn_files(self.spark, self.sf_dir, self.events()),
                            "received_at")
 
     def feeds(self) -> DataFrame:
@@ -570,7 +606,7 @@ class World:
         return self._table("api_transactions", lambda: api_transactions(self.spark, self.sf_dir), "request_ts")
 
     def header(self) -> DataFrame:
-        return self._table("shipment_header", lambda: shipment_header(self.spark, self.sf_dir, self.as_of),
+        return self._table("shipment_header", lambda: shipment_header(self.spark, self.sf_dir),
                            "shipment_date")
 
     def partners(self) -> DataFrame:
@@ -581,5 +617,5 @@ class World:
                            "transaction_timestamp")
 
     def anomalies(self) -> DataFrame:
-        return self._table("anomaly_registry", lambda: anomaly_registry(self.spark, self.sf_dir, self.as_of),
+        return self._table("anomaly_registry", lambda: anomaly_registry(self.spark, self.sf_dir, self.events(), self.acks()),
                            "detected_timestamp")

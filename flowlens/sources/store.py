@@ -2,8 +2,8 @@
 
 The reference keeps ``txn_events`` and friends as stored tables and every
 dashboard query reads them.  The adapter that derives those tables from the
-driver data (joins, explode, string building) is written once per input and
-``as_of`` into ``spark.checkpoint.dir``; queries then read the stored files.
+driver data (joins, explode, string building) is written once per input into
+``spark.checkpoint.dir``; queries then read the stored files.
 This also cuts the lineage: a lost executor re-reads stored files instead of
 recomputing the adapter.
 
@@ -30,11 +30,11 @@ from flowlens.session import ensure_checkpoint_dir
 _MEMO: dict[tuple[int, str, str], DataFrame] = {}
 
 
-def input_key(spark: SparkSession, sf_dir: str, as_of: str, code_files: list[str]) -> str:
+def input_key(spark: SparkSession, sf_dir: str, code_files: list[str]) -> str:
     """Digest of all input files (path, size, modification time; any depth, any file system
-    that Spark reads), ``as_of`` and the adapter code."""
+    that Spark reads) and the adapter code."""
     h = hashlib.sha256()
-    h.update(f"{sf_dir}|{as_of}".encode())
+    h.update(sf_dir.encode())
     path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
     files, found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True), []
     while files.hasNext():

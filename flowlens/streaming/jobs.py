@@ -72,10 +72,11 @@ def dedupe(ev: DataFrame, keys=("partner", "doc_type", "control_number"), waterm
 # ------------------------------------------------------------------ ST4
 def match_responses(triggers: DataFrame, responses: DataFrame, key: str, threshold_minutes: int,
                     watermark: str = "1 hour") -> DataFrame:
-    """ST4: trigger -> response stream-stream left outer join bounded by the SLA.
+    """ST4: one row per trigger with its first response within the SLA.
 
-    A trigger with no response within ``threshold_minutes`` is emitted with a
-    NULL response once the watermark passes the bound: that row is a miss.
+    A stream-stream left outer join bounded by the SLA, reduced to the earliest
+    response.  A trigger is emitted once the watermark passes its bound; with no
+    response within ``threshold_minutes`` the response is NULL: a miss.
     """
     t = triggers.select(F.col(key).alias("t_key"), F.col("business_ref").alias("trigger_ref"),
                         F.col("event_time").alias("trigger_at")).withWatermark("trigger_at", watermark)
@@ -83,7 +84,8 @@ def match_responses(triggers: DataFrame, responses: DataFrame, key: str, thresho
                  .withWatermark("response_at", watermark)
     cond = ((F.col("t_key") == F.col("r_key")) & (F.col("response_at") >= F.col("trigger_at"))
             & (F.col("response_at") <= F.col("trigger_at") + F.expr(f"INTERVAL {int(threshold_minutes)} MINUTES")))
-    j = t.join(r, cond, "leftOuter")
+    j = (t.join(r, cond, "leftOuter").groupBy("t_key", "trigger_ref", "trigger_at")
+          .agg(F.min("response_at").alias("response_at")))
     return j.select("t_key", "trigger_ref", "trigger_at", "response_at",
                     F.when(F.col("response_at").isNull(), "missed").otherwise("met").alias("sla_state"))
 
@@ -129,7 +131,10 @@ def current_state_batch(state_path: str, buckets: int = STATE_BUCKETS):
         ev = batch.select(*[F.col(c).cast("timestamp_ntz").alias(c) if c in TS_COLUMNS else F.col(c)
                             for c in batch.columns])
         bucket = (F.abs(F.xxhash64("business_ref")) % buckets).cast("int")
-        fresh = lc.current_state(ev).withColumn("bucket", bucket)
+        # The table also keeps the id of the latest event: it decides between events of one instant, as in W1.
+        last = ev.groupBy("business_ref").agg(
+            F.max_by("event_id", F.struct("event_time", "event_id")).alias("last_event_id"))
+        fresh = lc.current_state(ev).join(last, "business_ref").withColumn("bucket", bucket)
         touched = fresh.select("business_ref", "bucket")
         version = io.next_version(spark, state_path)
         # A read that fails for another reason than a missing table must fail the batch: going on would drop the state.
@@ -152,7 +157,7 @@ def _merge_state(prev: DataFrame, fresh: DataFrame) -> DataFrame:
     u = prev.unionByName(fresh)
     latest = F.max_by(F.struct(*[c for c in u.columns if c not in (
         "business_ref", "first_event_at", "terminal_at", "replayed", "replayed_at", "replay_count")]),
-        F.col("last_event_at"))
+        F.struct("last_event_at", "last_event_id"))
     g = u.groupBy("business_ref").agg(
         latest.alias("l"), F.min("first_event_at").alias("first_event_at"), F.max("terminal_at").alias("terminal_at"),
         F.bool_or("replayed").alias("replayed"), F.max("replayed_at").alias("replayed_at"),

@@ -112,7 +112,7 @@ def test_at_risk_tender(spark):
                                   "rule_id int, name string, environment string, partner string, trigger_doc_type string,"
                                   " trigger_direction string, response_doc_type string, response_direction string,"
                                   " correlation_key string, threshold_minutes int")
-    states = {r.business_ref: r.sla_state for r in sla.sla_rule_pairs(ev, rules, AS_OF, key="business_ref").collect()}
+    states = {r.business_ref: r.sla_state for r in sla.sla_rule_pairs(ev, rules, AS_OF).collect()}
     assert states == {"T1": "at_risk", "T2": "met"}
 
 

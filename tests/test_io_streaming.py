@@ -1,12 +1,13 @@
 """Sources/sinks and Structured Streaming jobs, checked against the batch operators."""
 
+import datetime as dt
 import os
 import tempfile
 
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
-from flowlens.functions.timeutil import FIXTURE_AS_OF
+from flowlens.functions.timeutil import add_days, ts_lit
 from flowlens.operators import lifecycle as lc
 from flowlens.operators import rollup as ro
 from flowlens.sources import io
@@ -26,10 +27,10 @@ def test_events_roundtrip_and_partition_pruning(spark):
     w = _world(spark)
     path = tempfile.mkdtemp(prefix="fl-ev-")
     io.write_events(w.events(), path)
-    back = io.read_events(spark, path, start="2001-07-01 00:00:00", end=FIXTURE_AS_OF)
+    back = io.read_events(spark, path, start="2001-07-01 00:00:00", end=w.as_of)
     plan = back._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "event_date" in plan
-    want = w.events().filter((F.col("event_time") >= "2001-07-01") & (F.col("event_time") < FIXTURE_AS_OF))
+    want = w.events().filter((F.col("event_time") >= "2001-07-01") & (F.col("event_time") < ts_lit(w.as_of)))
     assert back.count() == want.count() > 0
 
 
@@ -38,10 +39,10 @@ def test_incremental_rollup_equals_full_rebuild(spark):
     ev = w.events()
     full, inc = tempfile.mkdtemp(prefix="fl-ru-"), tempfile.mkdtemp(prefix="fl-ru-")
     io.rebuild_rollup(ev, full, w.as_of, grain="month")
-    # Build the rollup from data known 3 days earlier, then refresh at as_of.
-    early = "2001-07-28 12:00:00"
+    # Build the rollup from data known 3 days earlier, then refresh at as_of back to those days.
+    early = add_days(ts_lit(w.as_of), -3)
     io.rebuild_rollup(ev.filter(F.col("event_time") <= early), inc, early, grain="month")
-    io.refresh_rollup_days(ev, inc, w.as_of, hours=2, grain="month")
+    io.refresh_rollup_days(ev, inc, w.as_of, hours=72, grain="month")
     cols = ["bucket"] + ro.ROLLUP_DIMS + ["txn_count", "value_sum", "failed_count"]
     assert _rows(io.read_rollup(spark, inc), cols) == _rows(io.read_rollup(spark, full), cols)
 
@@ -102,14 +103,18 @@ def test_stream_stream_response_match(spark):
     t = jobs.event_stream(spark, trig_path)
     r = jobs.event_stream(spark, resp_path)
     jobs.run_available_now(jobs.match_responses(t, r, "interchange_id", 240, watermark="1 hour"), "st4_match")
-    got = spark.table("st4_match").filter(F.col("sla_state") == "met").count()
+    # A trigger is emitted once its time is up: the newest day's are still in the state.
+    settled = F.lit(w.as_of).cast("timestamp") - F.expr("INTERVAL 1 DAY")
+    states = spark.table("st4_match").filter(F.col("trigger_at") < settled).groupBy("sla_state").count().collect()
+    got = {r.sla_state: r["count"] for r in states}
     # batch truth: tenders whose 990 came within 240 minutes
-    t0 = ev.filter(F.col("doc_type") == "204").select("interchange_id", F.col("event_time").alias("t"))
+    t0 = (ev.filter((F.col("doc_type") == "204") & (F.col("event_time") < settled))
+            .select("interchange_id", F.col("event_time").alias("t")))
     r0 = ev.filter(F.col("doc_type") == "990").select("interchange_id", F.col("event_time").alias("r"))
     want = (t0.join(r0, "interchange_id")
               .filter((F.col("r") >= F.col("t")) & (F.col("r") <= F.col("t") + F.expr("INTERVAL 240 MINUTES")))
               .count())
-    assert got == want > 0
+    assert got == {"met": want, "missed": t0.count() - want} and want > 0
 
 
 def test_foreach_batch_current_state_and_files(spark):
@@ -186,6 +191,90 @@ def test_store_key_follows_nested_input(spark):
     nested = os.path.join(src, "orders.parquet", "part=1")
     os.makedirs(nested)
     shutil.copy(f"{SF_SMALL}/orders.parquet", os.path.join(nested, "a.parquet"))
-    keys = [input_key(spark, d, "x", []) for d in (src, f"file://{src}")]
+    keys = [input_key(spark, d, []) for d in (src, f"file://{src}")]
     shutil.copy(f"{SF_SMALL}/orders.parquet", os.path.join(nested, "b.parquet"))
-    assert all(input_key(spark, d, "x", []) != k for d, k in zip((src, f"file://{src}"), keys, strict=True))
+    assert all(input_key(spark, d, []) != k for d, k in zip((src, f"file://{src}"), keys, strict=True))
+
+
+def _order_of_2030(spark):
+    """The small tables with one more order, dated 2030."""
+    import shutil
+
+    src = tempfile.mkdtemp(prefix="fl-input-")
+    for t in ("nation", "region", "customer", "lineitem", "orders"):
+        shutil.copy(f"{SF_SMALL}/{t}.parquet", f"{src}/{t}.parquet")
+    orders = spark.read.parquet(f"{SF_SMALL}/orders.parquet")
+    late = (orders.orderBy("o_orderkey").limit(1).withColumn("o_orderkey", F.lit(900_001).cast("bigint"))
+                  .withColumn("o_orderdate", F.expr("TIMESTAMP_NTZ '2030-05-05 00:00:00'").cast(
+                      orders.schema["o_orderdate"].dataType)))
+    os.remove(f"{src}/orders.parquet")
+    orders.unionByName(late.select(*orders.columns)).write.parquet(f"{src}/orders.parquet")
+    return src
+
+
+def test_order_later_than_all_others_is_kept(spark):
+    w = World(spark, _order_of_2030(spark))
+    assert w.as_of.startswith("2030-05-05")
+    shipments = lc.shipments(w.events(), w.as_of)
+    small = spark.read.parquet(f"{SF_SMALL}/orders.parquet").count()
+    assert shipments.count() == w.files().count() == w.header().count() == small + 1
+    assert shipments.filter(F.col("shipment_id") == "ORD-000900001").count() == 1
+
+
+def _messages(spark, *rows):
+    """(business_ref, interchange_id, doc_type, minutes after noon, event_id, status) rows as events."""
+    from flowlens.sources import contracts as C
+
+    schema = C.events_schema()
+    blank = dict.fromkeys(schema.fieldNames())
+    noon = dt.datetime(2024, 5, 1, 12)
+    full = [blank | dict(business_ref=r, interchange_id=i, doc_type=d, event_time=noon + dt.timedelta(minutes=m),
+                         event_id=n, status=s, partner="P", environment="prod", control_number=r, terminal=False,
+                         replayed=False, replay_count=0) for r, i, d, m, n, s in rows]
+    return spark.createDataFrame([tuple(x[c] for c in schema.fieldNames()) for x in full], schema)
+
+
+def _streamed(spark, *batches):
+    """The batches as a stream that takes them one by one, in order."""
+    path = tempfile.mkdtemp(prefix="fl-stream-")
+    for i, b in enumerate(batches):
+        jobs.as_stream_time(b).coalesce(1).write.mode("append").parquet(path)
+        for f in os.listdir(path):
+            if f.endswith(".parquet") and os.path.getmtime(f"{path}/{f}") > 1_000_000_000:
+                os.utime(f"{path}/{f}", (1_000_000 + i, 1_000_000 + i))
+    return jobs.event_stream(spark, path, max_files=1)
+
+
+def test_two_responses_make_one_met_row_and_silence_a_miss(spark):
+    asked = _messages(spark, ("A", "A", "204", 0, 1, "ok"), ("B", "B", "204", 0, 2, "ok"),
+                      ("Z", "Z", "204", 6000, 3, "ok"))
+    said = _messages(spark, ("A1", "A", "214", 30, 4, "ok"), ("A2", "A", "214", 20, 5, "ok"),
+                     ("B1", "B", "214", 300, 6, "ok"), ("Z1", "Z", "214", 6000, 7, "ok"))
+    m = jobs.match_responses(_streamed(spark, asked), _streamed(spark, said), "interchange_id", 240)
+    jobs.run_available_now(m, "st4_first")
+    got = {r.t_key: (r.sla_state, r.response_at) for r in spark.table("st4_first").collect()}
+    assert got == {"A": ("met", dt.datetime(2024, 5, 1, 12, 20)), "B": ("missed", None)}
+
+
+def test_row_later_than_the_watermark_is_dropped(spark):
+    first = _messages(spark, ("A", "A", "204", 0, 1, "ok"), ("B", "B", "204", 600, 2, "ok"))
+    second = _messages(spark, ("C", "C", "204", 30, 3, "ok"), ("D", "D", "204", 550, 4, "ok"))
+    last = _messages(spark, ("E", "E", "204", 6000, 5, "ok"))
+    # Lateness is judged one batch behind the newest watermark, hence the batch between.
+    between = _messages(spark, ("F", "F", "204", 601, 6, "ok"))
+    jobs.run_available_now(jobs.windowed_rollup(_streamed(spark, first, between, second, last), watermark="2 hours"), "st1_late")
+    hours = {r.bucket.hour: r.txn_count for r in spark.table("st1_late").collect()}
+    # C (12:30) is behind the watermark of 20:00 that B set; D (21:10) is not.
+    assert hours == {12: 1, 21: 1, 22: 2}
+
+
+def test_state_of_one_instant_is_the_highest_event_id(spark):
+    state = tempfile.mkdtemp(prefix="fl-state-")
+    handle = jobs.current_state_batch(state, buckets=4)
+    high = _messages(spark, ("A", "A", "204", 0, 9, "failed"), ("B", "B", "204", 0, 1, "failed"))
+    low = _messages(spark, ("A", "A", "204", 0, 2, "ok"), ("B", "B", "204", 0, 5, "ok"))
+    handle(high, 0)
+    handle(low, 1)
+    want = lc.current_state(high.unionByName(low))
+    cols = ["business_ref", "current_status"]
+    assert _rows(jobs.read_state(spark, state), cols) == _rows(want, cols) == [("A", "failed"), ("B", "ok")]
