@@ -306,4 +306,5 @@ def with_world(needed: list[str], extra_ctes: str, final: str) -> str:
     head = world_sql(*now, *needed)
     if extra_ctes.strip():
         head = head.rstrip() + ",\n" + extra_ctes.strip() + "\n"
-    return head + final
+    # A text with a WITH list of its own becomes a subquery of the whole.
+    return head + (f"SELECT * FROM ({final.strip()})" if final.lstrip().startswith("WITH") else final)
