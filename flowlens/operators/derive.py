@@ -3,42 +3,42 @@ marking (D5) and reconciliation checks (D6)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.functions.timeutil import hash_bucket
 
-# Status-aware reason spread (reason, weight), in order.
-REJECTED_REASON_WEIGHTS = [
-    ("validation_error", 0.30), ("business_rule_violation", 0.22), ("duplicate_interchange", 0.15),
-    ("partner_config", 0.12), ("invalid_doc_type", 0.09), ("bad_input_file", 0.07), ("compliance_reject", 0.05),
-]
-FAILED_REASON_WEIGHTS = [
-    ("connectivity", 0.28), ("mapping_defect", 0.24), ("ack_timeout", 0.16), ("envelope_error", 0.12),
-    ("system_error", 0.10), ("gateway_timeout", 0.06), ("bad_input_file", 0.04),
-]
-BUCKETS = 10_000
+UNRESOLVED = ("failed", "rejected")
 
 
-def _spread(bucket, weights):
-    """First reason whose cumulative weight (in 1/10000ths) exceeds the bucket."""
-    expr, cum = None, 0
-    for reason, w in weights[:-1]:
-        cum += round(w * BUCKETS)
-        expr = F.when(bucket < cum, reason) if expr is None else expr.when(bucket < cum, reason)
-    return expr.otherwise(weights[-1][0])
+def reason_spread(ev: DataFrame) -> DataFrame:
+    """Per status the known reasons with their share as an interval [lo, hi) of ``total`` messages.
+
+    One row per (status, reason): as many as the vocabulary of reasons, however large ``ev`` is.
+    """
+    known = (ev.filter(F.col("status").isin(*UNRESOLVED) & F.col("reason_category").isNotNull())
+               .groupBy("status", F.col("reason_category").alias("reason")).agg(F.count(F.lit(1)).alias("n")))
+    by_status = Window.partitionBy("status")
+    hi = F.sum("n").over(by_status.orderBy("reason"))
+    return known.select("status", "reason", (hi - F.col("n")).alias("lo"), hi.alias("hi"),
+                        F.sum("n").over(by_status).alias("total"))
 
 
-def impute_reasons(ev: DataFrame, rejected=REJECTED_REASON_WEIGHTS, failed=FAILED_REASON_WEIGHTS) -> DataFrame:
-    """D3: fill NULL reasons of failed/rejected messages with a weighted spread.
+def impute_reasons(ev: DataFrame) -> DataFrame:
+    """D3: fill NULL reasons of failed/rejected messages as the known reasons of their status are spread.
 
-    The draw is an md5 bucket of ``event_id`` instead of ``random()``: the same
-    row always gets the same reason, so a retried task writes the same data.
+    The draw is an md5 bucket of ``event_id``, so the same row always gets the
+    same reason and a retried task writes the same data.  The spread comes in as
+    one scalar value: no join, and no shuffle of the messages.  A status without
+    any known reason keeps its NULLs.
     """
-    b = hash_bucket(F.col("event_id"), BUCKETS)
-    fill = (F.when(F.col("status") == "rejected", _spread(b, rejected))
-             .when(F.col("status") == "failed", _spread(b, failed)))
-    return ev.withColumn("reason_category", F.coalesce(F.col("reason_category"), fill))
+    spread = reason_spread(ev).agg(F.collect_list(F.struct("status", "reason", "lo", "hi", "total"))).scalar()
+    draw = hash_bucket(F.col("event_id"), 2**31 - 1).cast("bigint")
+    mine = F.filter("_spread", lambda s: (s["status"] == F.col("status")) & (draw % s["total"] >= s["lo"])
+                    & (draw % s["total"] < s["hi"]))
+    return (ev.withColumn("_spread", spread)
+              .withColumn("reason_category", F.coalesce(F.col("reason_category"), F.get(mine, F.lit(0))["reason"]))
+              .drop("_spread"))
 
 
 def default_protocol(ev: DataFrame) -> DataFrame:

@@ -165,12 +165,21 @@ def _sla_counts(df: DataFrame, keys: list[str], status: str = "sla_status") -> D
 
 
 def message_sla_daily(hdr, tx, partners, as_of=None) -> DataFrame:
-    """Per day x partner x SLA type: total, within, breach, missing, %."""
-    a = response_204_990(hdr, tx, partners, as_of).select(
-        "metric_date", "partner_id", "partner_name", "sla_status", F.lit("204-990").alias("sla_type"))
-    b = first_update_204_214(hdr, tx, partners, as_of).select(
-        "metric_date", "partner_id", "partner_name", "sla_status", F.lit("204-214").alias("sla_type"))
-    return _sla_counts(a.unionByName(b), ["metric_date", "partner_id", "partner_name", "sla_type"])
+    """Per day x partner x SLA type: total, within, breach, missing, %.
+
+    The tender frame is built once; each tender is graded for both SLA types.
+    """
+    now = as_of_col(as_of)
+    tender = F.col("tender_ts")
+
+    def graded(kind, response, sla_min):
+        return F.struct(F.lit(kind).alias("sla_type"), _sla_status(tender, F.col(response), sla_min, now).alias("sla_status"))
+
+    kinds = F.array(graded("204-990", "response_ts", F.col("expected_204_990_minutes")),
+                    graded("204-214", "first_214_ts", F.lit(UPDATE_SLA_MINUTES)))
+    both = _tender_frame(hdr, tx, partners).select(F.to_date(tender).alias("metric_date"), "partner_id", "partner_name",
+                                                   F.inline(kinds))
+    return _sla_counts(both, ["metric_date", "partner_id", "partner_name", "sla_type"])
 
 
 def ack_sla_daily(tx: DataFrame, as_of=None, sla_minutes: int = ACK_SLA_MINUTES) -> DataFrame:

@@ -7,7 +7,6 @@ from flowlens.operators import anomaly as an
 from flowlens.operators import api
 from flowlens.operators import doctypes as dt
 from flowlens.operators import partners as pa
-from flowlens.operators import rollup as ro
 from flowlens.operators import shipment360 as s3
 from flowlens.plans.oracle_world import AS_OF
 from flowlens.plans.registry import ROLLUP_SQL, RU, W, register, sql
@@ -68,7 +67,7 @@ FEED_FA = feed_anomaly_sql("feed_ru", "feed_daily", "feed_fa")
 
 def _feed_daily(spark, sf_dir):
     w = W(spark, sf_dir)
-    ru = ro.hourly_rollup(w.feed_events(), w.as_of)
+    ru = w.feed_rollup()
     return ru, an.feed_daily(ru)
 
 

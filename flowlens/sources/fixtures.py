@@ -562,6 +562,11 @@ class World:
         from flowlens.operators.rollup import hourly_rollup
         return self._table("txn_rollup_hourly", lambda: hourly_rollup(self.events(), self.as_of), "bucket")
 
+    def feed_rollup(self) -> DataFrame:
+        """The stored hourly rollup of the feed messages."""
+        from flowlens.operators.rollup import hourly_rollup
+        return self._table("feed_rollup_hourly", lambda: hourly_rollup(self.feed_events(), self.as_of), "bucket")
+
     def acks(self) -> DataFrame:
         return self._table("acks", lambda: ack_events(self.spark, self.sf_dir), "event_time")
 
