@@ -2,9 +2,10 @@
 
 Texts are lower-cased; white space and ASCII punctuation stand between words.
 Document windows begin at every ``STEP``-th word, item windows at every word.
-Their size is set by the smallest item: as many whole steps as it holds wherever
-it stands (12 words at most), so every copied run of that length holds a document
-window whose fingerprint some item window has too.  A fingerprint takes, for each
+They are not item-sized: one size serves all items, set by the shortest run of words
+that ``SIMILARITY`` leaves unchanged in any of them (``unchanged``), as many whole steps
+as such a run holds wherever it stands (12 words at most).  So every leak holds a
+document window whose fingerprint some item window has too.  A fingerprint takes, for each
 bit, the majority of its words' hash bits, counted on 15 four-bit lanes per long
 and added piece by piece; a document costs a few array passes and no shuffle.
 
@@ -115,6 +116,21 @@ def _numbered(shingles: str) -> Column:
     return F.transform(shingles, lambda x, i: F.xxhash64(x, i + 1 - F.array_position(F.col(shingles), x)))
 
 
+def unchanged(n_words: int, similarity: float = SIMILARITY) -> int:
+    """Words of the longest unchanged run, at least, of an item of ``n_words`` in a passage of that similarity.
+
+    Of the item's shingles ``lost`` are not in the passage, ``more`` of the passage's are not in the item, and
+    lost + similarity * more <= (1 - similarity) * shingles.  Words changed or cut at the edges lose a shingle each,
+    and cut by the document's end they bring no other; a break within the item loses four shingles and brings four.
+    """
+    shingles = n_words - SHINGLE + 1
+    left, least = (1 - similarity) * shingles + 1e-9, n_words
+    for breaks in range(int(left / ((SHINGLE - 1) * (1 + similarity))) + 1):
+        lost = int(left - similarity * (SHINGLE - 1) * breaks)
+        least = min(least, -(-(shingles - lost) // (breaks + 1)) + SHINGLE - 1)
+    return least
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           item_col: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, item_id, similarity, start and n_words (of the item) of every item found in a document."""
@@ -124,13 +140,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                        .filter(F.size("s_w") >= SHINGLE)
                        .withColumn("item_key", F.sha2(F.array_join("s_w", " "), 256)), "items")
     items = named.select("item_key", "s_w").dropDuplicates(["item_key"])
-    smallest = named.agg(F.min(F.size("s_w"))).first()[0]
-    if smallest is None:
+    run = min((unchanged(r[0], similarity) for r in named.select(F.size("s_w")).distinct().collect()), default=None)
+    if run is None:
         return spark.createDataFrame([], "doc_id long, item_id long, similarity double, start int, n_words int").select(
             F.col("doc_id").cast(docs.schema[id_col].dataType), F.col("item_id").cast(benchmark.schema[item_col].dataType),
             "similarity", "start", "n_words")
-    step = STEP if smallest >= 3 * STEP - 1 else 1
-    size = min(LARGEST, smallest - step + 1) // step * step
+    step = STEP if run >= 3 * STEP - 1 else 1
+    size = min(LARGEST, run - step + 1) // step * step
     many = named.agg(F.sum(F.size("s_w"))).first()[0]
     planes = 3 if many <= 2**16 else 4
     probes = fingerprints(items, size, 1, planes).select(

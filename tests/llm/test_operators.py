@@ -154,6 +154,44 @@ def test_leaks_at_every_offset_and_size(spark, shortest):
     assert all(r.start == max(0, r.doc_id % 100) for r in found if r.doc_id >= 0)
 
 
+def brute_leaks(docs, items):
+    """Pairs where the words in an item's place have a weighted similarity of 0.8: in places that a shared shingle proposes, in any."""
+    def shingles(w):
+        return [tuple(w[i:i + 5]) for i in range(len(w) - 4)]
+
+    proposed, anywhere = set(), set()
+    for d, t in docs:
+        w = t.split()
+        for i, item in items:
+            n, own = len(item.split()), shingles(item.split())
+            shared = {p - own.index(x) for p, x in enumerate(shingles(w)) if x in own}
+            for start in {s + k for s in shared for k in range(1 - n, n)}:
+                there, have = Counter(shingles(w[max(0, start):max(0, start + n)])), Counter(own)
+                if 10 * (have & there).total() >= 8 * (have | there).total():
+                    anywhere.add((d, i))
+                    if start in shared:
+                        proposed.add((d, i))
+    return proposed, anywhere
+
+
+@pytest.mark.parametrize("shortest", [9, 12, 15, 40])
+def test_leaks_with_edited_edges_match_brute_force(spark, shortest):
+    items = [(i, prose(i, shortest + i % 3)) for i in range(8)]
+    docs = []
+    for i, t in items:
+        w = t.split()
+        half = len(w) // 2
+        forms = [["odd", *w[1:]], [*w[:-1], "odd"], w[1:], w[:-1], ["odd", *w[1:-1], "odd"], [*w[:half], "odd", *w[half:]],
+                 [*w[:half], *w[half + 1:]], [*w[:half], "odd", *w[half + 1:]], w]
+        docs += [" ".join([prose(100 * i + k, k), *f, *prose(50 + i, tail).split()])
+                 for f in forms for k in range(4) for tail in (0, 9)] + [" ".join([prose(k, k), *w[:-2]]) for k in range(4)]
+    docs = list(enumerate(docs))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    proposed, anywhere = brute_leaks(docs, items)
+    found = {(r.doc_id, r.item_id) for r in decontam.leaks(spark.createDataFrame(docs, DOCS), bench).collect()}
+    assert proposed <= found <= anywhere
+
+
 def test_leaks_odd_tables(spark, odd_docs):
     bench = sf(spark, "benchmark")
     assert decontam.op3_simhash_leaks(odd_docs, bench).collect() == []
