@@ -9,8 +9,9 @@ the second part being the sum of <v_i, v_j> over all pairs of terms: what an ins
 beside the mention of a group is learned, which additive weights cannot tell.  Fitted in
 numpy on mini-batches.  Both parts are sparse, so that terms that say nothing add nothing however
 long a text is: w follows FTRL-proximal steps, where a term's summed gradient must exceed what
-chance gives a term of its frequency; after ``ALONE`` passes v joins in for terms whose w is
-not zero, and its rows are pulled to zero as a whole.
+chance gives a term of its frequency; after ``ALONE`` passes v joins in for every term of
+``LEAST_TEXTS`` training texts, whatever its w, and its rows are pulled to zero as a whole, the more
+the longer the training texts are (``USUAL`` terms: ``LV``).
 
 Only labels are learned from, of at most ``MOST_LABELLED`` documents.  The model is a
 fixed ``TERMS`` * (1 + ``FACTORS``) numbers; every whole text is scored by the executors.
@@ -35,7 +36,7 @@ from flowlens.llm.learning import MOST_FEATURES, MOST_LABELLED, arrays, fold, la
 TERMS = 1 << 18
 FACTORS = 4
 EPOCHS, ALONE, BATCH = 8, 2, 64
-RATE, RATE_V, L1, L2, LV = 1.0, 0.2, 2.0, 0.01, 0.02
+RATE, RATE_V, L1, L2, LV, START_V, USUAL = 1.0, 0.2, 2.0, 0.01, 0.02, 0.1, 20
 #: Terms of fewer training texts say nothing.
 LEAST_TEXTS = 5
 STEMS = (4, 6)
@@ -103,12 +104,14 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> Ma
     df = np.bincount(np.concatenate(texts), minlength=TERMS)
     texts = [t[df[t] >= LEAST_TEXTS] for t in texts]
     rng = np.random.default_rng(7)
-    gw, gv, gb = np.zeros(TERMS), np.full(TERMS, 1.0), 1.0
+    # A text's terms move together and what its sums hold by chance grows with them: steps and pull follow its length.
+    usual = max(1.0, sum(map(len, texts)) / len(texts) / USUAL)
+    gw, gv, gb = np.zeros(TERMS), np.full(TERMS, usual ** 2), 1.0
     pull, base = np.zeros(TERMS), m.bias
     for epoch in range(epochs):
         if epoch == ALONE:
-            telling = np.flatnonzero(m.w)
-            m.v[telling] = rng.normal(0, 0.1, (len(telling), FACTORS))
+            known = np.flatnonzero(df >= LEAST_TEXTS)
+            m.v[known] = rng.normal(0, START_V, (len(known), FACTORS))
         order = rng.permutation(len(texts))
         for at in range(0, len(order), BATCH):
             rows = order[at:at + BATCH]
@@ -129,12 +132,9 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> Ma
             gw[places] = grown ** 2
             z, need = pull[places], L1 * np.sqrt(df[places])
             m.w[places] = np.where(np.abs(z) <= need, 0, -(z - np.sign(z) * need) / ((1 + grown) / RATE + L2))
-            # AdaGrad for v, with a pull of the whole row to zero.  A zero row stays zero.
-            told = (m.v[flat] != 0).any(1)
-            flat, owner = flat[told], owner[told]
-            if not len(flat):
+            # AdaGrad for v, with a pull of the whole row to zero, which it leaves again at a steeper gradient.
+            if epoch < ALONE:
                 continue
-            places, inverse = np.unique(flat, return_inverse=True)
             v = m.v[flat]
             sums = np.stack([np.bincount(owner, v[:, f], len(part)) for f in range(FACTORS)], 1)
             dv = off[owner, None] * (sums[owner] - v)
@@ -143,7 +143,7 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> Ma
             step = RATE_V / np.sqrt(gv[places])
             v = m.v[places] - step[:, None] * dv
             norm = np.sqrt((v ** 2).sum(1)) + 1e-12
-            m.v[places] = v * np.maximum(0, 1 - step * LV / norm)[:, None]
+            m.v[places] = v * np.maximum(0, 1 - step * LV * usual ** 2 / norm)[:, None]
     unknown = df < LEAST_TEXTS
     m.w[unknown], m.v[unknown] = 0, 0
     return m

@@ -303,6 +303,26 @@ def test_factorization_machine_learns_pairs():
     assert ((p >= 0.5) == labels).mean() > 0.93 and np.abs(m.v).sum() > 0
 
 
+@pytest.mark.parametrize("others", [20, 60])
+def test_factorization_machine_learns_pairs_of_terms_that_say_nothing_alone(others):
+    """An exclusive or: each of the four terms is as common in toxic texts as in others."""
+    import numpy as np
+
+    r = random.Random(4)
+
+    def sample(n):
+        texts, labels = [], []
+        for i in range(n):
+            a, b = i % 2, i // 2 % 2
+            texts.append(np.array(sorted({r.randrange(100, 4000) for _ in range(others)} | {1 + a, 3 + b}), np.int32))
+            labels.append(float(a != b))
+        return texts, np.array(labels)
+
+    m = toxicity.fit(*sample(3000))
+    texts, labels = sample(800)
+    assert ((m.probabilities(texts) >= 0.5) == labels).mean() > 0.95
+
+
 def docs_and_labels(spark, toxic):
     rows = []
     for i in range(600):
