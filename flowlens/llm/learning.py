@@ -9,12 +9,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowlens.llm.common import work_folder
 from flowlens.llm.textbatch import slices
 
 #: Labelled documents that a model is fitted on, at most.
 MOST_LABELLED = 20_000
 #: Numbers that a training text is read to, at most, by the models' readers; texts that are scored are read whole.
 MOST_FEATURES = 6_000
+#: Texts of a stored part of a sample, about, and bytes of a sample that the driver may hold whole.
+PART, HELD = 400, 32_000_000
 
 
 def fold(doc_id: Column, folds: int) -> Column:
@@ -57,6 +60,53 @@ def arrays(sample: DataFrame, features: Callable[[], Callable[[str], np.ndarray]
     return [np.frombuffer(bytes(r.f), np.int32) for r in rows], np.array([r.label for r in rows], np.float64)
 
 
+class Sample:
+    """The sample's features, made on the executors and stored in parts; the driver holds a part at a time.
+
+    ``labels`` are those of all texts; a sample of HELD bytes or less is fetched once.
+    """
+
+    def __init__(self, sample: DataFrame, features: Callable[[], Callable[[str], np.ndarray]], name: str):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            read = features()
+            for whole in batches:
+                for batch in slices(whole):
+                    found = [read(t).tobytes() for t in batch.column(1).to_pylist()]
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0), pa.array(found, pa.binary()), batch.column(2), batch.column(3),
+                         pa.array([len(f) for f in found], pa.int64())], ["doc_id", "f", "label", "part", "bytes"])
+
+        kind = sample.schema["doc_id"].dataType.simpleString()
+        parts = -(-MOST_LABELLED // PART)
+        sample = sample.select("doc_id", "text", "label", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(parts)).cast("int").alias("part"))
+        schema = f"doc_id {kind}, f binary, label int, part int, bytes long"
+        spark, self.path = sample.sparkSession, work_folder(sample.sparkSession, name)
+        (sample.repartition(parts, "part").mapInArrow(run, schema).write.option("compression", "zstd")
+         .partitionBy("part").parquet(self.path))
+        self.read = spark.read.schema(schema)
+        self.sizes = {r.part: r for r in self.read.parquet(self.path).groupBy("part").agg(
+            F.sum("bytes").alias("bytes"), F.collect_list("label").alias("labels")).collect()}
+        self.labels = np.array([y for p in sorted(self.sizes) for y in self.sizes[p].labels], np.float64)
+        self.held = self._fetch(self.path) if sum(r.bytes for r in self.sizes.values()) <= HELD else None
+
+    def _fetch(self, path: str) -> tuple[list[np.ndarray], np.ndarray]:
+        rows = sorted(self.read.parquet(path).select("doc_id", "f", "label").collect(), key=lambda r: r.doc_id)
+        return [np.frombuffer(bytes(r.f), np.int32) for r in rows], np.array([r.label for r in rows], np.float64)
+
+    def batches(self, rng: np.random.Generator, size: int) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+        """One pass over all texts in random order; a part's rest is taken along to the next."""
+        left, y_left = [], np.empty(0)
+        parts = [None] if self.held else [sorted(self.sizes)[i] for i in rng.permutation(len(self.sizes))]
+        for n, p in enumerate(parts):
+            texts, y = self.held or self._fetch(f"{self.path}/part={p}")
+            order = rng.permutation(len(texts))
+            left, y_left = left + [texts[i] for i in order], np.concatenate([y_left, y[order]])
+            whole = len(left) if n == len(parts) - 1 else len(left) // size * size
+            for at in range(0, whole, size):
+                yield left[at:at + size], y_left[at:at + size]
+            left, y_left = left[whole:], y_left[whole:]
+
+
 def scores(docs: DataFrame, score: Callable[[], Callable[[list[str]], np.ndarray]]) -> DataFrame:
     """doc_id and score of every row; score gets the texts of a piece of a batch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,7 +10,7 @@ import pytest
 from llm_inputs import SF_SMALL, odd_docs, prose  # noqa: F401
 from pyspark.sql import functions as F
 
-from flowlens.llm import (chat, decontam, fmindex, mixing, neardup, quality_model, quality_rules, sharding, substring,
+from flowlens.llm import (chat, decontam, fmindex, learning, mixing, neardup, quality_model, quality_rules, sharding, substring,
                           token_counts, toxicity)
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -350,6 +350,27 @@ def test_models_tell_held_out_documents(spark, odd_docs, toxic):
     assert {r.score for r in run(odd_docs, labels.limit(0)).collect()} == {0.5}
 
 
+@pytest.mark.parametrize("held", [0, 32_000_000])
+def test_quality_learns_from_whole_training_texts(spark, monkeypatch, held):
+    """What tells the labels stands at the 50th to 90th word of 240 only."""
+    monkeypatch.setattr(learning, "HELD", held)
+    monkeypatch.setattr(learning, "PART", 5_000)
+    rows = [(i, prose(i, 50) + (" ZZ!!" * 40 if i % 4 == 0 else " " + prose(-i, 40)) + " " + prose(i + 0.5, 150), int(i % 4 > 0))
+            for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    held_out = [r for r in quality_model.quality(docs.drop("quality"), docs.drop("text")).collect() if r.held_out]
+    assert sum((r.score >= 0.5) == (r.doc_id % 4 > 0) for r in held_out) >= 0.95 * len(held_out)
+
+
+def test_training_texts_are_read_as_scored_ones():
+    import numpy as np
+
+    m = quality_model.Model()
+    for text in (prose(1, 700), "a a a b " * 90, "one", "x" * 90 + " y"):
+        rows, weight = quality_model.weighted(quality_model.reader()(text))
+        assert np.allclose(weight @ m.rows[rows], quality_model.Vectors(m.rows).document(text.split()), atol=1e-5)
+
+
 def test_labels_of_held_out_rows_are_not_learned(spark):
     docs, labels = docs_and_labels(spark, True)
     flipped = labels.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, 1 - F.col("toxic"))
