@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlens.llm import chat, decontam, mixing, neardup, quality_model, quality_rules, sharding, substring, token_counts, toxicity
+from flowlens.llm import (chat, decontam, mixing, neardup, periodic, pii, quality_model, quality_rules, search, sharding, substring,
+                          token_counts, toxicity)
 from flowlens.llm.common import read
 
 
@@ -53,6 +54,19 @@ def op10_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.op10_section_tokens(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op11_max_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.op11_max_sketches(read(spark, sf_dir, "documents", "doc_id", "text"),
+                                    read(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+def op12_branching_tandems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.op12_branching_tandems(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op13_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.op13_deobfuscation(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -63,6 +77,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_minimax_shards, op2_odd_sketches, op3_simhash_leaks, op4_weak_supervision, op5_entropy_mix,
         op6_factorization_machine, op7_subword_embeddings, op8_fm_passages, op9_prefix_examples, op10_section_tokens,
-        pipeline)}
+        op11_max_sketches, op12_branching_tandems, op13_deobfuscation, pipeline)}
 
-ORACLES: dict[str, str] = {"op9_prefix_examples": chat.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op9_prefix_examples": chat.ORACLE_SQL, "op11_max_sketches": search.ORACLE_SQL}
