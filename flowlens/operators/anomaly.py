@@ -92,23 +92,36 @@ def partner_anomaly(fa: DataFrame) -> DataFrame:
          .otherwise("Normal").alias("status"))
 
 
+def every_day(daily: DataFrame) -> DataFrame:
+    """Each feed's days from its first to the newest of any feed; ``txns`` is NULL on days without a message.
+
+    The calendar and the known days meet in one aggregation on (feed, day), which pre-reduces both on the mappers.
+    """
+    last = daily.select(F.max("day")).scalar()
+    calendar = daily.groupBy(*FEED_KEYS).agg(F.min("day").alias("first")).select(
+        *FEED_KEYS, F.explode(F.sequence("first", last)).alias("day"), F.lit(None).cast("bigint").alias("txns"))
+    return calendar.unionByName(daily.select(*FEED_KEYS, "day", "txns")).groupBy(*FEED_KEYS, "day").agg(F.max("txns").alias("txns"))
+
+
 def trailing_baseline(daily: DataFrame, min_base_mean: float = 3.0) -> DataFrame:
-    """The A10 statistics for every present day of every feed.
+    """The A10 statistics for every day of every feed, from its first day to the newest day of any feed.
 
+    Silent days have rows too (``every_day``), so a feed that stopped shows as ``Silent`` from its seventh silent day on.
     Range frames over the day number (``rangeBetween``) give the 21-day
     baseline ending 7 days back and the trailing 7-day window; absent days
-    count as zero in the means, as in A10.
+    count as zero in the means and not at all in the deviation, as in A10.
     """
+    daily = every_day(daily)
     dn = F.datediff(F.col("day"), F.lit("1970-01-01").cast("date"))
     w = Window.partitionBy(*FEED_KEYS).orderBy("_dn")
     base_w = w.rangeBetween(-(BASE_DAYS + GAP_DAYS - 1), -GAP_DAYS)
     cur_w = w.rangeBetween(-(CUR_DAYS - 1), 0)
     d = daily.withColumn("_dn", dn)
-    t = d.select(*FEED_KEYS, "day", "txns",
+    t = d.select(*FEED_KEYS, "day", F.coalesce("txns", F.lit(0)).cast("bigint").alias("txns"),
                  F.count("txns").over(base_w).alias("base_days"),
                  (F.coalesce(F.sum("txns").over(base_w), F.lit(0)).cast("double") / BASE_DAYS).alias("bm"),
                  F.coalesce(F.stddev_pop(F.col("txns").cast("double")).over(base_w), F.lit(0.0)).alias("bsd"),
-                 (F.sum("txns").over(cur_w).cast("double") / CUR_DAYS).alias("cm"))
+                 (F.coalesce(F.sum("txns").over(cur_w), F.lit(0)).cast("double") / CUR_DAYS).alias("cm"))
     bm, bsd, cm = F.col("bm"), F.col("bsd"), F.col("cm")
     z = (cm - bm) / F.nullif(bsd, F.lit(0.0))
     drop = F.lit(100.0) * (bm - cm) / F.nullif(bm, F.lit(0.0))

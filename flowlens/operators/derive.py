@@ -3,7 +3,9 @@ marking (D5) and reconciliation checks (D6)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.functions.timeutil import hash_bucket
@@ -50,16 +52,21 @@ def default_protocol(ev: DataFrame) -> DataFrame:
 def mark_duplicates(ev: DataFrame, keys=("partner", "doc_type", "control_number")) -> DataFrame:
     """Every repeat of a (partner, doc type, control number) after the first is a duplicate.
 
-    The first occurrence per key comes from one partial aggregation
-    (``min_by`` on (event_time, event_id)) joined back on the key, so a
+    The first occurrence per key comes from one partial aggregation, so a
     control number repeated millions of times is pre-reduced per task
-    instead of sorted inside one window partition.
+    instead of sorted inside one window partition.  Only keys seen twice are joined back: few rows, which AQE
+    broadcasts if their measured size allows.  A null partner or type is a value like others; a null control number is
+    no duplicate.
     """
     k = list(keys)
-    first = (ev.filter(F.col("control_number").isNotNull()).groupBy(*k)
-               .agg(F.min_by("event_id", F.struct("event_time", "event_id")).alias("_first_id")))
-    j = ev.join(first, k, "left")
-    return j.withColumn("is_duplicate", F.coalesce(F.col("event_id") != F.col("_first_id"), F.lit(False))).drop("_first_id")
+    numbered = ev.filter(F.col("control_number").isNotNull())
+    twice = (numbered.groupBy(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(k)])
+             .agg(F.min(F.struct("event_time", "event_id")).alias("_first"), F.count(F.lit(1)).alias("_n"))
+             .filter("_n > 1").drop("_n"))
+    same = reduce(Column.__and__, [ev[c].eqNullSafe(twice[f"_k{i}"]) for i, c in enumerate(k)])
+    j = ev.join(twice, same, "left")
+    later = F.struct("event_time", "event_id") != F.col("_first")
+    return j.withColumn("is_duplicate", F.coalesce(later, F.lit(False))).select(*ev.columns, "is_duplicate")
 
 
 def reconcile(ev: DataFrame, ru: DataFrame, ship: DataFrame) -> DataFrame:

@@ -19,15 +19,18 @@ def files_missing_txns(files: DataFrame, ev: DataFrame) -> DataFrame:
     so the join is one-to-one and a file with millions of children costs one
     row in the join.
     """
+    j = with_children(files.filter(F.col("declared_txn_count").isNotNull()), ev)
+    return (j.filter(F.col("declared_txn_count") > F.col("actual_txns"))
+             .select("interchange_id", "file_name", "partner", "direction", "declared_txn_count", "actual_txns",
+                     (F.col("declared_txn_count") - F.col("actual_txns")).alias("missing_inside_file")))
+
+
+def with_children(files: DataFrame, ev: DataFrame) -> DataFrame:
+    """The files with the number of their child rows at stage 'received' (``actual_txns``)."""
     children = (ev.groupBy("interchange_id")
                   .agg(F.count_if(F.col("stage") == "received").alias("_received")))
-    f = files.filter(F.col("declared_txn_count").isNotNull())
-    j = f.join(children, "interchange_id", "left")
-    actual = F.coalesce(F.col("_received"), F.lit(0))
-    return (j.filter(F.col("declared_txn_count") > actual)
-             .select("interchange_id", "file_name", "partner", "direction", "declared_txn_count",
-                     actual.alias("actual_txns"),
-                     (F.col("declared_txn_count") - actual).alias("missing_inside_file")))
+    return files.join(children, "interchange_id", "left").withColumn(
+        "actual_txns", F.coalesce("_received", F.lit(0))).drop("_received")
 
 
 def file_feed(files: DataFrame, as_of=None, hours: int = 24) -> DataFrame:
@@ -71,7 +74,7 @@ def upsert_files(batch: DataFrame, target: DataFrame) -> DataFrame:
         for c in FILE_COLUMNS if c != "interchange_id"])
     b = b.select(*[F.col(c).alias("b_" + c) for c in FILE_COLUMNS])
     t = target.select(*[F.col(c).alias("t_" + c) for c in FILE_COLUMNS])
-    j = t.join(b, t.t_interchange_id == b.b_interchange_id, "full_outer")
+    j = t.join(b, t.t_interchange_id.eqNullSafe(b.b_interchange_id), "full_outer")
     cols = []
     for c in FILE_COLUMNS:
         if c in upd:

@@ -317,8 +317,7 @@ def partner_health_daily(hdr, tx, anom, partners, as_of=None) -> DataFrame:
 def _partner_totals(hdr, tx, anom, partners, as_of=None) -> DataFrame:
     r = response_204_990(hdr, tx, partners, as_of)
     st = F.col("sla_status")
-    sla = r.groupBy("partner_id").agg(
-        _pct52(F.count_if(st == "met"), F.count_if(st != "pending")).alias("sla_compliance_pct"))
+    sla = r.groupBy(F.col("partner_id").alias("_p")).agg(F.count_if(st == "met").alias("sla_met"), F.count_if(st != "pending").alias("sla_judged"))
     ships = hdr.groupBy("partner_id").agg(F.count(F.lit(1)).alias("shipment_count"),
                                           F.sum("shipment_value").cast("decimal(28,2)").alias("shipment_value"))
     sv = F.col("severity")
@@ -327,10 +326,14 @@ def _partner_totals(hdr, tx, anom, partners, as_of=None) -> DataFrame:
                                         F.count_if(sv.isin("Critical", "High")).alias("severe_anomaly_count"),
                                         F.count_if(sv == "High").alias("high_anomalies"))
     p = _partners(partners).select("partner_id", "partner_name")
-    j = ships.join(an, "partner_id", "left").join(sla, "partner_id", "left").join(p, "partner_id", "left")
+    # Shipments without a partner are a group like others.
+    j = ships.join(sla, ships["partner_id"].eqNullSafe(sla["_p"]), "left").drop("_p")
+    j = j.join(an, "partner_id", "left").join(p, "partner_id", "left").withColumn(
+        "sla_compliance_pct", _pct52(F.col("sla_met"), F.col("sla_judged")))
     z = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     j = j.select("partner_id", "partner_name", "shipment_count", "shipment_value", z("anomaly_count"),
-                 z("critical_anomalies"), z("severe_anomaly_count"), z("high_anomalies"), "sla_compliance_pct")
+                 z("critical_anomalies"), z("severe_anomaly_count"), z("high_anomalies"), "sla_compliance_pct",
+                 z("sla_met"), z("sla_judged"))
     return j.withColumn("health_score", _health(F.col("sla_compliance_pct"), F.col("anomaly_count"),
                                                 F.col("shipment_count")))
 
@@ -353,19 +356,15 @@ def partner_risk(hdr, tx, anom, partners, as_of=None) -> DataFrame:
 
 
 def control_tower_kpis(hdr, tx, anom, partners, as_of=None) -> DataFrame:
-    """One-row control-tower KPIs."""
+    """One-row control-tower KPIs, all from the partners' totals."""
     t = _partner_totals(hdr, tx, anom, partners, as_of)
-    r = response_204_990(hdr, tx, partners, as_of)
-    st = F.col("sla_status")
-    sla = r.agg(_pct52(F.count_if(st == "met"), F.count_if(st != "pending")).alias("sla_compliance_pct"))
-    tot = t.agg(F.sum("shipment_count").cast("bigint").alias("total_shipments"),
+    return t.agg(F.sum("shipment_count").cast("bigint").alias("total_shipments"),
                 F.count_if(F.col("shipment_count") > 0).alias("active_partners"),
                 F.sum("anomaly_count").cast("bigint").alias("total_anomalies"),
                 F.sum("critical_anomalies").cast("bigint").alias("critical_anomalies"),
                 F.sum("high_anomalies").cast("bigint").alias("high_anomalies"),
-                F.round(F.avg("health_score"), 2).alias("avg_partner_health_score"))
-    # The SLA percentage joins the one-row totals as a scalar subquery.
-    return tot.withColumn("sla_compliance_pct", sla.scalar())
+                F.round(F.avg("health_score"), 2).alias("avg_partner_health_score"),
+                _pct52(F.sum("sla_met"), F.sum("sla_judged")).alias("sla_compliance_pct"))
 
 
 def control_tower_daily(hdr, tx, partners, as_of=None) -> DataFrame:

@@ -98,8 +98,7 @@ def _correlation(keys: tuple[str, ...]):
     return F.coalesce(*[F.when(name == k, F.col(k)) for k in keys])
 
 
-def sla_rule_pairs(ev: DataFrame, rules: DataFrame, as_of=None, keys: tuple[str, ...] = CORRELATION_KEYS,
-                   slice_unit: str = "hour") -> DataFrame:
+def sla_rule_pairs(ev: DataFrame, rules: DataFrame, as_of=None, keys: tuple[str, ...] = CORRELATION_KEYS) -> DataFrame:
     """Rule-driven response SLA -- first response at/after each trigger.
 
     Each rule names the message column that ties a response to its trigger
@@ -125,7 +124,7 @@ def sla_rule_pairs(ev: DataFrame, rules: DataFrame, as_of=None, keys: tuple[str,
               .join(wanted, ["response_doc_type", "response_direction"])
               .withColumn("_key", _correlation(keys)))
     m = first_at_or_after(trig, resp, ["_key", "correlation_key", "response_doc_type", "response_direction"],
-                          "trigger_at", "response_at", out="response_at", slice_unit=slice_unit)
+                          "trigger_at", "response_at", out="response_at")
     tt, rr, thr = F.col("trigger_at"), F.col("response_at"), F.col("threshold_minutes")
     return m.select("rule_id", "name", "partner", "business_ref", "trigger_at", "response_at",
                     F.round(micros_between(tt, rr) / F.lit(float(MICROS_PER_MINUTE))).cast("bigint").alias("elapsed_min"),
@@ -139,12 +138,12 @@ def rule_worklist(pairs: DataFrame, *states: str) -> DataFrame:
 
 def at_risk_tenders(ev: DataFrame, as_of=None, lo_min: int = 24, hi_min: int = 30,
                     trigger=("204", "in"), response=("990", "out"), key: str = "business_ref") -> DataFrame:
-    """Triggers aged lo..hi minutes with no response yet (left anti join)."""
+    """Triggers aged lo..hi minutes with no response by ``as_of`` (left anti join)."""
     now = as_of_col(as_of)
     age = micros_between(F.col("event_time"), now)
     t = ev.filter((F.col("doc_type") == trigger[0]) & (F.col("direction") == trigger[1])
                   & age.between(lo_min * MICROS_PER_MINUTE, hi_min * MICROS_PER_MINUTE))
-    resp = (ev.filter((F.col("doc_type") == response[0]) & (F.col("direction") == response[1]))
+    resp = (ev.filter((F.col("doc_type") == response[0]) & (F.col("direction") == response[1]) & (F.col("event_time") <= now))
               .select(F.col(key).alias("_rk")))
     return (t.join(resp, t[key] == resp._rk, "left_anti")
              .select("business_ref", "interchange_id", "partner", "doc_type", "event_time",

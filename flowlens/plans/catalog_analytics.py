@@ -98,7 +98,7 @@ def a11_partner_anomaly(spark, sf_dir):
 
 
 @register("w6_trailing_baseline", sql(["feed_events"], """
-SELECT environment, partner, doc_type, day, txns, round(bm, 1) AS base_mean, round(bsd, 1) AS base_sd,
+SELECT environment, partner, doc_type, day, coalesce(txns, 0) AS txns, round(bm, 1) AS base_mean, round(bsd, 1) AS base_sd,
   round(cm, 1) AS cur_mean, round((cm - bm) / nullif(bsd, 0), 2) AS zscore,
   round(100.0 * (bm - cm) / nullif(bm, 0), 0) AS drop_pct,
   CASE WHEN bm >= 5 AND cm = 0 THEN 'Silent'
@@ -108,11 +108,16 @@ FROM (
   SELECT *, count(txns) OVER wb AS base_days,
     CAST(coalesce(sum(txns) OVER wb, 0) AS DOUBLE) / 21 AS bm,
     coalesce(stddev_pop(txns) OVER wb, 0) AS bsd,
-    CAST(sum(txns) OVER wc AS DOUBLE) / 7 AS cm
-  FROM (SELECT *, date_diff('day', DATE '1970-01-01', day) AS dn FROM feed_daily)
+    CAST(coalesce(sum(txns) OVER wc, 0) AS DOUBLE) / 7 AS cm
+  FROM (SELECT feed_days.*, txns, date_diff('day', DATE '1970-01-01', day) AS dn FROM feed_days
+        LEFT JOIN feed_daily USING (environment, partner, doc_type, day))
   WINDOW wb AS (PARTITION BY environment, partner, doc_type ORDER BY dn RANGE BETWEEN 27 PRECEDING AND 7 PRECEDING),
          wc AS (PARTITION BY environment, partner, doc_type ORDER BY dn RANGE BETWEEN 6 PRECEDING AND CURRENT ROW))
-WHERE base_days > 0 AND bm >= 3""", FEED_RU + ",\n" + FEED_DAILY))
+WHERE base_days > 0 AND bm >= 3""", FEED_RU + ",\n" + FEED_DAILY + """,
+feed_firsts AS (SELECT environment, partner, doc_type, min(day) AS first FROM feed_daily GROUP BY ALL),
+feed_days AS (SELECT environment, partner, doc_type, CAST(unnest(generate_series(CAST(first AS TIMESTAMP),
+    (SELECT CAST(max(day) AS TIMESTAMP) FROM feed_daily), INTERVAL 1 DAY)) AS DATE) AS day
+  FROM feed_firsts)"""))
 def w6_trailing_baseline(spark, sf_dir):
     return an.trailing_baseline(_feed_daily(spark, sf_dir)[1])
 

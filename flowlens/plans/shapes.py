@@ -144,14 +144,35 @@ def gauge(df: DataFrame, metric: Metric, lo: float = 0.0, hi: float = 100.0) ->
 
 
 def heatmap(df: DataFrame, x: str, y: str, metric: Metric) -> DataFrame:
-    """Q8 + W4: (x, y) cells with the percent rank of each cell's value.
+    """Q8 + W4: (x, y) cells with the percent rank of each cell's value."""
+    name, m = metric
+    return percent_rank(df.groupBy(x, y).agg(m.alias(name)), name)
+
+
+RANK_RANGES = 64
 
-    The rank runs over the aggregated grid, whose size is bounded by the two
-    dimensions' cardinalities (partners x types), not by the input rows.
+
+def percent_rank(df: DataFrame, value: str, out: str = "rank_pct", ranges: int = RANK_RANGES) -> DataFrame:
+    """(rank - 1) / (rows - 1) of each row's ``value``, smallest first, nulls last, ties sharing a rank.
+
+    No window spans all rows: rows are counted per value, values fall into ``ranges`` ranges between approximate
+    percentiles, a running sum within each range counts the smaller values, and each range starts at the total of
+    the ranges before it (an array of ``ranges`` sums, one scalar value).  The counts join back by value.
     """
-    name, m = metric
-    g = df.groupBy(x, y).agg(m.alias(name))
-    return g.withColumn("rank_pct", F.percent_rank().over(Window.orderBy(F.col(name))))
+    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
+    cuts = counts.select(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 10_000)).scalar()
+    # Where no value is known there is no cut: all rows are of one range.
+    in_range = F.when(F.col(value).isNull(), ranges).otherwise(
+        F.coalesce(F.size(F.filter(F.col("_cuts"), lambda c: c < F.col(value))), F.lit(0))).cast("int")
+    counts = counts.withColumn("_cuts", cuts).withColumn("_range", in_range).drop("_cuts")
+    totals = counts.groupBy("_range").agg(F.sum("_n").alias("_n")).agg(F.collect_list(F.struct("_range", "_n"))).scalar()
+    before = F.aggregate(F.filter(F.col("_totals"), lambda t: t["_range"] < F.col("_range")), F.lit(0).cast("long"), lambda s, t: s + t["_n"])
+    smaller = F.coalesce(F.sum("_n").over(Window.partitionBy("_range").orderBy(F.col(value).asc_nulls_last()).rowsBetween(
+        Window.unboundedPreceding, -1)), F.lit(0))
+    rows = F.aggregate(F.col("_totals"), F.lit(0).cast("long"), lambda s, t: s + t["_n"])
+    ranks = counts.withColumn("_totals", totals).select(F.col(value).alias("_v"), F.when(rows > 1, (before + smaller) / (rows - 1)).otherwise(
+        F.lit(0.0)).cast("double").alias(out))
+    return df.join(ranks, df[value].eqNullSafe(ranks["_v"])).drop("_v")
 
 
 def funnel(df: DataFrame, stage: str, order: str, metric: Metric) -> DataFrame:
@@ -184,9 +205,9 @@ def histogram(df: DataFrame, value: str, width: float, by: str | None = None) ->
     return df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
-def first_per_key(df: DataFrame, keys: Sequence[str], order: str, cols: Sequence[str]) -> DataFrame:
-    """L3: first row per key by ``order`` -- ``min_by`` in one partial aggregation."""
-    s = F.min_by(F.struct(*cols), F.col(order)).alias("_f")
+def first_per_key(df: DataFrame, keys: Sequence[str], order: str, cols: Sequence[str], tie: str = "event_id") -> DataFrame:
+    """L3: first row per key by ``order``, then ``tie`` -- ``min_by`` in one partial aggregation."""
+    s = F.min_by(F.struct(*cols), F.struct(order, tie)).alias("_f")
     return df.groupBy(*keys).agg(s).select(*keys, "_f.*")
 
 

@@ -598,6 +598,11 @@ class World:
     def sla_rules(self) -> DataFrame:
         return sla_rules(self.spark)
 
+    def rule_pairs(self) -> DataFrame:
+        """The stored rule-driven SLA pairs (J4 at ``as_of``), as worklists and histograms read them."""
+        from flowlens.operators.sla import sla_rule_pairs
+        return self._table("sla_rule_pairs", lambda: sla_rule_pairs(self.events_with_acks(), self.sla_rules(), self.as_of), "trigger_at")
+
     def diagnostic_rules(self) -> DataFrame:
         return diagnostic_rules(self.spark)
 

@@ -8,14 +8,14 @@ Layout decisions for scale:
 * the rollup is partitioned by ``bucket_date`` and refreshed with dynamic
   partition overwrite: only the days an incremental run touched are
   rewritten, always as complete days;
-* upserted tables (files, current state) are kept as versioned partitions
-  (``version=N``); readers take the highest version through a scalar
-  subquery, and a failed write never damages the previous version.
+* the event log by ingest batch and the rollup that follows it, late events
+  included, are in ``incremental.py``;
+* upserted tables (files, current state, stream rollup) are a base with deltas
+  (``keyed.py``): a batch writes its own keys' rows only.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +23,7 @@ from flowlens.functions.timeutil import as_of_col, trunc_ntz
 from flowlens.operators import files as fi
 from flowlens.operators import rollup as ro
 from flowlens.sources import contracts as C
+from flowlens.sources.keyed import KeyedTable
 
 
 def _with(schema, name: str, dtype):
@@ -55,9 +56,14 @@ def write_events(ev: DataFrame, path: str, mode: str = "overwrite") -> None:
        .write.mode(mode).partitionBy("event_date").parquet(path))
 
 
+def file_table(spark: SparkSession, path: str) -> KeyedTable:
+    """The upserted file / interchange table (SRC2, SNK3)."""
+    return KeyedTable(spark, path, C.FILES, ["interchange_id"], lambda batch, old: fi.upsert_files(batch, old))
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """SRC2: file / interchange table (latest version)."""
-    return latest_version(spark.read.schema(_with(C.FILES, "version", C.L)).parquet(path))
+    """SRC2: file / interchange table."""
+    return file_table(spark, path).read()
 
 
 def read_rollup(spark: SparkSession, path: str) -> DataFrame:
@@ -120,42 +126,12 @@ def refresh_rollup_days(ev: DataFrame, path: str, as_of=None, hours: int = 2, gr
     write_rollup(fresh, path, grain)
 
 
-def latest_version(df: DataFrame) -> DataFrame:
-    v = df.select(F.max("version")).scalar()
-    return df.filter(F.col("version") == v).drop("version")
-
-
-def next_version(spark: SparkSession, path: str) -> int:
-    """1 + the highest committed ``version`` of a versioned table (1 when empty)."""
-    table = read_if_there(spark, path)
-    if table is None:
-        return 1
-    return int(table.agg(F.max("version")).first()[0] or 0) + 1
-
-
-def read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
-    """The table at ``path``, None if nothing was ever written there; any other failure is raised."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-        return None
-
-
-def upsert_files(batch: DataFrame, path: str, version: int | None = None) -> None:
-    """SNK3: merge a batch of receipt / parse rows into the file table as a new version.
+def upsert_files(batch: DataFrame, path: str, batch_id: int | None = None, writer: str | None = None) -> bool:
+    """SNK3: merge a batch of receipt / parse rows into the file table; what is written follows the batch.
 
-    The version partition is written with dynamic overwrite: a failed write
-    commits nothing and the retry writes the same version again.
+    A batch id that ``writer`` committed before is not merged again (False).
     """
-    spark = batch.sparkSession
-    first = read_if_there(spark, path) is None
-    target = spark.createDataFrame([], C.FILES) if first else read_files(spark, path)
-    v = version if version is not None else next_version(spark, path)
-    merged = fi.upsert_files(batch.select(*fi.FILE_COLUMNS), target)
-    (merged.withColumn("version", F.lit(v).cast("bigint"))
-           .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version").parquet(path))
+    return file_table(batch.sparkSession, path).upsert(batch.select(*fi.FILE_COLUMNS), writer, batch_id)
 
 
 def export_csv(df: DataFrame, path: str) -> None:

@@ -20,10 +20,11 @@ from pyspark.sql import functions as F
 
 from flowlens.operators import files as fi
 from flowlens.operators import lifecycle as lc
-from flowlens.operators.rollup import ROLLUP_DIMS
+from flowlens.operators.rollup import ROLLUP_DIMS, hourly_rollup
 from flowlens.session import ensure_checkpoint_dir
 from flowlens.sources import contracts as C
 from flowlens.sources import io
+from flowlens.sources.keyed import KeyedTable
 
 TS_COLUMNS = ("event_time", "sla_due_at", "replayed_at")
 
@@ -96,7 +97,8 @@ def feed_sessions(ev: DataFrame, gap: str = "1 day", watermark: str | None = "1
     """ST5: activity sessions per feed; a closed session means the feed went silent.
 
     ``session_end`` is the last message plus the gap -- the moment the feed
-    is overdue.  Works on batch input too (``watermark=None``).
+    is overdue.  Works on batch input too (``watermark=None``).  A feed that never sends has no
+    session: ``silent_feeds`` is seeded with the expected feeds.
     """
     src = ev.withWatermark("event_time", watermark) if watermark else ev
     g = src.groupBy(*keys, F.session_window("event_time", gap).alias("s")).agg(
@@ -105,53 +107,154 @@ def feed_sessions(ev: DataFrame, gap: str = "1 day", watermark: str | None = "1
                     "messages", "last_message_at")
 
 
-# ------------------------------------------------------------- ST2 / ST6
-STATE_BUCKETS = 64
+FEED = ["partner", "doc_type", "channel", "environment"]
+FEED_STATE = "due long, grace long, seen long, silent boolean"
 
 
-def read_state(spark: SparkSession, state_path: str) -> DataFrame:
-    """Latest version of every bucket of a bucketed, versioned state table."""
-    df = spark.read.parquet(state_path)
-    latest = df.groupBy("bucket").agg(F.max("version").alias("version"))
-    return df.join(latest, ["bucket", "version"], "left_semi").drop("version")
+def silent_feeds(expected: DataFrame, ev: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """ST5: each expected feed's turns to silence and back, fired by event time.
 
+    ``expected`` is a stream of ``ops_expected_feeds`` rows (a later row of a feed sets its new due time), ``ev`` the
+    event stream.  A feed keeps its due time, grace and last message as state and a timer at due + grace: once the
+    watermark (newest event less ``delay``) is past it and no message came since the due time, the feed is ``silent``,
+    whether or not it ever sent one.  A message at or after the due time makes it ``back``.  So the feeds that are silent
+    after a batch are those of F1 at the watermark.
 
-def current_state_batch(state_path: str, buckets: int = STATE_BUCKETS):
-    """ST2: ``foreachBatch`` handler keeping the current state per business_ref.
-
-    The state table is hash-bucketed by business_ref and versioned
-    (``bucket=B/version=N``).  A micro-batch rewrites only the buckets it
-    touches, as a new version written with dynamic partition overwrite, so a
-    retried batch rewrites the same directories (the version is the table's
-    latest committed version + 1, so a failed write is simply redone) and
-    readers never see a half-written bucket.
+    Messages are reduced to one row per feed and Arrow batch before the shuffle, so a feed that holds a third of all
+    messages costs its task a row per batch.  A message behind the watermark still counts.
     """
+    at = F.col("event_time").alias("s")
+    seen = ev.select(*FEED, at).mapInArrow(_newest_per_feed, ", ".join(f"{k} string" for k in FEED) + ", s timestamp, clock timestamp")
+    seen = seen.select(*FEED, F.lit(None).cast("timestamp").alias("d"), F.lit(None).cast("int").alias("grace"), "s", "clock")
+    due = expected.select(*FEED, F.col("expected_next_at").cast("timestamp").alias("d"), F.col("grace_minutes").cast("int").alias("grace"),
+                          F.col("last_seen_at").cast("timestamp").alias("s"), F.lit(None).cast("timestamp").alias("clock"))
+    return seen.unionByName(due).withWatermark("clock", delay).groupBy(*FEED).applyInPandasWithState(
+        _feed_turns, ", ".join(f"{k} string" for k in FEED) + ", turn string, expected_next_at timestamp, last_seen_at timestamp, "
+        "turned_at timestamp", FEED_STATE, "append", "EventTimeTimeout")
+
+
+def _newest_per_feed(batches):
+    """The newest message of each feed, and of all; only the latter carries the clock, so that no message is too late to count."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        table = pa.Table.from_batches([batch])
+        newest = table.group_by(FEED).aggregate([("s", "max")]).rename_columns([*FEED, "s"])
+        none = pa.nulls(1, table.schema.field("s").type)
+        last = newest.slice(pc.index(newest["s"], pc.max(newest["s"])).as_py(), 1)
+        yield from newest.append_column("clock", pa.chunked_array([pa.nulls(len(newest), none.type)])).to_batches()
+        yield from last.append_column("clock", last["s"]).set_column(len(FEED), "s", pa.chunked_array([none])).to_batches()
+
+
+def _feed_turns(key, frames, state):
+    """One feed's rows of a batch, or its timer; times are microseconds."""
+    import pandas as pd
+
+    due, grace, seen, silent = state.get if state.exists else (None, None, None, False)
+    out = []
+
+    def turn(name: str, at: int) -> None:
+        stamp = lambda t: None if t is None else pd.Timestamp(t, unit="us")
+        out.append((*key, name, stamp(due), stamp(seen), stamp(at)))
+
+    if not state.hasTimedOut:
+        for frame in frames:
+            micros = {c: frame[c].astype("datetime64[us]") for c in ("d", "s")}
+            told = micros["d"].dropna()
+            if len(told) and (due is None or _micros(told.max()) >= due):
+                at = told.idxmax()
+                due, grace = _micros(told.max()), int(frame["grace"][at])
+            newest = micros["s"].dropna()
+            if len(newest):
+                seen = max(_micros(newest.max()), seen if seen is not None else -(2**62))
+    if due is not None:
+        heard, end = seen is not None and seen >= due, due + grace * 60_000_000
+        past = state.getCurrentWatermarkMs() * 1000 > end
+        if silent and heard:
+            silent = False
+            turn("back", seen)
+        elif not silent and not heard and past:
+            silent = True
+            turn("silent", end)
+        state.update((due, grace, seen, silent))
+        if not silent and not heard:
+            # Timers are whole milliseconds, and must lie ahead of the watermark.
+            state.setTimeoutTimestamp(max(end // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+    elif seen is not None:
+        state.update((due, grace, seen, silent))
+    columns = [*FEED, "turn", "expected_next_at", "last_seen_at", "turned_at"]
+    yield pd.DataFrame(out, columns=columns).astype({c: "datetime64[us]" for c in columns[-3:]})
+
+
+def _micros(t) -> int:
+    return t.as_unit("us").value
+
+
+# ------------------------------------------------------------- ST1 / ST2 / ST6
+def _as_batch_time(batch: DataFrame) -> DataFrame:
+    return batch.select(*[F.col(c).cast("timestamp_ntz").alias(c) if c in TS_COLUMNS else F.col(c) for c in batch.columns])
+
+
+def _upserting(table_of, rows_of, writer: str):
+    """A ``foreachBatch`` handler: ``rows_of`` a batch are merged into the table once, and old data goes."""
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        ev = batch.select(*[F.col(c).cast("timestamp_ntz").alias(c) if c in TS_COLUMNS else F.col(c)
-                            for c in batch.columns])
-        bucket = (F.abs(F.xxhash64("business_ref")) % buckets).cast("int")
-        # The table also keeps the id of the latest event: it decides between events of one instant, as in W1.
-        last = ev.groupBy("business_ref").agg(
-            F.max_by("event_id", F.struct("event_time", "event_id")).alias("last_event_id"))
-        fresh = lc.current_state(ev).join(last, "business_ref").withColumn("bucket", bucket)
-        touched = fresh.select("business_ref", "bucket")
-        version = io.next_version(spark, state_path)
-        # A read that fails for another reason than a missing table must fail the batch: going on would drop the state.
-        old = None if io.read_if_there(spark, state_path) is None else read_state(spark, state_path)
-        if old is not None:
-            in_touched_buckets = old.join(touched.select("bucket").distinct(), "bucket", "left_semi")
-            keep = in_touched_buckets.join(touched, ["business_ref", "bucket"], "left_anti")
-            prev = in_touched_buckets.join(touched, ["business_ref", "bucket"], "left_semi")
-            state = keep.unionByName(_merge_state(prev.drop("bucket"), fresh.drop("bucket")).withColumn("bucket", bucket))
-        else:
-            state = fresh
-        (state.withColumn("version", F.lit(version).cast("bigint"))
-              .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-              .partitionBy("bucket", "version").parquet(state_path))
+        table = table_of(batch.sparkSession)
+        rows = rows_of(batch).persist()
+        try:
+            if table.upsert(rows, writer, batch_id):
+                table.remove_old(keep=2)
+        finally:
+            rows.unpersist()
     return handle
 
 
+ROLLUP_KEY = ["bucket", *ROLLUP_DIMS]
+
+
+def stream_rollup_table(spark: SparkSession, path: str) -> KeyedTable:
+    """ST1's stored rollup: the hourly rollup without ``breached_count``, which depends on the instant of reading."""
+    schema = C.T.StructType([f for f in C.ROLLUP if f.name != "breached_count"])
+    sums = [f for f in schema if f.name not in ROLLUP_KEY]
+
+    def add(batch: DataFrame, old: DataFrame) -> DataFrame:
+        return batch.unionByName(old).groupBy(*ROLLUP_KEY).agg(
+            *[F.sum(f.name).cast(f.dataType).alias(f.name) for f in sums])
+    return KeyedTable(spark, path, schema, ROLLUP_KEY, add)
+
+
+def rollup_batch(path: str, writer: str):
+    """ST1: ``foreachBatch`` handler adding each micro-batch's partial buckets to the stored rollup.
+
+    Counts and sums add up, so a late event enters its bucket however late it is; no state is kept and no watermark
+    drops it.  ``writer`` names the stream (one checkpoint): a batch id that comes again is not added again.
+    """
+    return _upserting(lambda spark: stream_rollup_table(spark, path),
+                      lambda batch: hourly_rollup(_as_batch_time(batch)).drop("breached_count"), writer)
+
+
+def state_table(spark: SparkSession, path: str) -> KeyedTable:
+    """ST2's current state per business_ref, with the id of its latest event, which decides between events of one instant."""
+    schema = _state(spark.createDataFrame([], C.events_schema())).schema
+    return KeyedTable(spark, path, schema, ["business_ref"], lambda batch, old: _merge_state(old, batch))
+
+
+def _state(ev: DataFrame) -> DataFrame:
+    last = ev.groupBy("business_ref").agg(F.max_by("event_id", F.struct("event_time", "event_id")).alias("last_event_id"))
+    return lc.current_state(ev).join(last, "business_ref")
+
+
+def read_state(spark: SparkSession, path: str) -> DataFrame:
+    return state_table(spark, path).read()
+
+
+def current_state_batch(path: str, writer: str = "current_state"):
+    """ST2: ``foreachBatch`` handler keeping the current state per business_ref; it writes the rows of the batch's refs only."""
+    return _upserting(lambda spark: state_table(spark, path), lambda batch: _state(_as_batch_time(batch)), writer)
+
+
 def _merge_state(prev: DataFrame, fresh: DataFrame) -> DataFrame:
     """Upsert rule of the current-state table: latest event wins, flags accumulate."""
     u = prev.unionByName(fresh)
@@ -166,11 +269,13 @@ def _merge_state(prev: DataFrame, fresh: DataFrame) -> DataFrame:
                     "replay_count").select(*fresh.columns)
 
 
-def file_upsert_batch(table_path: str):
-    """ST6: ``foreachBatch`` handler merging receipt-then-parse file rows (SNK3)."""
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        io.upsert_files(batch.select(*fi.FILE_COLUMNS), table_path)
-    return handle
+def file_upsert_batch(path: str, writer: str | None = None):
+    """ST6: ``foreachBatch`` handler merging receipt-then-parse file rows (SNK3).
+
+    Merging a batch again gives the same rows, so ``writer`` is needed only to skip such batches.
+    """
+    return _upserting(lambda spark: io.file_table(spark, path), lambda batch: batch.select(*fi.FILE_COLUMNS),
+                      writer or uuid.uuid4().hex)
 
 
 def run_available_now(df: DataFrame, name: str, sink: str = "memory", output_mode: str = "append",

@@ -12,6 +12,7 @@ from flowlens.operators import lifecycle as lc
 from flowlens.operators import rollup as ro
 from flowlens.sources import io
 from flowlens.sources.fixtures import World
+from flowlens.sources.keyed import KeyedTable
 from flowlens.streaming import jobs
 
 
@@ -121,8 +122,8 @@ def test_foreach_batch_current_state_and_files(spark):
     w = _world(spark)
     stream = _stream_source(spark, w)
     state = tempfile.mkdtemp(prefix="fl-state-")
-    jobs.run_available_now(stream, "st2", foreach_batch=jobs.current_state_batch(state, buckets=8))
-    got = jobs.read_state(spark, state).drop("bucket")
+    jobs.run_available_now(stream, "st2", foreach_batch=jobs.current_state_batch(state))
+    got = jobs.read_state(spark, state)
     want = lc.current_state(w.events())
     cols = ["business_ref", "current_status", "last_event_at", "replay_count"]
     assert _rows(got, cols) == _rows(want, cols)
@@ -163,14 +164,14 @@ def test_receipt_and_parse_in_one_batch_make_one_row(spark):
 
 def test_state_read_that_fails_is_raised(spark, monkeypatch):
     state = tempfile.mkdtemp(prefix="fl-state-")
-    handle, ev = jobs.current_state_batch(state, buckets=4), _world(spark).events()
+    handle, ev = jobs.current_state_batch(state), _world(spark).events()
     handle(ev, 0)
     before = _rows(jobs.read_state(spark, state), ["business_ref"])
 
     def broken(*_):
         raise OSError("storage is away")
 
-    monkeypatch.setattr(jobs, "read_state", broken)
+    monkeypatch.setattr(KeyedTable, "_read", broken)
     try:
         handle(ev.limit(5), 1)
         raise AssertionError("the failure was swallowed")
@@ -270,7 +271,7 @@ def test_row_later_than_the_watermark_is_dropped(spark):
 
 def test_state_of_one_instant_is_the_highest_event_id(spark):
     state = tempfile.mkdtemp(prefix="fl-state-")
-    handle = jobs.current_state_batch(state, buckets=4)
+    handle = jobs.current_state_batch(state)
     high = _messages(spark, ("A", "A", "204", 0, 9, "failed"), ("B", "B", "204", 0, 1, "failed"))
     low = _messages(spark, ("A", "A", "204", 0, 2, "ok"), ("B", "B", "204", 0, 5, "ok"))
     handle(high, 0)
