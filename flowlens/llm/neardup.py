@@ -23,8 +23,10 @@ documents are linked if 100 * |intersection| >= percent * |union|.
 
 Full sets are built for members of passing pairs and of such buckets only.
 
+Sets are known by a 128-bit digest throughout; a component takes the smallest doc_id of its sets at the end.
+
 Defined cases: a null text has no words; empty sets link with nothing.  Rows that
-share a doc_id are one document for links; each row is returned.  A row with a null
+share a doc_id are one document: the sets of all its texts are linked; each row is returned.  A row with a null
 doc_id is compared with nothing: its component_id is null and it is kept.
 Repeated rows have equal sets and ids, so both say kept or both do not.  An empty
 table gives no rows.  Other columns of the input are not read.
@@ -66,6 +68,10 @@ def shingle_set(text: str | None, seen: WordHashes) -> np.ndarray:
     return np.unique(windows(seen.of(words), min(SHINGLE, len(words))) + np.uint64(len(words) < SHINGLE))
 
 
+def digest(shingles: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(shingles.tobytes())
+
+
 def _sketches(rows: int, bands: int):
     k = rows * bands
     rng = np.random.default_rng(20_240_229)
@@ -79,8 +85,7 @@ def _sketches(rows: int, bands: int):
             for batch in slices(whole):
                 sets = [shingle_set(t, seen) for t in batch.column(1).to_pylist()]
                 sizes = np.array([len(s) for s in sets])
-                digests = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
-                half = lambda shift: np.array([(d >> shift) & (2**64 - 1) for d in digests], np.uint64).view(np.int64)
+                digests = [digest(s) for s in sets]
                 full = np.flatnonzero(sizes)
                 keys, sketch = np.empty((len(full), bands), np.int64), np.empty((len(full), SKETCH_BITS // 64), np.int64)
                 if len(full):
@@ -101,10 +106,10 @@ def _sketches(rows: int, bands: int):
                     keys = (key + np.arange(bands, dtype=np.uint64)).view(np.int64)
                 some = (sizes > 0).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0), pa.array(sizes, pa.int64()), pa.array(half(64)), pa.array(half(0)),
+                    batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
                     lists(keys.ravel(), some * bands, pa.int64()),
                     lists(np.ascontiguousarray(sketch).ravel(), some * (SKETCH_BITS // 64), pa.int64())],
-                    ["doc_id", "n_shingles", "set_hi", "set_lo", "bands", "sketch"])
+                    ["doc_id", "n_shingles", "set", "bands", "sketch"])
     return run
 
 
@@ -114,8 +119,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(whole):
             sets = [shingle_set(t, seen) for t in batch.column(1).to_pylist()]
             flat = np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists(flat, np.array([len(s) for s in sets]), pa.int64())],
-                                             ["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.binary()),
+                                              lists(flat, np.array([len(s) for s in sets]), pa.int64())], ["id", "shingles"])
 
 
 def _estimate(a: Column, b: Column, samples: int) -> Column:
@@ -135,22 +140,25 @@ def near_duplicates(docs: DataFrame, percent: int, id_col: str = "doc_id", text_
     texts = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     kind = texts.schema["doc_id"].dataType.simpleString()
     made = store.keep(texts.mapInArrow(
-        _sketches(ROWS, bands), f"doc_id {kind}, n_shingles long, set_hi long, set_lo long, bands array<long>, "
-        "sketch array<long>"), "sketches")
+        _sketches(ROWS, bands), f"doc_id {kind}, n_shingles long, set binary, bands array<long>, sketch array<long>"), "sketches")
     named = made.filter("doc_id IS NOT NULL AND n_shingles > 0")
     # One row per set; the smallest doc_id stands for it.
-    classes = store.keep(named.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("id")), "classes")
-    reps = named.join(classes.select(F.col("id").alias("doc_id"), "set_hi", "set_lo"), ["doc_id", "set_hi", "set_lo"])
-    members = reps.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("id")).distinct()
+    classes = store.keep(named.groupBy("set").agg(F.min("doc_id").alias("least")), "classes")
+    reps = named.join(classes.select(F.col("least").alias("doc_id"), "set"), ["doc_id", "set"])
+    members = reps.select(F.explode("bands").alias("bucket"), F.col("set").alias("id")).distinct()
     shared = members.groupBy("bucket").count().filter("count > 1")
     members = store.keep(members.join(shared, "bucket"), "members")
     # How many neighbours a member has, over its buckets.  The text that a group's others were made from has most.
     known = members.groupBy("id").agg(F.sum("count").alias("known"))
     members = store.keep(members.drop("count").join(known, "id"), "known-members")
-    sketches = reps.select(F.col("doc_id").alias("id"), "sketch", "bands").dropDuplicates(["id"])
+    sketches = reps.select(F.col("set").alias("id"), "sketch", "bands").dropDuplicates(["id"])
     sketches = store.keep(sketches.join(members.select("id").distinct(), "id"), "members-sketches")
 
-    labels = members.select("id").distinct().withColumn("comp", F.col("id"))
+    # The sets of a doc_id that has several texts are linked.
+    several = named.groupBy("doc_id").agg(F.min("set").alias("a"), F.max("set").alias("b")).filter("a < b").select("doc_id", "a")
+    ties = store.keep(named.join(several, "doc_id").select("a", F.col("set").alias("b")).filter("a != b").distinct(), "ties")
+    ids = members.select("id").union(ties.select("a")).union(ties.select("b")).distinct()
+    labels = ids.withColumn("comp", F.col("id"))
 
     centres = members.groupBy("bucket").agg(F.max_by("id", F.struct("known", "id")).alias("centre"))
     pairs = (members.join(centres, "bucket").filter("id != centre")
@@ -161,35 +169,39 @@ def near_duplicates(docs: DataFrame, percent: int, id_col: str = "doc_id", text_
     likely = store.keep(likely, "likely")
     wanted = store.keep(likely.select(F.col("a").alias("id")).union(likely.select(F.col("b").alias("id"))).distinct(),
                         "wanted")
-    sets = store.keep(_sets_of(texts, wanted, kind), "sets")
+    sets = store.keep(_sets_of(texts, wanted, classes), "sets")
     both = (likely.join(sets.withColumnsRenamed({"id": "b", "shingles": "tb"}), "b")
             .join(sets.withColumnsRenamed({"id": "a", "shingles": "ta"}), "a")
             .withColumn("n", F.size(F.array_intersect("ta", "tb"))))
     links = both.filter(F.col("n") * 100 >= percent * (F.size("ta") + F.size("tb") - F.col("n"))).select("a", "b")
-    labels = _merge(store, labels, store.keep(links, "links"))
+    labels = _merge(store, labels, store.keep(links.union(ties), "links"))
 
     rest = _open(store, members, labels)
     wanted = store.keep(rest.select("id").distinct(), "wanted")
-    more = _sets_of(texts, wanted.join(sets, "id", "left_anti"), kind)
+    more = _sets_of(texts, wanted.join(sets, "id", "left_anti"), classes)
     sets = store.keep(more.unionByName(sets.join(wanted, "id", "left_semi")), "sets")
     rest = rest.join(sets.join(sketches, "id"), "id")
     links = rest.groupBy("bucket", "block", "chunk").applyInArrow(
-        _compare(percent, samples, lowest), f"a {kind}, b {kind}").distinct()
+        _compare(percent, samples, lowest), "a binary, b binary").distinct()
     labels = _merge(store, labels, store.keep(links, "links"))
 
-    of_class = classes.join(labels, "id", "left").select("set_hi", "set_lo", F.coalesce("comp", "id").alias("component"))
-    out = made.drop("bands", "sketch").join(of_class, ["set_hi", "set_lo"], "left")
+    labelled = classes.join(labels.withColumnRenamed("id", "set"), "set")
+    components = labelled.groupBy("comp").agg(F.min("least").alias("component"))
+    of_set = labelled.join(components, "comp").select("set", "component")
+    of_class = classes.join(of_set, "set", "left").select("set", F.coalesce("component", "least").alias("component"))
+    out = made.drop("bands", "sketch").join(of_class, "set", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "doc_id"))
     return out.withColumn("component_id", component).select(
         "doc_id", "n_shingles", "component_id",
         F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def _sets_of(texts: DataFrame, wanted: DataFrame, kind: str) -> DataFrame:
-    """id and shingles; a doc_id of several rows counts with its first set."""
-    rows = texts.join(wanted, texts["doc_id"] == wanted["id"], "left_semi")
-    return rows.mapInArrow(_sets, f"id {kind}, shingles array<long>").groupBy("id").agg(
-        F.min("shingles").alias("shingles"))
+def _sets_of(texts: DataFrame, wanted: DataFrame, classes: DataFrame) -> DataFrame:
+    """id and shingles of the sets in ``wanted``, made anew from the texts of their smallest doc_ids."""
+    named = wanted.join(classes.withColumnRenamed("set", "id"), "id").select("least").distinct()
+    rows = texts.join(named, texts["doc_id"] == named["least"], "left_semi")
+    made = rows.mapInArrow(_sets, "id binary, shingles array<long>").join(wanted, "id", "left_semi")
+    return made.groupBy("id").agg(F.min("shingles").alias("shingles"))
 
 
 def _open(store: Store, members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -264,8 +276,7 @@ def _compare(percent: int, samples: int, lowest: float):
                 if n * 100 >= percent * (len(x) + len(y) - n):
                     root[max(u, v)] = min(u, v)
                     links.append((min(ids[q], ids[i]), max(ids[q], ids[i])))
-        kind = table.schema.field("id").type
-        return pa.table({"a": pa.array([a for a, _ in links], kind), "b": pa.array([b for _, b in links], kind)})
+        return pa.table({"a": pa.array([a for a, _ in links], pa.binary()), "b": pa.array([b for _, b in links], pa.binary())})
     return run
 
 
@@ -307,9 +318,10 @@ def op2_odd_sketches(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
     """The rows of docs that stay when one document of each group of near-duplicates does.
 
-    Of rows that share the staying doc_id, as of repeated rows, one stays.
+    Of rows that share the staying doc_id, as of repeated rows, one stays: that of the smallest hash.
     """
     verdict = near_duplicates(docs, percent).select("doc_id", "kept").distinct()
     named = docs.filter(docs["doc_id"].isNotNull())
     kept = named.join(verdict.filter("kept").select("doc_id"), "doc_id", "left_semi")
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.filter(docs["doc_id"].isNull()))
+    one = kept.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row")).select("row.*")
+    return one.unionByName(docs.filter(docs["doc_id"].isNull()))
