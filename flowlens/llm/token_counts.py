@@ -20,6 +20,7 @@ counted each; an empty table gives no rows.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,9 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The vocabulary's published split of a text into pieces; a fixed value.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 RULES = ("first", "most", "split")
+#: A run of white space of so many characters or more is encoded apart from the pattern, which would overflow on it.
+LONG_BLANK = 10_000
+BLANKS = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_BLANK)
 
 
 def encoder(vocabulary: str):
@@ -44,7 +48,18 @@ def encoder(vocabulary: str):
     size = np.zeros(max(ranks.values()) + 1, np.int64)
     for token, rank in ranks.items():
         size[rank] = len(token)
-    return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, size
+    bpe = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(text: str) -> list[int]:
+        out, at = [], 0
+        for run in BLANKS.finditer(text):
+            # The pattern cuts a run before its last blank, which may belong to what follows; at the text's end it takes all.
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            out += bpe.encode_ordinary(text[at:run.start()])
+            out += bpe._encode_single_piece(text[run.start():end])
+            at = end
+        return out + bpe.encode_ordinary(text[at:])
+    return encode, size
 
 
 def line_ends(data: bytes) -> np.ndarray:
