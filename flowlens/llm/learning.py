@@ -14,10 +14,10 @@ from flowlens.llm.textbatch import slices
 
 #: Labelled documents that a model is fitted on, at most.
 MOST_LABELLED = 20_000
-#: Numbers that a training text is read to, at most, by the models' readers; texts that are scored are read whole.
-MOST_FEATURES = 6_000
-#: Texts of a stored part of a sample, about, and bytes of a sample that the driver may hold whole.
-PART, HELD = 400, 32_000_000
+#: Numbers, of all training texts together, that the driver holds, at most: whole texts, as many as fit.
+MOST_NUMBERS = 12_000_000
+#: Parts that a sample is stored in; numbers fetched at once.
+PARTS, FETCHED = 128, 1_500_000
 
 
 def fold(doc_id: Column, folds: int) -> Column:
@@ -33,78 +33,65 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, learn: Callable[[Co
     """
     wanted = labels.select(labels["doc_id"].alias("l_id"), labels[label].cast("int").alias("label"))
     wanted = (wanted.filter(F.col("label").isNotNull() & F.col("l_id").isNotNull() & learn(F.col("l_id")))
-              .dropDuplicates(["l_id"]).orderBy(F.xxhash64("l_id"), "l_id").limit(most))
+              .groupBy("l_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("l_id"), "l_id").limit(most))
     texts = docs.select("doc_id", "text").filter("text IS NOT NULL")
     # At most ``most`` rows of two numbers.
-    return texts.join(F.broadcast(wanted), texts["doc_id"] == wanted["l_id"]).select(
-        "doc_id", "text", "label").dropDuplicates(["doc_id"])
-
-
-def arrays(sample: DataFrame, features: Callable[[], Callable[[str], np.ndarray]]) -> tuple[list[np.ndarray], np.ndarray]:
-    """The sample's features, made on the executors, and its labels, in the order of the ids.
-
-    At most MOST_LABELLED * MOST_FEATURES four-byte numbers reach the driver.
-    """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = features()
-        for whole in batches:
-            for batch in slices(whole):
-                found = [read(t) for t in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([f.astype(np.int32).tobytes() for f in found], pa.binary()),
-                     batch.column(2)], ["doc_id", "f", "label"])
-
-    kind = sample.schema["doc_id"].dataType.simpleString()
-    rows = sample.mapInArrow(run, f"doc_id {kind}, f binary, label int").collect()
-    rows = sorted(rows, key=lambda r: r.doc_id)
-    return [np.frombuffer(bytes(r.f), np.int32) for r in rows], np.array([r.label for r in rows], np.float64)
+    return texts.join(F.broadcast(wanted), texts["doc_id"] == wanted["l_id"]).groupBy("doc_id").agg(
+        F.min("text").alias("text"), F.min("label").alias("label"))
 
 
 class Sample:
-    """The sample's features, made on the executors and stored in parts; the driver holds a part at a time.
+    """What ``features`` reads from the whole training texts (four-byte numbers), made on the executors and stored.
 
-    ``labels`` are those of all texts; a sample of HELD bytes or less is fetched once.
+    The sample is dealt to PARTS parts by a hash of the id.  The driver holds the first parts whose numbers stay within
+    ``most_numbers``, the first part in any case; it fetches FETCHED numbers at a time.  ``texts`` and ``labels`` stand in
+    the order of part and id.
     """
 
-    def __init__(self, sample: DataFrame, features: Callable[[], Callable[[str], np.ndarray]], name: str):
+    def __init__(self, sample: DataFrame, features: Callable[[], Callable[[str], np.ndarray]], name: str,
+                 most_numbers: int = MOST_NUMBERS):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             read = features()
             for whole in batches:
                 for batch in slices(whole):
-                    found = [read(t).tobytes() for t in batch.column(1).to_pylist()]
+                    found = [read(t) for t in batch.column(1).to_pylist()]
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0), pa.array(found, pa.binary()), batch.column(2), batch.column(3),
-                         pa.array([len(f) for f in found], pa.int64())], ["doc_id", "f", "label", "part", "bytes"])
+                        [batch.column(0), pa.array([f.tobytes() for f in found], pa.binary()), batch.column(2), batch.column(3),
+                         pa.array([len(f) for f in found], pa.int64())], ["doc_id", "f", "label", "part", "n"])
 
         kind = sample.schema["doc_id"].dataType.simpleString()
-        parts = -(-MOST_LABELLED // PART)
-        sample = sample.select("doc_id", "text", "label", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(parts)).cast("int").alias("part"))
-        schema = f"doc_id {kind}, f binary, label int, part int, bytes long"
-        spark, self.path = sample.sparkSession, work_folder(sample.sparkSession, name)
-        (sample.repartition(parts, "part").mapInArrow(run, schema).write.option("compression", "zstd")
-         .partitionBy("part").parquet(self.path))
-        self.read = spark.read.schema(schema)
-        self.sizes = {r.part: r for r in self.read.parquet(self.path).groupBy("part").agg(
-            F.sum("bytes").alias("bytes"), F.collect_list("label").alias("labels")).collect()}
-        self.labels = np.array([y for p in sorted(self.sizes) for y in self.sizes[p].labels], np.float64)
-        self.held = self._fetch(self.path) if sum(r.bytes for r in self.sizes.values()) <= HELD else None
-
-    def _fetch(self, path: str) -> tuple[list[np.ndarray], np.ndarray]:
-        rows = sorted(self.read.parquet(path).select("doc_id", "f", "label").collect(), key=lambda r: r.doc_id)
-        return [np.frombuffer(bytes(r.f), np.int32) for r in rows], np.array([r.label for r in rows], np.float64)
+        sample = sample.select("doc_id", "text", "label", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(PARTS)).cast("int").alias("part"))
+        schema = f"doc_id {kind}, f binary, label int, part int, n long"
+        spark, path = sample.sparkSession, work_folder(sample.sparkSession, name)
+        (sample.repartition(PARTS, "part").mapInArrow(run, schema).write.option("compression", "zstd")
+         .partitionBy("part").parquet(path))
+        stored = spark.read.schema(schema).parquet(path)
+        sizes = sorted(tuple(r) for r in stored.groupBy("part").agg(F.sum("n")).collect())
+        self.texts: list[np.ndarray] = []
+        labels, at, total = [], 0, 0
+        while at < len(sizes) and (not at or total + sizes[at][1] <= most_numbers):
+            parts, fetched = [], 0
+            while at < len(sizes) and (not at or total + sizes[at][1] <= most_numbers) and (not parts or fetched + sizes[at][1] <= FETCHED):
+                parts.append(sizes[at][0])
+                fetched += sizes[at][1]
+                total += sizes[at][1]
+                at += 1
+            rows = stored.filter(F.col("part").isin(parts)).select("part", "doc_id", "f", "label").toArrow()
+            rows = rows.sort_by([("part", "ascending"), ("doc_id", "ascending")])
+            flat = np.frombuffer(b"".join(rows.column("f").to_pylist()), np.int32)
+            ends = np.cumsum([len(f.as_py()) // 4 for f in rows.column("f")])
+            self.texts += np.split(flat, ends[:-1])
+            labels += rows.column("label").to_pylist()
+            del rows
+            pa.default_memory_pool().release_unused()
+        self.labels = np.array(labels, np.float64)
 
     def batches(self, rng: np.random.Generator, size: int) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
-        """One pass over all texts in random order; a part's rest is taken along to the next."""
-        left, y_left = [], np.empty(0)
-        parts = [None] if self.held else [sorted(self.sizes)[i] for i in rng.permutation(len(self.sizes))]
-        for n, p in enumerate(parts):
-            texts, y = self.held or self._fetch(f"{self.path}/part={p}")
-            order = rng.permutation(len(texts))
-            left, y_left = left + [texts[i] for i in order], np.concatenate([y_left, y[order]])
-            whole = len(left) if n == len(parts) - 1 else len(left) // size * size
-            for at in range(0, whole, size):
-                yield left[at:at + size], y_left[at:at + size]
-            left, y_left = left[whole:], y_left[whole:]
+        """One pass over all texts in random order."""
+        order = rng.permutation(len(self.texts))
+        for at in range(0, len(order), size):
+            rows = order[at:at + size]
+            yield [self.texts[i] for i in rows], self.labels[rows]
 
 
 def scores(docs: DataFrame, score: Callable[[], Callable[[list[str]], np.ndarray]]) -> DataFrame:

@@ -3,17 +3,18 @@
 A text is the set of its terms, hashed to ``TERMS`` places, each with the value 1: its lower-cased words
 (runs of letters) and the beginnings of longer ones (``STEMS`` letters), which inflected forms share.  The score is the logistic of
 
-    bias + sum_i w_i + (|sum_i v_i|^2 - sum_i |v_i|^2) / 2,
-
-the second part being the sum of <v_i, v_j> over all pairs of terms: what an insult adds
-beside the mention of a group is learned, which additive weights cannot tell.  Fitted in
-numpy on mini-batches.  Both parts are sparse, so that terms that say nothing add nothing however
-long a text is: w follows FTRL-proximal steps, where a term's summed gradient must exceed what
-chance gives a term of its frequency; after ``ALONE`` passes v joins in for every term of
-``LEAST_TEXTS`` training texts, whatever its w, and its rows are pulled to zero as a whole, the more
-the longer the training texts are (``USUAL`` terms: ``LV``).
-
-Only labels are learned from, of at most ``MOST_LABELLED`` documents.  The model is a
+    bias + sum_i w_i + c (|sum_i v_i|^2 - sum_i |v_i|^2) / 2,     c = min(1, ``USUAL`` / terms),
+
+the last part being the sum of <v_i, v_j> over all pairs of terms: what an insult adds
+beside the mention of a group is learned, which additive weights cannot tell.  c gives the pairs of a long
+text, whose number grows with the square of its terms, the spread that those of ``USUAL`` terms have.  Fitted in
+numpy on mini-batches.  Both parts are sparse: w follows FTRL-proximal steps, where a term's summed gradient must
+exceed what chance gives a term of its frequency; after ``ALONE`` passes v joins in for every known term, whatever
+its w, and its rows are pulled to zero as a whole (``LV``).  Known terms are those of ``LEAST_TEXTS`` training texts;
+others say nothing and are left out of a text.
+
+Only labels are learned from, of at most ``MOST_LABELLED`` documents, read whole, and of those as many as
+``learning.MOST_NUMBERS`` terms hold.  The model is a
 fixed ``TERMS`` * (1 + ``FACTORS``) numbers; every whole text is scored by the executors.
 
 Defined cases: a null or empty text has no terms and its score is the logistic of the
@@ -31,11 +32,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.learning import MOST_FEATURES, MOST_LABELLED, arrays, fold, labelled, scores
+from flowlens.llm.learning import MOST_LABELLED, Sample, fold, labelled, scores
 
 TERMS = 1 << 18
 FACTORS = 4
-EPOCHS, ALONE, BATCH = 8, 2, 64
+EPOCHS, ALONE, BATCH = 16, 2, 64
 RATE, RATE_V, L1, L2, LV, START_V, USUAL = 1.0, 0.2, 2.0, 0.01, 0.02, 0.1, 20
 #: Terms of fewer training texts say nothing.
 LEAST_TEXTS = 5
@@ -65,10 +66,9 @@ def reader():
     return read
 
 
-def training_reader():
-    """As ``reader``; of a text with more than MOST_FEATURES terms, those of the smallest places."""
-    read = reader()
-    return lambda text: read(text)[:MOST_FEATURES]
+def scale(sizes: np.ndarray) -> np.ndarray:
+    """c of texts of so many terms."""
+    return np.minimum(1, USUAL / np.maximum(sizes, 1))
 
 
 class Machine:
@@ -78,16 +78,18 @@ class Machine:
         self.bias = float(np.log((share + 1e-3) / (1 - share + 1e-3)))
         self.w = np.zeros(TERMS, np.float32)
         self.v = np.zeros((TERMS, FACTORS), np.float32)
+        self.known = np.ones(TERMS, bool)
 
     def margins(self, texts: list[np.ndarray]) -> np.ndarray:
         out = np.full(len(texts), self.bias)
+        texts = [t[self.known[t]] for t in texts]
         some = [i for i, t in enumerate(texts) if len(t)]
         if some:
             flat = np.concatenate([texts[i] for i in some])
             starts = np.cumsum([0] + [len(texts[i]) for i in some[:-1]])
             v = self.v[flat]
             sums = np.add.reduceat(v, starts)
-            out[some] += np.add.reduceat(self.w[flat], starts) + 0.5 * (
+            out[some] += np.add.reduceat(self.w[flat], starts) + 0.5 * scale(np.array([len(texts[i]) for i in some])) * (
                 (sums ** 2).sum(1) - np.add.reduceat((v ** 2).sum(1), starts))
         return out
 
@@ -102,15 +104,14 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> Ma
         m.bias = float(np.log((share + 1e-9) / (1 - share + 1e-9)))
         return m
     df = np.bincount(np.concatenate(texts), minlength=TERMS)
-    texts = [t[df[t] >= LEAST_TEXTS] for t in texts]
+    m.known = df >= LEAST_TEXTS
+    texts = [t[m.known[t]] for t in texts]
     rng = np.random.default_rng(7)
-    # A text's terms move together and what its sums hold by chance grows with them: steps and pull follow its length.
-    usual = max(1.0, sum(map(len, texts)) / len(texts) / USUAL)
-    gw, gv, gb = np.zeros(TERMS), np.full(TERMS, usual ** 2), 1.0
+    gw, gv, gb = np.zeros(TERMS), np.ones(TERMS), 1.0
     pull, base = np.zeros(TERMS), m.bias
     for epoch in range(epochs):
         if epoch == ALONE:
-            known = np.flatnonzero(df >= LEAST_TEXTS)
+            known = np.flatnonzero(m.known)
             m.v[known] = rng.normal(0, START_V, (len(known), FACTORS))
         order = rng.permutation(len(texts))
         for at in range(0, len(order), BATCH):
@@ -137,15 +138,13 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> Ma
                 continue
             v = m.v[flat]
             sums = np.stack([np.bincount(owner, v[:, f], len(part)) for f in range(FACTORS)], 1)
-            dv = off[owner, None] * (sums[owner] - v)
+            dv = (off * scale(sizes))[owner, None] * (sums[owner] - v)
             dv = np.stack([np.bincount(inverse, dv[:, f], len(places)) for f in range(FACTORS)], 1)
             gv[places] += (dv ** 2).sum(1)
             step = RATE_V / np.sqrt(gv[places])
             v = m.v[places] - step[:, None] * dv
             norm = np.sqrt((v ** 2).sum(1)) + 1e-12
-            m.v[places] = v * np.maximum(0, 1 - step * LV * usual ** 2 / norm)[:, None]
-    unknown = df < LEAST_TEXTS
-    m.w[unknown], m.v[unknown] = 0, 0
+            m.v[places] = v * np.maximum(0, 1 - step * LV / norm)[:, None]
     return m
 
 
@@ -153,7 +152,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> D
     """doc_id, held_out, score and predicted of every row of docs (doc_id, text)."""
     held_out = lambda c: fold(c, 3) == 1
     sample = labelled(docs, labels, "toxic", lambda c: ~held_out(c), most)
-    model = docs.sparkSession.sparkContext.broadcast(vars(fit(*arrays(sample, training_reader))))
+    sample = Sample(sample, reader, "toxicity-sample")
+    model = docs.sparkSession.sparkContext.broadcast(vars(fit(sample.texts, sample.labels)))
 
     def score():
         read, machine = reader(), Machine.__new__(Machine)
