@@ -1,5 +1,5 @@
 """Sources, sinks and streaming jobs as queries: write, read back, return the whole table
-(SRC1, SRC3, SRC5-SRC8, SNK1-SNK4, ST2-ST4, ST6).
+(SRC1, SRC3, SRC5-SRC8, SNK1-SNK4, ST1-ST6).
 
 Every call writes into a folder of its own under ``spark.checkpoint.dir``.
 """
@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 from flowlens.functions.timeutil import add_hours, ts_lit
 from flowlens.operators import rollup as ro
 from flowlens.plans import catalog_core  # noqa: F401  (the usage query is registered there)
+from flowlens.plans.oracle_world import AS_OF
 from flowlens.plans.registry import CUR, REGISTRY, RU, W, register, sql
 from flowlens.session import checkpoint_path
 from flowlens.sources import contracts as C
+from flowlens.sources import incremental as inc
 from flowlens.sources import io
 from flowlens.streaming import jobs
 
@@ -52,11 +54,15 @@ def src3_snk2_rollup_rebuild(spark, sf_dir):
 
 @register("snk1_rollup_refresh", sql(EV, "SELECT * FROM txn_rollup_hourly", RU))
 def snk1_rollup_refresh(spark, sf_dir):
-    """The rollup of all but the last three hours, then brought up to date by partition overwrite."""
-    w, path = W(spark, sf_dir), _folder(spark, "txn_rollup_hourly")
-    ev = w.events()
-    io.rebuild_rollup(ev.filter(F.col("event_time") <= add_hours(ts_lit(w.as_of), -3)), path, w.as_of, grain="month")
-    io.refresh_rollup_days(ev, path, w.as_of, hours=3, grain="month")
+    """Three ingest batches, each followed by a refresh: most events until a year before the end, the rest, and every
+    tenth event of all times, up to years late."""
+    w = W(spark, sf_dir)
+    ev, log, path = w.events(), _folder(spark, "event_log"), _folder(spark, "txn_rollup_hourly")
+    cut = add_hours(ts_lit(w.as_of), -365 * 24)
+    late, early = F.col("event_id") % 10 == 0, F.col("event_time") < cut
+    for batch, (rows, as_of) in enumerate([(early & ~late, cut), (~early & ~late, ts_lit(w.as_of)), (late, ts_lit(w.as_of))]):
+        inc.append_events(ev.filter(rows), log, batch)
+        inc.refresh_rollup(spark, log, path, as_of, grain="month")
     return io.read_rollup(spark, path)
 
 
@@ -135,42 +141,104 @@ def _event_stream(spark, ev: DataFrame) -> DataFrame:
     return jobs.event_stream(spark, _written(jobs.as_stream_time(ev), "stream"), ONE_BATCH)
 
 
+def _in_runs(spark, name: str, batches: list[DataFrame], run) -> None:
+    """The batches arrive one after the other; ``run(stream, name)`` takes each, resuming from its checkpoint."""
+    path = _folder(spark, name)
+    for b in batches:
+        b.write.mode("append").parquet(path)
+        run(spark.readStream.schema(b.schema).option("maxFilesPerTrigger", ONE_BATCH).parquet(path), f"{name}-{path.split('/')[-2]}")
+
+
+def _arrivals(w) -> list[DataFrame]:
+    """The events in three batches: those until a year before the end, the rest, and every tenth of all, up to years late."""
+    ev = jobs.as_stream_time(w.events())
+    late, early = F.col("event_id") % 10 == 0, F.col("event_time") < add_hours(ts_lit(w.as_of), -365 * 24).cast("timestamp")
+    return [ev.filter(early & ~late), ev.filter(~early & ~late), ev.filter(late)]
+
+
+@register("st1_rollup_stream", sql(EV, "SELECT * EXCLUDE (breached_count) FROM txn_rollup_hourly", RU))
+def st1_rollup_stream(spark, sf_dir):
+    """The stored rollup after three batches with rows years late, the second of which comes twice."""
+    batches, table = _arrivals(W(spark, sf_dir)), _folder(spark, "stream_rollup")
+    handle = jobs.rollup_batch(table, "st1")
+    _in_runs(spark, "st1", batches, lambda s, name: jobs.run_available_now(s, name, foreach_batch=handle, resume=True))
+    handle(batches[1], 1)
+    return jobs.stream_rollup_table(spark, table).read()
+
+
 @register("st2_current_state_stream", sql(EV, "SELECT * FROM txn_current", CUR))
 def st2_current_state_stream(spark, sf_dir):
+    """The state after three batches, the last of which holds events older than the state."""
     state = _folder(spark, "txn_current")
-    jobs.run_available_now(_event_stream(spark, W(spark, sf_dir).events()), "st2",
-                           foreach_batch=jobs.current_state_batch(state))
-    return jobs.read_state(spark, state).drop("bucket", "last_event_id")
+    handle = jobs.current_state_batch(state)
+    _in_runs(spark, "st2", _arrivals(W(spark, sf_dir)), lambda s, name: jobs.run_available_now(s, name, foreach_batch=handle, resume=True))
+    return jobs.read_state(spark, state).drop("last_event_id")
 
 
-@register("st3_dedupe_stream", sql(EV, """
-SELECT DISTINCT partner, doc_type, control_number FROM txn_events"""))
+@register("st3_dedupe_stream", sql(EV, f"""
+SELECT DISTINCT partner, doc_type, control_number FROM txn_events
+WHERE NOT (event_id % 50 = 0 AND event_time < {AS_OF} - INTERVAL 370 DAY)"""))
 def st3_dedupe_stream(spark, sf_dir):
-    """The control numbers that pass; a stored table is one batch, so no row is late."""
-    out = _folder(spark, "deduped")
-    jobs.run_available_now(jobs.dedupe(_event_stream(spark, W(spark, sf_dir).events())), "st3", sink="parquet", path=out)
+    """The control numbers that pass in three batches: the second repeats the last half hour of the first, which the
+    state knows; the third brings messages from before the watermark, which are dropped."""
+    w, out = W(spark, sf_dir), _folder(spark, "deduped")
+    ev, at = jobs.as_stream_time(w.events()), F.col("event_time")
+    cut, long_ago = (add_hours(ts_lit(w.as_of), -h).cast("timestamp") for h in (365 * 24, 370 * 24))
+    late = (F.col("event_id") % 50 == 0) & (at < long_ago)
+    first, rest = ev.filter(~late & (at < cut)), ev.filter(~late & (at >= cut))
+    newest = first.select(F.max("event_time")).scalar()
+    again = first.filter(at >= newest - F.expr("INTERVAL 30 MINUTES"))
+    _in_runs(spark, "st3", [first, again, rest.unionByName(ev.filter(late))], lambda s, name: jobs.run_available_now(
+        jobs.dedupe(s), name, sink="parquet", path=out, resume=True))
     return spark.read.schema(C.events_schema(C.TS)).parquet(out).select("partner", "doc_type", "control_number")
 
 
 @register("st4_response_match_stream", sql(EV, """
+WITH clock AS (SELECT least(max(event_time) FILTER (WHERE doc_type = '204'),
+                            max(event_time) FILTER (WHERE doc_type IN ('990', '214'))) - INTERVAL 1 HOUR AS watermark FROM txn_events)
 SELECT q.interchange_id AS t_key, q.business_ref AS trigger_ref, q.event_time AS trigger_at, min(r.event_time) AS response_at,
   CASE WHEN count(r.event_time) = 0 THEN 'missed' ELSE 'met' END AS sla_state
 FROM txn_events q LEFT JOIN txn_events r ON r.doc_type IN ('990', '214') AND r.interchange_id = q.interchange_id
   AND r.event_time BETWEEN q.event_time AND q.event_time + INTERVAL 24 HOUR
-WHERE q.doc_type = '204' AND q.event_time < (SELECT ts FROM world_now) - INTERVAL 3 DAY
+WHERE q.doc_type = '204' AND q.event_time < (SELECT watermark FROM clock) - INTERVAL 24 HOUR
 GROUP BY 1, 2, 3"""))
 def st4_response_match_stream(spark, sf_dir):
-    """First answer (990 or 214) to each tender within a day, for tenders old enough to be settled."""
+    """First answer (990 or 214) to each tender within a day: every row that the stream has emitted, which is every tender
+    whose day is over at the watermark.  Tenders and answers arrive in two batches each."""
     w, out = W(spark, sf_dir), _folder(spark, "matches")
-    doc = F.col("doc_type")
-    ev = w.events()
-    matched = jobs.match_responses(_event_stream(spark, ev.filter(doc == "204")),
-                                   _event_stream(spark, ev.filter(doc.isin("990", "214"))), "interchange_id", 24 * 60)
-    jobs.run_available_now(matched, "st4", sink="parquet", path=out)
-    settled = add_hours(ts_lit(w.as_of), -72)
-    got = spark.read.parquet(out)
-    return got.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("trigger_at", "response_at")}).filter(
-        F.col("trigger_at") < settled)
+    ev, doc = jobs.as_stream_time(w.events()), F.col("doc_type")
+    cut = add_hours(ts_lit(w.as_of), -365 * 24).cast("timestamp")
+    tenders, answers = _folder(spark, "tenders"), _folder(spark, "answers")
+    for part in (ev.filter(F.col("event_time") < cut), ev.filter(F.col("event_time") >= cut)):
+        part.filter(doc == "204").write.mode("append").parquet(tenders)
+        part.filter(doc.isin("990", "214")).write.mode("append").parquet(answers)
+        matched = jobs.match_responses(jobs.event_stream(spark, tenders, ONE_BATCH), jobs.event_stream(spark, answers, ONE_BATCH),
+                                       "interchange_id", 24 * 60)
+        jobs.run_available_now(matched, f"st4-{out.split('/')[-2]}", sink="parquet", path=out, resume=True)
+    return spark.read.parquet(out).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("trigger_at", "response_at")})
+
+
+@register("st5_silent_feeds_stream", sql(["ops_expected_feeds"], """
+WITH seen AS (SELECT partner, doc_type, channel, environment, max(event_time) AS newest FROM txn_events GROUP BY ALL),
+clock AS (SELECT max(event_time) - INTERVAL 1 HOUR AS watermark FROM txn_events)
+SELECT f.partner, f.doc_type, f.channel, f.environment, expected_next_at,
+  expected_next_at + to_minutes(CAST(grace_minutes AS BIGINT)) AS silent_at
+FROM ops_expected_feeds f LEFT JOIN seen USING (partner, doc_type, channel, environment)
+WHERE (SELECT watermark FROM clock) > expected_next_at + to_minutes(CAST(grace_minutes AS BIGINT))
+  AND (newest IS NULL OR newest < expected_next_at)"""))
+def st5_silent_feeds_stream(spark, sf_dir):
+    """The feeds that are silent after three batches of messages: F1 at the stream's watermark."""
+    w, out, feeds = W(spark, sf_dir), _folder(spark, "turns"), _folder(spark, "feeds")
+    expected = w.feeds().select(*jobs.FEED, "expected_next_at", "grace_minutes", F.lit(None).cast("timestamp_ntz").alias("last_seen_at"))
+    expected.write.parquet(feeds)
+    _in_runs(spark, "st5", _arrivals(w), lambda s, name: jobs.run_available_now(
+        jobs.silent_feeds(spark.readStream.schema(expected.schema).parquet(feeds), s), name, sink="parquet", path=out, resume=True))
+    turns = spark.read.parquet(out)
+    # A feed's turns alternate; it is silent if it went silent once more than it came back.
+    count = lambda turn: F.count_if(F.col("turn") == turn)
+    ntz = lambda c: F.max(c).cast("timestamp_ntz")
+    return turns.groupBy(*jobs.FEED).agg(
+        ntz("expected_next_at").alias("expected_next_at"), ntz("turned_at").alias("silent_at"), (count("silent") - count("back")).alias("n")).filter("n = 1").drop("n")
 
 
 @register("st6_file_stream", sql(["txn_files"], "SELECT * FROM txn_files"))

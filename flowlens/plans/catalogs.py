@@ -7,3 +7,4 @@ from flowlens.plans import catalog_shapes  # noqa: F401
 from flowlens.plans import catalog_derive  # noqa: F401
 from flowlens.plans import catalog_more  # noqa: F401
 from flowlens.plans import catalog_io  # noqa: F401
+from flowlens.plans import catalog_stores  # noqa: F401

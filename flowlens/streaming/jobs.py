@@ -190,7 +190,7 @@ def _feed_turns(key, frames, state):
 
 
 def _micros(t) -> int:
-    return t.as_unit("us").value
+    return t.value // 1000
 
 
 # ------------------------------------------------------------- ST1 / ST2 / ST6
