@@ -38,26 +38,32 @@ def feed_anomaly_sql(ru: str, daily: str, name: str) -> str:
   FROM {name}_aged GROUP BY ALL),
 {name}_scored AS (
   SELECT *, (cm - bm) / nullif(sd, 0) AS z, 100.0 * (bm - cm) / bm AS lost FROM {name}_means WHERE bm >= 3),
+{name}_states AS (
+  SELECT environment, partner, doc_type, 1 AS priority, 'Silent' AS status FROM {name}_scored WHERE bm >= 5 AND cm = 0
+  UNION ALL SELECT environment, partner, doc_type, 2, 'Severe drop' FROM {name}_scored WHERE z <= -2 OR lost >= 50
+  UNION ALL SELECT environment, partner, doc_type, 3, 'Watch' FROM {name}_scored WHERE z <= -1
+  UNION ALL SELECT environment, partner, doc_type, 4, 'Normal' FROM {name}_scored),
 {name} AS (
-  SELECT environment, partner, doc_type, last_active_day, if(quiet > 0, quiet, NULL) AS days_silent,
-    round(bm, 1) AS base_mean, round(sd, 1) AS base_sd, round(cm, 1) AS cur_mean, round(z, 2) AS zscore,
-    round(lost, 0) AS drop_pct,
-    list_filter(['Silent', 'Severe drop', 'Watch', 'Normal'], lambda s: CASE s WHEN 'Silent' THEN bm >= 5 AND cm = 0
-      WHEN 'Severe drop' THEN coalesce(z <= -2, FALSE) OR lost >= 50 WHEN 'Watch' THEN coalesce(z <= -1, FALSE) ELSE TRUE END)[1] AS status
-  FROM {name}_scored)"""
+  SELECT environment, partner, doc_type, any_value(last_active_day) AS last_active_day,
+    any_value(if(quiet > 0, quiet, NULL)) AS days_silent, round(any_value(bm), 1) AS base_mean, round(any_value(sd), 1) AS base_sd,
+    round(any_value(cm), 1) AS cur_mean, round(any_value(z), 2) AS zscore, round(any_value(lost), 0) AS drop_pct,
+    arg_min(status, priority) AS status
+  FROM {name}_scored JOIN {name}_states USING (environment, partner, doc_type) GROUP BY environment, partner, doc_type)"""
 
 
 def partner_anomaly_sql(fa: str, name: str) -> str:
     """The partner is as bad as its worst feed; feeds are counted in a map by status."""
     return f"""{name}_maps AS (
   SELECT environment, partner, count(*) AS feeds, histogram(status) AS by_status, min(zscore) AS worst_z,
-    max(drop_pct) AS worst_drop_pct, round(sum(base_mean), 0) AS base_mean_total, round(sum(cur_mean), 0) AS cur_mean_total
-  FROM {fa} GROUP BY ALL),
+    max(drop_pct) AS worst_drop_pct, round(sum(base_mean), 0) AS base_mean_total, round(sum(cur_mean), 0) AS cur_mean_total,
+    arg_min(status, priority) AS worst
+  FROM {fa} JOIN (VALUES ('Silent', 1), ('Severe drop', 2), ('Watch', 3), ('Normal', 4)) ranks(status, priority) USING (status)
+  GROUP BY environment, partner),
 {name} AS (
-  SELECT * EXCLUDE (by_status), CAST(coalesce(by_status['Silent'], 0) AS BIGINT) AS silent_feeds,
+  SELECT * EXCLUDE (by_status, worst), CAST(coalesce(by_status['Silent'], 0) AS BIGINT) AS silent_feeds,
     CAST(coalesce(by_status['Severe drop'], 0) AS BIGINT) AS severe_drop_feeds,
     feeds - CAST(coalesce(by_status['Normal'], 0) AS BIGINT) AS abnormal_feeds,
-    list_filter(['Silent', 'Severe drop', 'Watch', 'Normal'], lambda s: map_contains(by_status, s))[1] AS status
+    worst AS status
   FROM {name}_maps)"""
 
 
