@@ -53,7 +53,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("sharding", shards),
 ]
 
-#: The stages' models and sketches have no SQL form; tests hold run() against brute force.
+#: The stages' models and sketches have no SQL form; tests hold each stage, on its own input, against brute force.
 ORACLE_SQL = None
 
 
