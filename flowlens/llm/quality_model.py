@@ -6,9 +6,9 @@ is the mean of its own and its character n-grams' rows; a document is the mean o
 and word pairs' vectors; a softmax of two outputs follows.  Embedding and output are learned
 together from labels by stochastic gradient descent in numpy, with a falling rate.
 
-Only labels are learned from, of at most ``MOST_LABELLED`` documents, whose whole texts are read to
-sparse counts on the executors, stored, and fetched part by part in each pass.  The model is a
-fixed ``BUCKETS`` * ``DIM`` numbers; every whole text is scored by the executors.
+Only labels are learned from, of at most ``MOST_LABELLED`` documents and of those as many as ``learning.MOST_NUMBERS``
+numbers hold: their whole texts are read to sparse counts on the executors, stored, and fetched once.  The model is a
+fixed ``BUCKETS`` * ``DIM`` numbers; every whole text is scored by the executors, with all n-grams of all words.
 
 Defined cases: a null or empty text has no words; its vector is zero and its score the
 output's bias.  Null labels are not learned from.  Without labels, or with one label only,
@@ -25,40 +25,40 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.learning import MOST_LABELLED, Sample, fold, labelled, scores
-from flowlens.llm.textbatch import split
+from flowlens.llm.learning import Sample, fold, labelled, scores
+from flowlens.llm.textbatch import split, windows
 
 BUCKETS, DIM = 1 << 17, 12
 GRAMS = (3, 4)
-#: Of a longer word, the first and last characters' n-grams stand for it.
-WORD_CHARS = 24
+#: Labelled documents that the model is fitted on, at most.
+MOST_LABELLED = 8_000
 #: Passes over the sample; more over a small one, for LEAST_STEPS batches at least.
 EPOCHS, LEAST_STEPS, BATCH, RATE = 3, 1200, 32, 0.4
-REMEMBERED = 300_000
+#: Words, and characters of words, that a task remembers; n-grams whose rows are read at once.
+REMEMBERED, REMEMBERED_CHARS, PIECE = 300_000, 8_000_000, 100_000
 THRESHOLD = 0.7
 PAIR = np.uint64(0x9E3779B97F4A7C15)
 
 
-def grams(word: str) -> list[str]:
-    w = f"<{word}>" if len(word) <= WORD_CHARS else f"<{word[:WORD_CHARS // 2]} {word[-WORD_CHARS // 2:]}>"
-    return [word, *(w[i:i + n] for n in GRAMS for i in range(len(w) - n + 1))]
-
-
-def place(feature: str, digest=xxhash.xxh3_64_intdigest) -> int:
-    return digest(feature) % BUCKETS
+def place(feature: str) -> int:
+    return xxhash.xxh3_64_intdigest(feature) % BUCKETS
 
 
 SAME = place("= =")
 
 
-class Words(dict):
-    """The rows of words' features, remembered within a bound."""
-
-    def __missing__(self, word: str) -> np.ndarray:
-        if len(self) > REMEMBERED:
-            self.clear()
-        self[word] = p = np.array([place(g) for g in grams(word)], np.int32)
-        return p
+def features(words: list[str]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """The words' own rows and, per n, the rows of all their n-grams in order and the word that owns each."""
+    own = np.fromiter(map(place, words), np.int64, len(words))
+    codes = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    owner, last = np.repeat(np.arange(len(words)), sizes), np.repeat(np.cumsum(sizes), sizes)
+    grams = []
+    for n in GRAMS:
+        inside = np.flatnonzero(np.arange(len(codes)) + n <= last)
+        rows = (windows(codes, n) + np.uint64(n))[inside] % np.uint64(BUCKETS) if len(inside) else np.empty(0, np.uint64)
+        grams.append((rows.astype(np.int32), owner[inside]))
+    return own, grams
 
 
 def pairs(ids: np.ndarray) -> np.ndarray:
@@ -70,20 +70,18 @@ def pairs(ids: np.ndarray) -> np.ndarray:
 
 def reader():
     """Reads a whole training text to its distinct features' rows and, as the same bytes, what each adds to its mean."""
-    seen = Words()
-
     def read(text: str) -> np.ndarray:
         words = split(text)
         if not words:
             return np.empty(0, np.int32)
         counts = Counter(words)
-        per = [seen[w] for w in counts]
-        sizes = np.array([len(p) for p in per])
-        share = np.fromiter(counts.values(), np.float64, len(per)) / sizes
-        own = dict(zip(counts, (p[0] for p in per), strict=True))
-        two = pairs(np.fromiter(map(own.__getitem__, words), np.int64, len(words)))
-        rows, place = np.unique(np.concatenate([*per, two]), return_inverse=True)
-        weight = np.bincount(place, np.concatenate([np.repeat(share, sizes), np.ones(len(two))])) / (2 * len(words) - 1)
+        own, grams = features(list(counts))
+        share = np.fromiter(counts.values(), np.float64, len(own)) / (1 + sum(np.bincount(o, minlength=len(own)) for _, o in grams))
+        number = dict(zip(counts, range(len(own)), strict=True))
+        two = pairs(own[np.fromiter(map(number.__getitem__, words), np.int64, len(words))])
+        rows, at = np.unique(np.concatenate([own, *(r for r, _ in grams), two]), return_inverse=True)
+        weight = np.concatenate([share, *(share[o] for _, o in grams), np.ones(len(two))])
+        weight = np.bincount(at, weight) / (2 * len(words) - 1)
         return np.concatenate([rows.astype(np.int32), weight.astype(np.float32).view(np.int32)])
     return read
 
@@ -149,21 +147,33 @@ class Vectors(dict):
 
     def __init__(self, rows: np.ndarray):
         super().__init__()
-        self.rows, self.table, self.own = rows, np.empty((REMEMBERED + 1, DIM), np.float32), np.empty(REMEMBERED + 1, np.int64)
-
-    def __missing__(self, word: str) -> int:
-        p = [place(g) for g in grams(word)]
-        self[word] = i = len(self)
-        self.table[i] = self.rows.take(p, 0).sum(0) / len(p)
-        self.own[i] = p[0]
-        return i
+        self.rows, self.table, self.own = rows, np.empty((REMEMBERED, DIM), np.float32), np.empty(REMEMBERED, np.int64)
+        self.chars = 0
+
+    def learn(self, words: list[str]) -> None:
+        own, grams = features(words)
+        total, sizes = self.rows[own].astype(np.float64), np.ones(len(words))
+        for rows, owner in grams:
+            sizes += np.bincount(owner, minlength=len(words))
+            for at in range(0, len(rows), PIECE):
+                o = owner[at:at + PIECE]
+                first = np.flatnonzero(np.diff(o, prepend=-1))
+                total[o[first]] += np.add.reduceat(self.rows[rows[at:at + PIECE]], first)
+        i = len(self) + np.arange(len(words))
+        self.table[i], self.own[i] = total / sizes[:, None], own
+        self.update(zip(words, i.tolist(), strict=True))
 
     def document(self, words: list[str]) -> np.ndarray:
         total, last = np.zeros(DIM), None
         for at in range(0, len(words), REMEMBERED // 2):
             part = words[at:at + REMEMBERED // 2]
-            if len(self) + len(part) > REMEMBERED:
+            if len(self) + len(part) > REMEMBERED or self.chars > REMEMBERED_CHARS:
                 self.clear()
+                self.chars = 0
+            new = [w for w in dict.fromkeys(part) if w not in self]
+            if new:
+                self.chars += sum(map(len, new))
+                self.learn(new)
             i = np.fromiter(map(self.__getitem__, part), np.int64, len(part))
             own = self.own[i] if last is None else np.append(last, self.own[i])
             total += self.table[i].sum(0) + self.rows[pairs(own)].sum(0)

@@ -114,6 +114,37 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch, percent, block):
     assert all(r.kept == (r.component_id == r.doc_id) for r in got)
 
 
+@pytest.mark.parametrize("block", [1_000, 2])
+def test_ids_with_several_texts_are_one_document(spark, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "CHUNK", 3 * block)
+    families = [list(mutants(s, 120, 30, 4)) for s in range(4)]
+    rows = [(i, families[i % 4][i // 4]) for i in range(60)] + [(i, families[(i // 4) % 2 if i < 40 else i % 4][15 + i // 4]) for i in range(60)]
+    rows += [(70, prose(70, 60)), (70, prose(71, 60)), (71, prose(71, 60)), (72, prose(70, 60)), (73, "a b"), (73, ""), (73, None)]
+    keyed = {n: row for n, row in enumerate(rows)}
+    want = components([(n, t) for n, (_, t) in keyed.items()], 85)
+    root = {n: want[n][1] for n in keyed}
+    changed = True
+    while changed:  # rows of one doc_id are one document
+        changed = False
+        for group in ([n for n in keyed if keyed[n][0] == d] for d in {d for d, _ in rows}):
+            full = [n for n in group if want[n][0]]
+            least = min((root[n] for n in full), default=None)
+            for n in full:
+                for m in [m for m in keyed if root[m] == root[n] != least]:
+                    root[m], changed = least, True
+    names = {c: min(keyed[n][0] for n in keyed if root[n] == c and want[n][0]) for c in set(root.values()) if any(
+        root[n] == c and want[n][0] for n in keyed)}
+    expected = Counter((keyed[n][0], want[n][0], names[root[n]] if want[n][0] else keyed[n][0]) for n in keyed)
+    runs = []
+    for parts in (3, 7):
+        got = neardup.near_duplicates(spark.createDataFrame(rows, DOCS).repartition(parts), 85)
+        runs.append(Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()))
+    assert runs == [expected, expected]
+    docs = spark.createDataFrame(rows, DOCS)
+    assert sorted(map(tuple, neardup.keep_one(docs, 85).collect())) == sorted(map(tuple, neardup.keep_one(docs.repartition(5), 85).collect()))
+
+
 def test_near_duplicates_on_the_documents(spark):
     docs = sf(spark, "documents").select("doc_id", "text")
     want = components([tuple(r) for r in docs.collect()], 85)
@@ -323,6 +354,49 @@ def test_factorization_machine_learns_pairs_of_terms_that_say_nothing_alone(othe
     assert ((m.probabilities(texts) >= 0.5) == labels).mean() > 0.95
 
 
+@pytest.mark.parametrize("others,least", [(200, 0.97), (2000, 0.9)])
+def test_insults_beside_a_group_in_long_texts(others, least):
+    """Toxic if an insult and a group's mention stand in one text; either alone is not."""
+    import numpy as np
+
+    r = random.Random(1)
+
+    def sample(n):
+        texts, labels = [], []
+        for _ in range(n):
+            a, b = r.random() < 0.4, r.random() < 0.4
+            terms = {int(4000 * r.random() ** 3) + 100 for _ in range(others)} | ({1} if a else set()) | ({2} if b else set())
+            texts.append(np.array(sorted(terms), np.int32))
+            labels.append(float(a and b))
+        return texts, np.array(labels)
+
+    m = toxicity.fit(*sample(3000))
+    texts, labels = sample(800)
+    with_pairs = ((m.probabilities(texts) >= 0.5) == labels).mean()
+    assert with_pairs >= least
+    if others == 200:
+        m.v[:] = 0
+        assert ((m.probabilities(texts) >= 0.5) == labels).mean() < with_pairs - 0.05
+
+
+def test_pairs_change_scores_of_real_documents():
+    import numpy as np
+    import pyarrow.parquet as pq
+
+    base = "/root/testdata/sf0.1"
+    texts = {r["doc_id"]: r["text"] for r in pq.read_table(f"{base}/documents.parquet", columns=["doc_id", "text"]).to_pylist()}
+    labels = {r["doc_id"]: r["toxic"] for r in pq.read_table(f"{base}/labels.parquet").to_pylist() if r["toxic"] is not None}
+    read = toxicity.reader()
+    held = {d: zlib.crc32(str(d).encode()) % 3 == 1 for d in labels}
+    learn, judge = ([read(texts[d]) for d in sorted(labels) if held[d] == h] for h in (False, True))
+    y, truth = (np.array([labels[d] for d in sorted(labels) if held[d] == h], float) for h in (False, True))
+    m = toxicity.fit(learn, y)
+    p = m.probabilities(judge)
+    m.v[:] = 0
+    assert np.abs(p - m.probabilities(judge)).max() > 0.1
+    assert ((p >= 0.7) & (truth == 1)).sum() >= 0.8 * truth.sum() and ((p >= 0.7) & (truth == 0)).sum() <= 3
+
+
 def docs_and_labels(spark, toxic):
     rows = []
     for i in range(600):
@@ -350,11 +424,11 @@ def test_models_tell_held_out_documents(spark, odd_docs, toxic):
     assert {r.score for r in run(odd_docs, labels.limit(0)).collect()} == {0.5}
 
 
-@pytest.mark.parametrize("held", [0, 32_000_000])
-def test_quality_learns_from_whole_training_texts(spark, monkeypatch, held):
+@pytest.mark.parametrize("fetched", [0, 1_500_000])
+def test_quality_learns_from_whole_training_texts(spark, monkeypatch, fetched):
     """What tells the labels stands at the 50th to 90th word of 240 only."""
-    monkeypatch.setattr(learning, "HELD", held)
-    monkeypatch.setattr(learning, "PART", 5_000)
+    monkeypatch.setattr(learning, "FETCHED", fetched)
+    monkeypatch.setattr(learning, "PARTS", 5)
     rows = [(i, prose(i, 50) + (" ZZ!!" * 40 if i % 4 == 0 else " " + prose(-i, 40)) + " " + prose(i + 0.5, 150), int(i % 4 > 0))
             for i in range(600)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, quality int")
@@ -366,11 +440,35 @@ def test_training_texts_are_read_as_scored_ones():
     import numpy as np
 
     m = quality_model.Model()
-    for text in (prose(1, 700), "a a a b " * 90, "one", "x" * 90 + " y"):
+    for text in (prose(1, 700), "a a a b " * 90, "one", "x" * 90 + " y", prose(2, 40_000).replace(" ", "") + " z"):
         rows, weight = quality_model.weighted(quality_model.reader()(text))
         assert np.allclose(weight @ m.rows[rows], quality_model.Vectors(m.rows).document(text.split()), atol=1e-5)
 
 
+def test_samples_hold_whole_texts_within_their_bound(spark):
+    import numpy as np
+
+    rows = [(i, prose(i, 5 + i % 50), i % 2) for i in range(300)] + [(900, None, 1), (5, "", 1), (5, prose(5, 10), 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, y int")
+    labelled = learning.labelled(docs, docs, "y", lambda c: c >= 0)
+    read = lambda: lambda t: np.full(len(t), len(t), np.int32)
+    whole = learning.Sample(labelled, read, "test")
+    assert len(whole.texts) == len(whole.labels) == 300 and all(len(t) == (t[0] if len(t) else 0) for t in whole.texts)
+    few = learning.Sample(labelled, read, "test", most_numbers=9_000)
+    assert sum(map(len, few.texts)) <= 9_000 and len(few.texts) > 20
+    assert [len(t) for t in few.texts] == [len(t) for t in whole.texts[:len(few.texts)]]
+
+
+def test_one_long_word_counts_whole():
+    """The n-grams of a word's middle change its vector."""
+    import numpy as np
+
+    m, word = quality_model.Model(), prose(3, 60).replace(" ", "")
+    other = word[:100] + "zzzz" + word[104:]
+    vectors = quality_model.Vectors(m.rows)
+    assert not np.allclose(vectors.document([word]), vectors.document([other]), atol=1e-4)
+
+
 def test_labels_of_held_out_rows_are_not_learned(spark):
     docs, labels = docs_and_labels(spark, True)
     flipped = labels.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, 1 - F.col("toxic"))
@@ -475,6 +573,24 @@ def test_tokens_sum_and_cross(spark, odd_docs):
     assert token_counts.op10_section_tokens(docs.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("blank", [" ", "\n", "\t", "\u2003", " \n"])
+def test_long_blank_runs_are_cut_as_the_pattern_cuts_them(monkeypatch, blank):
+    encode, size = token_counts.encoder(token_counts.VOCABULARY)
+    text = "one" + blank * 300 + "two" + blank * 200
+    plain = encode(text)
+    monkeypatch.setattr(token_counts, "BLANKS", re.compile(token_counts.BLANKS.pattern.replace(str(token_counts.LONG_BLANK), "3")))
+    assert encode(text) == plain and size[plain].sum() == len(text.encode())
+
+
+@pytest.mark.parametrize("unit", [" ", "\n", "x", "7", "\n "])
+def test_texts_of_five_million_characters(spark, unit):
+    text = "a" + unit * (5_000_000 // len(unit)) + "b\nlast"
+    rows = token_counts.op10_section_tokens(spark.createDataFrame([(1, text)], DOCS)).agg(
+        F.sum("n_tokens"), F.max("byte_end"), F.sum(F.col("byte_end") - F.col("byte_start"))).first()
+    encode, _ = token_counts.encoder(token_counts.VOCABULARY)
+    assert tuple(rows) == (len(encode(text)), len(text), len(text))
+
+
 def test_crossing_tokens_follow_the_rule():
     import numpy as np
 
