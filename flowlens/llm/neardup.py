@@ -169,7 +169,7 @@ def near_duplicates(docs: DataFrame, percent: int, id_col: str = "doc_id", text_
     likely = store.keep(likely, "likely")
     wanted = store.keep(likely.select(F.col("a").alias("id")).union(likely.select(F.col("b").alias("id"))).distinct(),
                         "wanted")
-    sets = store.keep(_sets_of(texts, wanted, classes), "sets")
+    sets = store.keep(_sets_of(store, texts, wanted, classes), "sets")
     both = (likely.join(sets.withColumnsRenamed({"id": "b", "shingles": "tb"}), "b")
             .join(sets.withColumnsRenamed({"id": "a", "shingles": "ta"}), "a")
             .withColumn("n", F.size(F.array_intersect("ta", "tb"))))
@@ -178,7 +178,7 @@ def near_duplicates(docs: DataFrame, percent: int, id_col: str = "doc_id", text_
 
     rest = _open(store, members, labels)
     wanted = store.keep(rest.select("id").distinct(), "wanted")
-    more = _sets_of(texts, wanted.join(sets, "id", "left_anti"), classes)
+    more = _sets_of(store, texts, wanted.join(sets, "id", "left_anti"), classes)
     sets = store.keep(more.unionByName(sets.join(wanted, "id", "left_semi")), "sets")
     rest = rest.join(sets.join(sketches, "id"), "id")
     links = rest.groupBy("bucket", "block", "chunk").applyInArrow(
@@ -196,9 +196,10 @@ def near_duplicates(docs: DataFrame, percent: int, id_col: str = "doc_id", text_
         F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def _sets_of(texts: DataFrame, wanted: DataFrame, classes: DataFrame) -> DataFrame:
+def _sets_of(store: Store, texts: DataFrame, wanted: DataFrame, classes: DataFrame) -> DataFrame:
     """id and shingles of the sets in ``wanted``, made anew from the texts of their smallest doc_ids."""
-    named = wanted.join(classes.withColumnRenamed("set", "id"), "id").select("least").distinct()
+    # Written, so that its size is known: few ids are broadcast instead of shuffling all texts.
+    named = store.keep(wanted.join(classes.withColumnRenamed("set", "id"), "id").select("least").distinct(), "set-owners")
     rows = texts.join(named, texts["doc_id"] == named["least"], "left_semi")
     made = rows.mapInArrow(_sets, "id binary, shingles array<long>").join(wanted, "id", "left_semi")
     return made.groupBy("id").agg(F.min("shingles").alias("shingles"))
