@@ -83,7 +83,7 @@ def duplicate_sources(ev: DataFrame, duplicates_only: bool = True) -> DataFrame:
 def resolution_kb(ev: DataFrame, rules: DataFrame) -> DataFrame:
     """Partner-specific rule wins over the generic rule per (reason, code).
 
-    Rules are a config table; they are broadcast only after a size check.
+    Rules are a config table; AQE decides by its measured size whether to broadcast it.
     NULL error codes never match (SQL equality), as in the reference.
     """
     r = rules

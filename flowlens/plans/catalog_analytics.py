@@ -250,15 +250,15 @@ def _src(spark, sf_dir):
     return w.header(), w.edi_tx(), w.anomalies(), w.partners(), w.as_of
 
 
-# Counts by type stand in maps; the gaps of a shipment are a list in order of weight, its first gap the status.
+# Counts by type stand in maps; each gap is a row with its rank, and the first by rank is the shipment's status.
 @register("j9_shipment_360", sql(S360, """
-SELECT g.* EXCLUDE (n, found, gaps, wait_us), gaps[1] AS choreography_status,
+SELECT g.* EXCLUDE (n, found, wait_us), gaps[1] AS choreography_status,
   CAST(gaps[1] = 'Complete' AS INTEGER) AS choreography_complete,
   CAST(list_contains(gaps, 'Missing 990') AS INTEGER) AS missing_990,
   CAST(list_contains(gaps, 'Missing 214') AS INTEGER) AS missing_214, CAST(list_contains(gaps, 'ACK gap') AS INTEGER) AS ack_gap,
   round(wait_us / 60000000.0::DOUBLE, 1) AS response_minutes,
   CAST(coalesce(wait_us <= expected_204_990_minutes * 60000000::BIGINT, wait_us IS NOT NULL) AS INTEGER) AS response_sla_met
-FROM shipment_gaps g""", """message_maps AS (
+FROM shipment_gaps g JOIN gap_lists USING (shipment_id)""", """message_maps AS (
   SELECT shipment_id, histogram(transaction_type) AS n, count(*) AS total_messages, count_if(ack_required) AS ack_required_cnt,
     count_if(ack_required AND ack_received) AS ack_received_cnt,
     count_if(error_code IS NOT NULL OR processing_status = 'rejected') AS error_cnt,
@@ -285,13 +285,16 @@ shipment_gaps AS (
     CAST(coalesce(n['214'], 0) AS BIGINT) AS cnt_214, CAST(coalesce(n['210'], 0) AS BIGINT) AS cnt_210,
     CAST(coalesce(n['997'], 0) AS BIGINT) AS cnt_997,
     map_contains(n, '204') AS has_204, map_contains(n, '990') AS has_990, map_contains(n, '214') AS has_214,
-    map_contains(n, '997') AS has_997,
-    list_filter(['No messages', 'Missing 990', 'Missing 214', 'ACK gap', 'Complete'], lambda gap: CASE gap
-      WHEN 'No messages' THEN total_messages = 0
-      WHEN 'Missing 990' THEN map_contains(found, 'MISSING_990') OR (map_contains(n, '204') AND NOT map_contains(n, '990'))
-      WHEN 'Missing 214' THEN map_contains(found, 'MISSING_214') OR NOT map_contains(n, '214')
-      WHEN 'ACK gap' THEN map_contains(found, 'MISSING_997') OR ack_required_cnt > ack_received_cnt ELSE TRUE END) AS gaps
-  FROM shipment_facts)"""))
+    map_contains(n, '997') AS has_997
+  FROM shipment_facts),
+gap_rows AS (
+  SELECT shipment_id, 1 AS priority, 'No messages' AS gap FROM shipment_facts WHERE total_messages = 0
+  UNION ALL SELECT shipment_id, 2, 'Missing 990' FROM shipment_gaps
+    WHERE map_contains(found, 'MISSING_990') OR (has_204 AND NOT has_990)
+  UNION ALL SELECT shipment_id, 3, 'Missing 214' FROM shipment_gaps WHERE map_contains(found, 'MISSING_214') OR NOT has_214
+  UNION ALL SELECT shipment_id, 4, 'ACK gap' FROM shipment_gaps WHERE map_contains(found, 'MISSING_997') OR ack_pending > 0
+  UNION ALL SELECT shipment_id, 5, 'Complete' FROM shipment_facts),
+gap_lists AS (SELECT shipment_id, list(gap ORDER BY priority) AS gaps FROM gap_rows GROUP BY shipment_id)"""))
 def j9_shipment_360(spark, sf_dir):
     h, tx, a, p, _ = _src(spark, sf_dir)
     return s3.shipment_360(h, tx, a, p)

@@ -61,7 +61,7 @@ def snk1_rollup_refresh(spark, sf_dir):
     cut = add_hours(ts_lit(w.as_of), -365 * 24)
     late, early = F.col("event_id") % 10 == 0, F.col("event_time") < cut
     for batch, (rows, as_of) in enumerate([(early & ~late, cut), (~early & ~late, ts_lit(w.as_of)), (late, ts_lit(w.as_of))]):
-        inc.append_events(ev.filter(rows), log, batch)
+        inc.append_events(ev.filter(rows), log, batch, grain="month")
         inc.refresh_rollup(spark, log, path, as_of, grain="month")
     return io.read_rollup(spark, path)
 

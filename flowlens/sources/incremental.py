@@ -28,9 +28,14 @@ REFRESHES = T.StructType([T.StructField("ingest_batch", T.LongType()), T.StructF
                           T.StructField("partitions", T.LongType())])
 
 
-def append_events(ev: DataFrame, path: str, batch: int) -> None:
-    """Adds the events of an ingest batch; the same batch written again replaces itself."""
-    (ev.withColumns({"ingest_batch": F.lit(batch).cast("long"), "event_date": F.to_date("event_time")})
+def append_events(ev: DataFrame, path: str, batch: int, grain: str = "day") -> None:
+    """Adds the events of an ingest batch; the same batch written again replaces itself.
+
+    ``event_date`` is the event's day, or the first of its month (``grain``) for histories whose days are too small for
+    files of their own; the rollup's grain must not be finer.
+    """
+    day = F.to_date("event_time")
+    (ev.withColumns({"ingest_batch": F.lit(batch).cast("long"), "event_date": F.trunc(day, "month") if grain == "month" else day})
        .repartitionByRange("event_date", "event_time").sortWithinPartitions("event_date", "event_time")
        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
        .partitionBy("ingest_batch", "event_date").parquet(path))

@@ -108,12 +108,12 @@ def test_late_events_enter_the_rollup(spark, grain):
     days = [r.d for r in ev.filter(old).select(F.to_date("event_time").alias("d")).distinct().orderBy("d").limit(40).collect()][::15]
     late = old & F.to_date("event_time").isin(days) & (F.col("event_id") % 3 == 0)
     early = spark.sql(f"SELECT TIMESTAMP_NTZ '{w.as_of}' - INTERVAL 30 DAY AS t").first().t
-    inc.append_events(ev.filter(old & ~late), log, 0)
+    inc.append_events(ev.filter(old & ~late), log, 0, grain)
     assert inc.refresh_rollup(spark, log, rollup, early, grain) > 0
-    inc.append_events(ev.filter(~old), log, 1)
+    inc.append_events(ev.filter(~old), log, 1, grain)
     inc.refresh_rollup(spark, log, rollup, w.as_of, grain)
     before = _files(rollup)
-    inc.append_events(ev.filter(late), log, 2)
+    inc.append_events(ev.filter(late), log, 2, grain)
     n = inc.refresh_rollup(spark, log, rollup, w.as_of, grain)
     after = _files(rollup)
     touched = {f"part={d.isoformat() if grain == 'day' else d.replace(day=1).isoformat()}" for d in days}
@@ -129,15 +129,15 @@ def test_a_refresh_that_dies_is_done_again(spark, monkeypatch):
     w = World(spark, SF_SMALL)
     ev, log, rollup = w.events().limit(2000), _folder("log"), _folder("rollup")
     ev = spark.createDataFrame(ev.collect(), ev.schema)
-    inc.append_events(ev.filter("event_id % 2 = 0"), log, 0)
+    inc.append_events(ev.filter("event_id % 2 = 0"), log, 0, "month")
     inc.refresh_rollup(spark, log, rollup, w.as_of, "month")
-    inc.append_events(ev.filter("event_id % 2 = 1"), log, 1)
+    inc.append_events(ev.filter("event_id % 2 = 1"), log, 1, "month")
     real = inc.append_row
     monkeypatch.setattr(inc, "append_row", lambda *_: (_ for _ in ()).throw(OSError("gone")))
     with pytest.raises(OSError):
         inc.refresh_rollup(spark, log, rollup, w.as_of, "month")
     monkeypatch.setattr(inc, "append_row", real)
-    inc.append_events(ev.filter("event_id % 2 = 1"), log, 1)  # the batch is written again, too
+    inc.append_events(ev.filter("event_id % 2 = 1"), log, 1, "month")  # the batch is written again, too
     inc.refresh_rollup(spark, log, rollup, w.as_of, "month")
     assert sorted(map(str, io.read_rollup(spark, rollup).collect())) == sorted(map(str, ro.hourly_rollup(ev, w.as_of).select(
         *C.ROLLUP.names).collect()))
