@@ -5,8 +5,8 @@ returns a DataFrame; ``run`` writes each stage's rows as Parquet and reads them
 the next one's docs.  All stages but the last return the columns of docs.
 
 The stages' own decisions on nulls, empty texts and repeated rows are those of the
-operators (see their modules): the quality rules drop documents without words, and the
-decontamination stage keeps rows without a doc_id, which it cannot name.
+operators (see their modules): the quality rules drop documents without words; the
+decontamination stage names rows by their text, so that rows without a doc_id are judged like others.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from flowlens.llm import decontam, mixing, neardup, quality_rules, sharding
 from flowlens.llm.common import Store, read
@@ -30,9 +31,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a passage of the benchmark go."""
-    found = decontam.leaks(docs, read(spark, sf_dir, "benchmark", "item_id", "text")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """Documents with a passage of the benchmark go, with or without a doc_id."""
+    key = F.sha2(docs["text"], 256)
+    found = decontam.leaks(docs.select(key.alias("doc_id"), "text"), read(spark, sf_dir, "benchmark", "item_id", "text"))
+    leaked = found.select(F.col("doc_id").alias("leaked_text")).distinct()
+    return docs.join(leaked, key == leaked["leaked_text"], "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
