@@ -1,6 +1,6 @@
 """Document-type views over the rollup.
 
-The catalog is a config table joined after a size check (broadcast); the
+The catalog is a config table, broadcast; the
 rollup side is never shuffled for the join.
 """
 
@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 def with_doc_catalog(ru: DataFrame, catalog: DataFrame) -> DataFrame:
     """Family defaults to 'Other', label falls back to the doc type."""
-    c = catalog.select("doc_type", "label", "business_family")
+    # The planner does not know the size of a table made from a list.
+    c = F.broadcast(catalog.select("doc_type", "label", "business_family"))
     return (ru.join(c, "doc_type", "left")
               .withColumn("family", F.coalesce("business_family", F.lit("Other")))
               .withColumn("doc_label", F.coalesce("label", "doc_type")))
