@@ -2,7 +2,7 @@
 
 Tables that are joined on a stable key again and again are stored once in hash buckets of that key: as many for all
 of them as make the largest one's about ``TARGET_BYTES`` each.  A
-bucket is one task: where one key holds so many rows that its bucket would be ``MOST_SKEW`` times the mean, the
+bucket is one task: where a key holds so many rows that its bucket would be ``MOST_SKEW`` times the mean, the
 table is not bucketed and the join shuffles, with AQE splitting the hot partition.
 """
 
@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from flowlens.sources.tables import folder_bytes
 
-TARGET_BYTES = 128 * 1024 * 1024
+#: One task sorts a bucket, whose rows take some 25 times its bytes in memory.
+TARGET_BYTES = 16 * 1024 * 1024
 MOST_SKEW = 4
 
 
@@ -36,10 +37,15 @@ def store_together(path: str, *tables: tuple[DataFrame, list[str]], n_buckets: i
 
 
 def _bucketed(rows: DataFrame, keys: list[str], path: str, n: int) -> DataFrame:
-    hottest, total = rows.groupBy(*keys).count().agg(F.max("count"), F.sum("count")).first()
-    # NULL keys join with nothing, but stand in one bucket like a key.
-    if n > 1 and hottest and hottest > MOST_SKEW * total / n:
-        return rows
+    # Counted by bucket: a row per task and bucket is shuffled, not one per key.  Only a bucket that is too large is counted by
+    # key.  NULL keys join with nothing, but stand in one bucket like a key.
+    bucket = F.pmod(F.hash(*keys), F.lit(n))
+    sizes = rows.groupBy(bucket.alias("b")).count().agg(F.max("count"), F.sum("count"), F.max_by("b", "count")).first()
+    largest, total, at = sizes
+    if n > 1 and largest and largest > MOST_SKEW * total / n:
+        hottest = rows.filter(bucket == at).groupBy(*keys).count().agg(F.max("count")).first()[0]
+        if hottest > MOST_SKEW * total / n:
+            return rows
     name = "flowlens_" + hashlib.sha256(path.encode()).hexdigest()[:24]
     # One task a bucket writes one file of it.
     (rows.repartition(n, *keys).write.mode("overwrite").format("parquet").bucketBy(n, *keys).sortBy(*keys)
