@@ -149,11 +149,14 @@ def _in_runs(spark, name: str, batches: list[DataFrame], run) -> None:
         run(spark.readStream.schema(b.schema).option("maxFilesPerTrigger", ONE_BATCH).parquet(path), f"{name}-{path.split('/')[-2]}")
 
 
-def _arrivals(w) -> list[DataFrame]:
-    """The events in three batches: those until a year before the end, the rest, and every tenth of all, up to years late."""
+def _arrivals(w, columns: list[str] | None = None) -> list[DataFrame]:
+    """The events in three batches: those until a year before the end, the rest, and every tenth of all, up to years late.
+
+    ``columns`` are those that the stream's job reads; without them a batch has all.
+    """
     ev = jobs.as_stream_time(w.events())
     late, early = F.col("event_id") % 10 == 0, F.col("event_time") < add_hours(ts_lit(w.as_of), -365 * 24).cast("timestamp")
-    return [ev.filter(early & ~late), ev.filter(~early & ~late), ev.filter(late)]
+    return [ev.filter(rows).select(*(columns or ev.columns)) for rows in (early & ~late, ~early & ~late, late)]
 
 
 @register("st1_rollup_stream", sql(EV, "SELECT * EXCLUDE (breached_count) FROM txn_rollup_hourly", RU))
@@ -231,7 +234,7 @@ def st5_silent_feeds_stream(spark, sf_dir):
     w, out, feeds = W(spark, sf_dir), _folder(spark, "turns"), _folder(spark, "feeds")
     expected = w.feeds().select(*jobs.FEED, "expected_next_at", "grace_minutes", F.lit(None).cast("timestamp_ntz").alias("last_seen_at"))
     expected.write.parquet(feeds)
-    _in_runs(spark, "st5", _arrivals(w), lambda s, name: jobs.run_available_now(
+    _in_runs(spark, "st5", _arrivals(w, [*jobs.FEED, "event_time"]), lambda s, name: jobs.run_available_now(
         jobs.silent_feeds(spark.readStream.schema(expected.schema).parquet(feeds), s), name, sink="parquet", path=out, resume=True))
     turns = spark.read.parquet(out)
     # A feed's turns alternate; it is silent if it went silent once more than it came back.
