@@ -229,3 +229,54 @@ def test_file_stream_skips_a_batch_it_holds(spark):
     assert _files(path) == before
     handle(files, 1)
     assert io.read_files(spark, path).count() == 50
+
+
+@pytest.mark.parametrize("part", [20_000, 1 << 30])
+def test_batches_merged_by_parts_leave_only_what_the_log_names(spark, monkeypatch, part):
+    monkeypatch.setattr(keyed, "PART_BYTES", part)
+    monkeypatch.setattr(keyed, "TARGET_BYTES", 15_000)
+    monkeypatch.setattr(keyed, "free_shuffles", lambda spark: None)
+    path, want = _folder("parts"), {}
+    table, written = _sum_table(spark, path), []
+    real = table._write_base
+    monkeypatch.setattr(table, "_write_base", lambda rows, *a: (written.append(rows.count()), real(rows, *a)))
+    # Keys of another type than the table's, null ones, new ones and known ones.
+    for b, (low, high) in enumerate([(0, 3000), (3000, 3200), (2950, 3050), (0, 10)]):
+        rows = spark.range(low, high, 1, 4).select(F.when(F.col("id") % 7 > 0, F.concat(F.lit("k"), "id")).alias("k"),
+                                                   (F.col("id") % 2).alias("g"), (F.col("id") + b).alias("v"))
+        assert table.upsert(rows.groupBy("k", "g").agg(F.sum("v").alias("v")), "w", b)
+        for r in rows.collect():
+            want[r.k, r.g] = want.get((r.k, r.g), 0) + r.v
+        assert {(r.k, r.g): r.v for r in table.read().collect()} == want and table.read().count() == len(want)
+    # The first batch was the base, written in parts if it was large; what was staged is gone.
+    assert (len(written) > 2 and max(written) < 1500) if part == 20_000 else len(written) == 1
+    kept = {c.folder for c in table._epoch()[1] if c.folder}
+    assert {f"data/{n}".removesuffix(keyed.REPLACED) for n in os.listdir(f"{path}/data")} == kept
+    assert [c.n_old == 0 for c in table._epoch()[1]][1:] == [False] * 3  # null keys come again
+    table.compact()
+    table.remove_old(keep=0)
+    assert len(os.listdir(f"{path}/data")) == 1 and {(r.k, r.g): r.v for r in table.read().collect()} == want
+
+
+def test_a_table_that_is_added_to_is_read_without_a_shuffle(spark):
+    table = _sum_table(spark, _folder("added"))
+    for b in range(3):
+        table.upsert(spark.range(b * 50, b * 50 + 50).selectExpr("concat('k', id) AS k", "int(0) AS g", "id AS v"), "w", b)
+    assert "Exchange" not in table.read()._jdf.queryExecution().executedPlan().toString() and table.read().count() == 150
+    table.upsert(spark.createDataFrame([("k7", 0, 1000)], SCHEMA), "w", 3)
+    assert table.read().count() == 150 and table.read().filter("k = 'k7'").first().v == 1007
+
+
+def test_the_state_stream_keeps_no_copies_of_its_input(spark):
+    from flowlens.plans import catalog_io
+    folders = []
+    real = catalog_io._folder
+    catalog_io._folder = lambda *a: folders.append(real(*a)) or folders[-1]
+    try:
+        got = catalog_io.st2_current_state_stream(spark, SF_SMALL)
+    finally:
+        catalog_io._folder = real
+    state, source = folders
+    assert _files(source) == set() and got.count() == World(spark, SF_SMALL).events().select("business_ref").distinct().count()
+    commits = jobs.state_table(spark, state)._epoch()[1]
+    assert len([n for n in os.listdir(f"{state}/data")]) == len([c for c in commits if c.folder])
