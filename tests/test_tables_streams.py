@@ -280,3 +280,23 @@ def test_the_state_stream_keeps_no_copies_of_its_input(spark):
     assert _files(source) == set() and got.count() == World(spark, SF_SMALL).events().select("business_ref").distinct().count()
     commits = jobs.state_table(spark, state)._epoch()[1]
     assert len([n for n in os.listdir(f"{state}/data")]) == len([c for c in commits if c.folder])
+
+
+def test_large_backlogs_are_matched_span_by_span(spark, duck, monkeypatch):
+    import __spark_entry__ as entry
+    from flowlens.plans import catalog_io
+    from flowlens.plans.check import compare
+    ev = jobs.as_stream_time(World(spark, SF_SMALL).events())
+    cut = F.lit(dt.datetime(1995, 6, 1))
+    assert len(catalog_io._spans(ev, cut)) == 2
+    monkeypatch.setattr(catalog_io, "STATE_ROWS", 700)
+    spans, at = catalog_io._spans(ev, cut), F.col("event_time")
+    sizes = [ev.filter((F.lit(True) if a is None else at >= a) & (F.lit(True) if b is None else at < b)).count() for a, b in spans]
+    assert sum(sizes) == ev.count() and max(sizes) < 1.2 * 700 * spark.sparkContext.defaultParallelism and len(sizes) > 3
+    taken = []
+    real = jobs.run_available_now
+    monkeypatch.setattr(jobs, "run_available_now", lambda *a, **k: taken.append(real(*a, **k)))
+    name = "st4_response_match_stream"
+    ok, info = compare(entry.queries()[name](spark, SF_SMALL), duck, entry.oracle_sql()[name])
+    assert ok, info
+    assert len(taken) > 3 and spark.conf.get("spark.sql.streaming.maxBatchesToRetainInMemory") == "2"
